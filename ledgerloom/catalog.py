@@ -1,0 +1,10 @@
+"""Registry of the engine's queries over the supplied tables and of their independent SQL oracles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
