@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import documents
+from ledgerloom.llm.lsm_dedup import exact_dedup
 from ledgerloom.llm.simhash_golay import simhash_components
 
 
@@ -14,8 +15,19 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark, documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark, documents(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_golay": op4_simhash_golay,
+    "op5_lsm_dedup": op5_lsm_dedup,
 }
 #: SQL can't express the others within reason: they are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_lsm_dedup": """
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW g AS (PARTITION BY t)
+    """,
+}
