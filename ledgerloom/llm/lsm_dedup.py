@@ -61,7 +61,8 @@ class LsmIndex:
 
     def _write(self, rows: DataFrame, *by: str) -> None:
         path = work_path(self.spark, "lsm-run")
-        rows.write.option("parquet.bloom.filter.enabled#digest", "true").partitionBy(*by).parquet(path)
+        sized = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        rows.write.options(**sized).partitionBy(*by).parquet(path)
         self.runs.append(self.spark.read.schema(rows.schema).parquet(path))
         self.runs[-1]._work_path = path
 
