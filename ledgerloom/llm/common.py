@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import string
@@ -85,3 +86,9 @@ def worker_cache() -> dict:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.best_fit_pack import pack
 from ledgerloom.llm.common import documents
+from ledgerloom.llm.fair_mix import taken_words
+from ledgerloom.llm.lpt_shards import shard
 from ledgerloom.llm.lsm_dedup import exact_dedup
+from ledgerloom.llm.ranked_ids import ranked_ids
 from ledgerloom.llm.simhash_golay import simhash_components
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(spark, documents(spark, sf_dir), shards=8)
+
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark, documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
@@ -19,9 +31,25 @@ def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, documents(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_ids(spark, documents(spark, sf_dir), WORD_TOKENIZER)
+
+
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(spark, documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, repeats=2)
+
+
+def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, documents(spark, sf_dir), BYTE_TOKENIZER, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lpt_shards": op2_lpt_shards,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_lsm_dedup": op5_lsm_dedup,
+    "op6_ranked_ids": op6_ranked_ids,
+    "op7_fair_mix": op7_fair_mix,
+    "op10_best_fit_pack": op10_best_fit_pack,
 }
 #: SQL can't express the others within reason: they are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
