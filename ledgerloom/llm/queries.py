@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import backoff_lm
 from ledgerloom.llm.best_fit_pack import pack
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.fair_mix import taken_words
@@ -39,6 +40,10 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(spark, documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, repeats=2)
 
 
+def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(spark, documents(spark, sf_dir), order=3, smoothing=4.0)
+
+
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, documents(spark, sf_dir), BYTE_TOKENIZER, capacity=1024)
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lsm_dedup": op5_lsm_dedup,
     "op6_ranked_ids": op6_ranked_ids,
     "op7_fair_mix": op7_fair_mix,
+    "op8_backoff_lm": op8_backoff_lm,
     "op10_best_fit_pack": op10_best_fit_pack,
 }
 #: SQL can't express the others within reason: they are tested against brute force in tests/llm.
