@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import backoff_lm
+from ledgerloom.llm.avi_clips import media_digests
 from ledgerloom.llm.best_fit_pack import pack
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.fair_mix import taken_words
+from ledgerloom.llm.fair_toxicity import toxicity
 from ledgerloom.llm.lpt_shards import shard
 from ledgerloom.llm.lsm_dedup import exact_dedup
 from ledgerloom.llm.ranked_ids import ranked_ids
@@ -20,6 +22,10 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fair_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir), shards=8)
 
@@ -32,6 +38,10 @@ def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, documents(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(spark, documents(spark, sf_dir))
+
+
 def op6_ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_ids(spark, documents(spark, sf_dir), WORD_TOKENIZER)
 
@@ -49,7 +59,9 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fair_toxicity": op1_fair_toxicity,
     "op2_lpt_shards": op2_lpt_shards,
+    "op3_avi_clips": op3_avi_clips,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_lsm_dedup": op5_lsm_dedup,
     "op6_ranked_ids": op6_ranked_ids,
