@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bitmaps of 32,768 bits in a filter of hashes: 4 MB at most, whatever the data; beyond its capacity it passes more rows.
+FILTER_BUCKETS = 1024
 #: Rows in an Arrow batch. Texts differ a lot in length, so batches are kept short.
 BATCH_ROWS = 1000
 
@@ -92,3 +94,22 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps, which it does as the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def _filter_value(h: str) -> Column:
+    return F.pmod(F.col(h), F.lit(FILTER_BUCKETS * 32768)) + 1
+
+
+def hash_filter(rows: DataFrame, h: str) -> DataFrame:
+    """(bucket, bitmap) of the values of the long column h: of fixed size, so it may be broadcast. Join it with in_filter."""
+    value = _filter_value(h)
+    bits = rows.select(F.bitmap_bucket_number(value).alias("__bucket"), F.bitmap_bit_position(value).alias("__bit"))
+    return F.broadcast(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
+
+
+def in_filter(h: str) -> Column:
+    """Join condition with a hash_filter: true for all values in it, and for few others."""
+    at = F.bitmap_bit_position(_filter_value(h))
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    set_bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(8)]), (at % 8).cast("int") + 1)) > 0
+    return (F.bitmap_bucket_number(_filter_value(h)) == F.col("__bucket")) & set_bit

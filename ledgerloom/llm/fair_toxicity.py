@@ -102,7 +102,7 @@ class Model:
         return score
 
 
-def minimise(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float, fairness: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def minimise(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float, fairness: float, steps: int = 600) -> tuple[np.ndarray, float]:
     """Adam on the full batch; deterministic. A logistic fit of absent and present features, with swapped pairs held together."""
     size = np.array([len(r) for r in rows])
     own, at = np.repeat(np.arange(len(rows)), size), np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
@@ -136,7 +136,7 @@ def in_training(folds: int, held_fold: int):
 
 def train(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_fold: int = 2, max_rows: int = 15_000, max_features: int = 8192,
-    groups: tuple = IDENTITY, ridge: float = 1e-5, fairness: float = 1.0, max_pairs: int = 20_000,
+    groups: tuple = IDENTITY, ridge: float = 2e-6, fairness: float = 1.0, max_pairs: int = 20_000,
 ) -> Model:
     """Learns from at most max_rows rows of each label; all else of the fit is bounded by that."""
     prepare(spark)

@@ -23,28 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, lower_az, prepare, stored, text_of, work_path
+from ledgerloom.llm.common import discard, hash_filter, in_filter, lower_az, prepare, stored, text_of, work_path
 
 MEMTABLES = 4
-#: Of 32,768 bits each: the broadcast filter has 4 MB at most, whatever the data; beyond its capacity it passes more texts.
-FILTER_BUCKETS = 1024
 
 
 def normal(name: str = "text") -> Column:
     return lower_az(text_of(name))
 
 
-def filter_value(text_hash: str) -> Column:
-    return F.pmod(F.col(text_hash), F.lit(FILTER_BUCKETS * 32768)) + 1
-
-
-def filter_has(bitmap: str, value: str) -> Column:
-    """Whether the bit of value is set in the bitmap of its bucket."""
-    at = F.bitmap_bit_position(value)
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(8)]), (at % 8).cast("int") + 1)) > 0
-
-
 class LsmIndex:
     """Runs in the shared folder; `keep` is "min" or "max" and says which id of a digest stays."""
 
@@ -97,11 +84,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, keep: str = "min", dige
     level = index.compact()
     more = level.where("n > 1").select("digest")
 
-    value = filter_value("h")
-    maybe = rows.join(more, "digest", "left_semi").select(F.bitmap_bucket_number(value).alias("bucket"), F.bitmap_bit_position(value).alias("bit"))
-    bitmaps = F.broadcast(maybe.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
-    hashed = slim.withColumn("value", F.pmod(F.xxhash64("text"), F.lit(FILTER_BUCKETS * 32768)) + 1)
-    passed = hashed.join(bitmaps, (F.bitmap_bucket_number("value") == F.col("bucket")) & filter_has("bitmap", "value"))
+    bitmaps = hash_filter(rows.join(more, "digest", "left_semi"), "h")
+    passed = slim.withColumn("h", F.xxhash64("text")).join(bitmaps, in_filter("h"))
     hits = passed.select("doc_id", "text", cut(F.sha2("text", 256)).alias("digest")).join(more, "digest", "left_semi")
     bytes_of = hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
     mixed = stored(spark, bytes_of.where("least <> greatest").select("digest"), "mixed")

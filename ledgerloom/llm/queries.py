@@ -13,6 +13,7 @@ from ledgerloom.llm.best_fit_pack import pack
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.fair_mix import taken_words
 from ledgerloom.llm.fair_toxicity import toxicity
+from ledgerloom.llm.fuzzy_lines import line_classes
 from ledgerloom.llm.lpt_shards import shard
 from ledgerloom.llm.lsm_dedup import exact_dedup
 from ledgerloom.llm.ranked_ids import ranked_ids
@@ -54,6 +55,10 @@ def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(spark, documents(spark, sf_dir), order=3, smoothing=4.0)
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(spark, documents(spark, sf_dir)).drop("row")
+
+
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, documents(spark, sf_dir), BYTE_TOKENIZER, capacity=1024)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ranked_ids": op6_ranked_ids,
     "op7_fair_mix": op7_fair_mix,
     "op8_backoff_lm": op8_backoff_lm,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_best_fit_pack": op10_best_fit_pack,
 }
 #: SQL can't express the others within reason: they are tested against brute force in tests/llm.
