@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(spark, documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+    return simhash_components(spark, documents(spark, sf_dir), words=4, bits=4).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_backoff_lm": op8_backoff_lm,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_best_fit_pack": op10_best_fit_pack,
+    "pipeline": corpus_pipeline.run,
 }
 #: SQL can't express the others within reason: they are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {

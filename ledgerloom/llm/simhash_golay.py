@@ -209,7 +209,7 @@ def near_links(spark: SparkSession, fps: DataFrame, bits: int = 4, max_bucket: i
     return links.distinct()
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, *, words: int = 4, bits: int = 4, max_bucket: int = 4096) -> DataFrame:
+def simhash_components(spark: SparkSession, docs: DataFrame, *, words: int = 5, bits: int = 4, max_bucket: int = 4096) -> DataFrame:
     """(doc_id, fp long, fingerprint hex, component_id): one row per row of docs."""
     prepare(spark)
 
@@ -226,3 +226,12 @@ def simhash_components(spark: SparkSession, docs: DataFrame, *, words: int = 4,
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     group = linked.join(least, "root").select("fp", "component_id")
     return prints.join(group, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose doc_id is their component's, with all columns. Rows with null ids stay (nothing names them);
+    rows of one doc_id stay together, unless some of them belong to another component."""
+    rows = simhash_components(spark, docs, **options)
+    gone = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0")
+    gone = stored(spark, gone.select(F.col("doc_id").alias("__gone")), "near-duplicates")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
