@@ -1,0 +1,49 @@
+"""Corpus reports over the results of the other operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def reject_histogram(decisions: DataFrame, banks: DataFrame) -> DataFrame:
+    """Per bank and reason: rejected rows, their share of the bank's, and their rank."""
+    n = decisions.where("not accepted").join(banks, "doc_id").groupBy("bank", "reason").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("bank")
+    rank = F.row_number().over(whole.orderBy(F.desc("n"), "reason"))
+    return n.select("bank", "reason", "n", F.round(100.0 * F.col("n") / F.sum("n").over(whole), 2).alias("percent"), rank.alias("rank"))
+
+
+def bank_failure_matrix(breaks: DataFrame, banks: DataFrame) -> DataFrame:
+    """Break reasons as columns, banks as rows."""
+    reasons = ["MISSING_TRANSACTION", "DIRECTION_ERROR", "AMOUNT_EXTRACTION_ERROR", "BALANCE_CORRUPTION"]
+    return breaks.join(banks, "doc_id").groupBy("bank").pivot("reason", reasons).count().na.fill(0)
+
+
+def fix_impact(decisions: DataFrame, banks: DataFrame) -> DataFrame:
+    """Rejected rows by reason that a fix would win back, per bank and overall (bank null): one rollup."""
+    rows = decisions.join(banks, "doc_id")
+    flag = lambda *reasons: F.count_if(F.col("reason").isin(*reasons))
+    return rows.rollup("bank").agg(F.count(F.lit(1)).alias("rows"), flag("both_debit_and_credit").alias("two_sided"), flag("no_debit_or_credit", "NO_TRANSACTION_SEED").alias("sideless"), flag("no_date").alias("dateless"))
+
+
+def waterfall(txns: DataFrame, decisions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Stages of a statement's rows, how many reach each, and the share of the stage before."""
+    seeded = truth.where("agreement_state <> 'UNSEEDED'")
+    full = truth.where("agreement_state = 'FULL_AGREEMENT'")
+    stages = [("1 rows", txns), ("2 accepted", decisions.where("accepted")), ("3 seeded", seeded), ("4 full agreement", full)]
+    counts = None
+    for name, rows in stages:
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.lag("n").over(Window.orderBy("stage")), 2))
+
+
+def continuity_by_bank(audit: DataFrame, banks: DataFrame) -> DataFrame:
+    """Per bank: statements, transitions, breaks and continuity over all its statements."""
+    out = audit.join(banks, "doc_id").groupBy("bank").agg(F.count(F.lit(1)).alias("statements"), F.sum("total").alias("total"), F.sum("valid").alias("valid"))
+    return out.select("bank", "statements", "total", (F.col("total") - F.col("valid")).alias("breaks"), F.round(100.0 * F.col("valid") / F.col("total"), 2).alias("continuity"))
+
+
+def state_counts(truth: DataFrame) -> DataFrame:
+    return truth.groupBy("agreement_state").agg(F.count(F.lit(1)).alias("n"))
