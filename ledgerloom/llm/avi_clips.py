@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import prepare, text_of, worker_cache
 
-SIDE, FRAME, FPS, CHUNK = 24, 576, 25, 4096
+SIDE, FRAME, FPS = 24, 576, 25
+#: Frames encoded, and decoded, at once.
+ENCODED, CHUNK = 512, 2048
 BINS, WINDOW, FLOOR, SPREAD = 32, 12, 0.12, 3.0
 # The typical luminance Huffman tables of ITU-T T.81, annex K (codes of each length, then symbols).
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -412,7 +414,7 @@ def store(payload: bytes) -> bytes:
 def store_all(payloads: list[bytes]) -> list[bytes]:
     padded = [p + b"\xff" * (max(FRAME, -(-len(p) // FRAME) * FRAME) - len(p)) for p in payloads]
     flat = np.frombuffer(b"".join(padded), np.uint8).astype(np.int16).reshape(-1, 9, 64) - 128
-    scans = [s for i in range(0, len(flat), CHUNK) for s in encode_scans(flat[i : i + CHUNK])]
+    scans = [s for i in range(0, len(flat), ENCODED) for s in encode_scans(flat[i : i + ENCODED])]
     head, out, at = header(SIDE, SIDE), [], 0
     for p in padded:
         n = len(p) // FRAME
@@ -439,7 +441,7 @@ def media_column(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            for s in parts([len(t) for t in texts], CHUNK * FRAME):
+            for s in parts([len(t) for t in texts], 4 * ENCODED * FRAME):
                 own = texts[s]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array([len(t) for t in own], pa.int64()), pa.array(store_all(own), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -454,7 +456,7 @@ def clips(spark: SparkSession, media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in parts([len(m or b"") for m in data], 2 * CHUNK * FRAME):
+            for s in parts([len(m or b"") for m in data], CHUNK * FRAME):
                 rows = []
                 for d, (_, hist, fps, error) in zip(ids[s], decoded(data[s])):
                     if error:
@@ -476,7 +478,7 @@ def media_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, sizes, data = (c.to_pylist() for c in batch.columns)
-            for s in parts([len(m) for m in data], 2 * CHUNK * FRAME):
+            for s in parts([len(m) for m in data], CHUNK * FRAME):
                 rows = []
                 for d, n, m, (coefficients, hist, fps, error) in zip(ids[s], sizes[s], data[s], decoded(data[s])):
                     if error:

@@ -21,8 +21,8 @@ parts by hash, to the tasks that own the parts; each owner adds up training coun
 asked. So a block receives exactly the part of the automaton that its documents can reach, and walks through it. Work and
 traffic grow with the text, memory with a block or a part, and a hot n-gram is one entry of each block.
 
-Words and n-grams are told apart by 64-bit hashes: with n distinct ones the chance of any clash is about n^2 / 2^65
-(one in 40,000 for 30 million).
+Words are told apart by 64-bit hashes, longer n-grams by 56 bits: of n distinct ones about n^2 / 2^65 and n^2 / 2^57 pairs
+clash (of a billion trigrams, seven).
 
 Edge cases: a null or empty text is one end token; null ids are hashed as the empty text for the split and kept; repeated rows
 are documents of their own (in training, too); without training rows every token is unknown; an empty table gives an
@@ -91,6 +91,34 @@ def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as gaps: of 5 bytes if the gaps of the upper 56 bits fit and the rest is zero, else as they are."""
+    gaps = np.diff(keys, prepend=keys[:1]) >> np.uint64(8)
+    if (keys & np.uint64(0xFF)).any() or gaps.max() >> np.uint64(40):
+        return b"\x08" + keys.tobytes()
+    return b"\x05" + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[0] == 8:
+        return np.frombuffer(data, np.uint64, offset=1)
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 5)
+    gaps = np.zeros((len(raw), 8), np.uint8)
+    gaps[:, 1:6] = raw
+    return np.frombuffer(data, np.uint64, 1, 1) + np.cumsum(gaps.reshape(-1).view(np.uint64))
+
+
+def narrowed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest whole bytes, after a byte that says how many."""
+    most = int(counts.max(initial=0))
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << (8 * n))
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 class Grams:
     """The n-grams of a block: at[k][i] is the place, among the distinct (k+1)-grams, of the one that ends with token i.
 
@@ -122,7 +150,7 @@ class Grams:
             distinct, place = np.unique(code, return_inverse=True)
             skip = int(len(distinct) > 0 and distinct[0] == -1)
             older, last = np.divmod(distinct[skip:], len(words))
-            hashes = mixed(self.keys[-1][older] * np.uint64(3) + mixed(self.keys[0][last]))
+            hashes = mixed(self.keys[-1][older] * np.uint64(3) + mixed(self.keys[0][last])) & ~np.uint64(0xFF)
             by_hash = np.argsort(hashes, kind="stable")
             rank = np.empty(len(hashes) + 1, np.int64)
             rank[by_hash] = np.arange(len(hashes))
@@ -150,8 +178,8 @@ def requests(order: int, parts: int):
             for row in batch.to_pylist():
                 grams, out = Grams(row, order), []
                 for k in range(order):
-                    counts, at = grams.counts(k).astype("<u4"), cut_points(grams.keys[k], parts)
-                    out += [(p, row["block"], k, grams.keys[k][a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                    counts, at = grams.counts(k), cut_points(grams.keys[k], parts)
+                    out += [(p, row["block"], k, packed(grams.keys[k][a:b]), narrowed(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "k", "keys", "counts"])
 
     return run
@@ -159,10 +187,10 @@ def requests(order: int, parts: int):
 
 def answered(frame: pd.DataFrame) -> pd.DataFrame:
     """All requests of a part and order -> the same rows with total counts; and, as block -1, N and V of the words."""
-    keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+    keys = [unpacked(x) for x in frame["keys"]]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]), len(distinct)).astype("<u8")
-    answers = [x.tobytes() for x in np.split(total[place], np.cumsum([len(x) for x in keys])[:-1])]
+    total = np.bincount(place, np.concatenate([widened(x) for x in frame["counts"]]), len(distinct)).astype("<u8")
+    answers = [narrowed(x) for x in np.split(total[place], np.cumsum([len(x) for x in keys])[:-1])]
     out = pd.DataFrame({"part": frame["part"], "block": frame["block"], "k": frame["k"], "totals": answers, "n": 0, "v": 0})
     if frame["k"].iloc[0] == 0:
         words = distinct != START
@@ -180,7 +208,7 @@ def walked(order: int, n: int, v: int, smoothing: float):
             return pd.DataFrame({c: [] for c in columns})
         grams = Grams(block.iloc[0].to_dict(), order)
         answers = answers.sort_values(["k", "part"])
-        totals = [np.concatenate([np.frombuffer(x, "<u8") for x in answers["totals"][answers["k"] == k]] or [np.zeros(0, "<u8")]).astype(np.float64) for k in range(order)]
+        totals = [np.concatenate([widened(x) for x in answers["totals"][answers["k"] == k]] or [np.zeros(0, "<u8")]).astype(np.float64) for k in range(order)]
         real = grams.position > 0
         c = totals[0][grams.at[0]]
         base = np.log10((c + 1) / (n + v + 1))
@@ -218,5 +246,6 @@ def score(spark: SparkSession, docs: DataFrame, *, order: int = 3, smoothing: fl
     n, v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     mine = answers.where("block >= 0").select("block", "k", "part", "totals")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    release(spark)
     out = blocks.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(walked(order, n, v, smoothing), schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -53,7 +53,7 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(spark, documents(spark, sf_dir), order=3, smoothing=4.0)
+    return backoff_lm.score(spark, documents(spark, sf_dir), order=2, smoothing=4.0)
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
