@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import prepare, release, stored, text_of
 from ledgerloom.llm.simhash_golay import LOWER
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 700_000
 #: N-grams of an owner's part, on average.
 PART_TOKENS = 500_000
 END, START = np.uint64(0xE4D), np.uint64(0x57A)
