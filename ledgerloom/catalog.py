@@ -197,7 +197,7 @@ register("parse_amount", on_amounts(lambda c: money.parse_amount(c).alias("value
     WHEN 4 THEN CAST(right(w, 2) || right(w, 3) || '.' || p AS DOUBLE) WHEN 6 THEN -v / 100.0 WHEN 7 THEN CAST(w AS DOUBLE) ELSE v / 100.0 END AS value FROM parts""", A)
 register("normalize_amount_v2", on_amounts(lambda c: money.normalize_amount_v2(c).alias("value")))
 register("sanitize_balance_text", on_amounts(lambda c: money.sanitize_balance_text(c).alias("value")))
-register("ocr_signatures", on_amounts(lambda c: signals.ocr_signature(c).alias("signature")), """SELECT id, CASE kind WHEN 1 THEN CASE WHEN length(w) > 3 THEN 'MULTIPLE_DOTS' END WHEN 3 THEN CASE WHEN length(w) > 3 THEN 'PUNCTUATION_CORRUPTION' END WHEN 4 THEN 'PUNCTUATION_CORRUPTION'
+register("ocr_signatures", on_amounts(lambda c: signals.ocr_signature(c).alias("signature")), """SELECT id, CASE kind WHEN 1 THEN 'MULTIPLE_DOTS' WHEN 3 THEN CASE WHEN length(w) > 3 THEN 'PUNCTUATION_CORRUPTION' END WHEN 4 THEN 'PUNCTUATION_CORRUPTION'
     WHEN 7 THEN CASE WHEN length(w) >= 5 THEN 'NUMERIC_SHAPE_ANOMALY' END END AS signature FROM parts""", A)
 register("entity_classes", lambda spark, d: views.statement_lines(views.ledger(spark, d)).select("doc_id", "page", F.explode(F.split("text", "  ")).alias("cell")).groupBy("doc_id", signals.entity_class(F.col("cell")).alias("class")).agg(F.count(F.lit(1)).alias("n")),
          """SELECT doc_id, CASE WHEN regexp_full_match(cell, '\\d{2}/\\d{2}/\\d{4}') THEN 'DATE' WHEN regexp_full_match(cell, '[0-9][0-9,.]*') THEN 'NUMERIC' WHEN cell LIKE 'Statement%' THEN 'FOOTER'

@@ -41,15 +41,16 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Ranks (uint32) -> control bytes and data bytes."""
-    ranks = ranks.astype("<u4")
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = size - 1
-    quads = padded.reshape(-1, 4)
+    """Ranks (uint16 or uint32) -> control bytes and data bytes."""
+    width = ranks.dtype.itemsize
+    more = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    used = np.ones((len(ranks), width), bool)
+    for k in range(1, width):
+        np.greater(ranks, (1 << (8 * k)) - 1, out=used[:, k])
+        more[: len(ranks)] += used[:, k]
+    quads = more.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    used = np.arange(4) < size[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, width)[used].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -93,14 +94,14 @@ def narrow(ids: bytes) -> bytes:
 
 
 def widen(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, f"<u{ids[0]}", offset=1).astype(np.uint32)
+    return np.frombuffer(ids, f"<u{ids[0]}", offset=1)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            n = np.bincount(widen(x.as_py()))
+        for _, part in slices(batch.column(0).to_pylist(), CHARS):
+            n = np.bincount(np.concatenate([widen(x) for x in part]))
             if len(n) > len(total):
                 n, total = total, n
             total[: len(n)] += n
@@ -148,8 +149,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str) -
     counts = ids.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame([(by_rank,)], "ids array<long>").write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
-    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    rank_of = np.zeros(max(by_rank, default=0) + 1, "<u2" if len(by_rank) <= 1 << 16 else "<u4")
+    rank_of[by_rank] = np.arange(len(by_rank))
     ids.mapInArrow(blocks_of(rank_of), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     discard(spark, ids)
 

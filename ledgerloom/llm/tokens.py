@@ -6,7 +6,7 @@ A text is cut at places that no token crosses, and the ids of each distinct piec
 * byte ids (`byte_bpe`): a space between two other characters opens a new pre-token whatever stands around it, and a
   newline between two others is a pre-token of its own, so pieces begin at such spaces and at both sides of such newlines.
 
-A piece of letters alone, or of letters and a final mark, is one pre-token or two: it goes straight to the tokenizer's
+A piece of letters alone, or of letters and final marks, is one pre-token or two: it goes straight to the tokenizer's
 model. Any other piece goes through the whole tokenizer. Ids are those of `encode(text, add_special_tokens=False)` on the
 whole text (tests compare them on random text); strings of special tokens in a text are ordinary text.
 """
@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import sys
 import unicodedata
-
-import numpy as np
+from array import array
 
 from ledgerloom.llm.common import worker_cache
 
 #: Pieces remembered by each of two generations; longer pieces than PIECE_CHARS are not remembered.
-REMEMBERED, PIECE_CHARS = 400_000, 40
-RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+REMEMBERED, PIECE_CHARS = 600_000, 40
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
-MARKS = frozenset(".,;:!?")
+#: Letters, then ASCII marks but the apostrophe, which opens contractions: two pre-tokens.
+MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 #: Letters below are lower-cased one by one, alike in Python and in the library.
 SIMPLE = "ɐ"
 
@@ -37,6 +38,10 @@ def byte_letters() -> dict[int, int]:
     return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memory(dict):
     """Piece -> ids; misses are computed, and pieces unused for a generation are forgotten."""
 
@@ -68,11 +73,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.space = chr(self.letters[0x20])
         # Probes, not the file's name, decide: does white space carry ids, and is text lower-cased?
         self.drops_space = len(self.whole("a  \n\t b")) == 2 * 4
         self.lowers = self.whole("AB") == self.whole("ab")
         self.plain = Memory(lambda p: self.piece(p, ""))
-        self.spaced = Memory(lambda p: self.piece(p, " "))
+        self.spaced = Memory(self.after_space)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -82,23 +88,24 @@ class Encoder:
         return cache["encoder", path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def token(self, text: str) -> bytes:
         """Ids of one pre-token."""
-        if not text.isascii() or text[0] == " ":
-            text = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        if not text.isascii():
+            lead, text = (self.space, text[1:]) if text[0] == self.space else ("", text)
+            text = lead + text.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.model.tokenize(text)])
 
     def piece(self, p: str, lead: str) -> bytes:
         if not p:
             return self.whole(lead) if lead else b""
-        word, mark = (p[:-1], p[-1]) if p[-1] in MARKS else (p, "")
-        if not word.isalpha() or max(word) >= SIMPLE or not unicodedata.is_normalized("NFC", word):
+        word, mark = (p, "") if p.isalpha() else m.groups() if (m := MARKED.match(p)) else ("", "")
+        if not word.isalpha() or not word.isascii() and (max(word) >= SIMPLE or not unicodedata.is_normalized("NFC", word)):
             return self.whole(lead + p)
         if mark:
-            return (self.spaced if lead else self.plain)[word] + self.plain[mark] if word else self.whole(lead + p)
-        return self.token(lead + (word.lower() if self.lowers else word))
+            return (self.spaced if lead else self.plain)[word] + (self.plain[mark] if len(mark) < 4 else self.whole(mark))
+        return self.token((self.space if lead else "") + (word.lower() if self.lowers else word))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.plain.age()
@@ -109,17 +116,28 @@ class Encoder:
     def words(self, text: str) -> bytes:
         return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def after_space(self, p: str) -> bytes:
+        """Ids of a piece after a space; of one after a newline if it begins so."""
+        line, p = (self.plain["\n"], p[1:]) if p[:1] == "\n" else (b"", p)
+        if not p or p[0].isspace() or p[-1].isspace():
+            raise Irregular
+        return line + self.plain[p] if line else self.piece(p, " ")
+
     def bytes(self, text: str) -> bytes:
+        """In a regular text white space never meets white space or an end."""
         if not text:
             return b""
-        if RUNS.search(text):
+        first, more, rest = text.replace("\n", " \n").partition(" ")
+        try:
+            if not first or first[0].isspace() or first[-1].isspace():
+                raise Irregular
+            return self.plain[first] + (b"".join(map(self.spaced.__getitem__, rest.split(" "))) if more else b"")
+        except Irregular:
             return b"".join(map(self.plain.__getitem__, SAFE.split(text)))
-        # White space never meets white space or an end: lines of words after single spaces.
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(self.plain[first] + b"".join(map(self.spaced.__getitem__, rest)))
-        return self.plain["\n"].join(lines)
+
+
+class Irregular(Exception):
+    """White space meets white space or an end."""
 
 
 def slices(values: list, most: int):

@@ -53,9 +53,9 @@ def corpus_matrix(truth: DataFrame, parsed: DataFrame, banks: DataFrame, limits:
     pairs = side(truth, "a").join(side(parsed, "b"), ["doc_id", "row_idx"])
     off = lambda c: F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) > TOLERANCE, F.lit(False))
     errors = pairs.groupBy("doc_id").agg(F.count_if(off("debit_c") | off("credit_c")).alias("amount_errors"), F.count_if(off("balance_c")).alias("balance_errors"))
-    from ledgerloom.operators.ledger import BY
+    from ledgerloom.operators.ledger import by
 
-    order = parsed.withColumn("back", F.col("date") < F.lag("date").over(BY)).groupBy("doc_id").agg(F.count_if("back").alias("ordering_errors"))
+    order = parsed.withColumn("back", F.col("date") < F.lag("date").over(by())).groupBy("doc_id").agg(F.count_if("back").alias("ordering_errors"))
     docs = counts.join(errors, "doc_id", "left").join(order, "doc_id", "left").na.fill(0).join(banks, "doc_id")
     sums = ("expected", "parsed", "amount_errors", "balance_errors", "ordering_errors")
     out = docs.groupBy("bank").agg(*[F.sum(c).alias(c) for c in sums], F.sum(F.greatest(F.lit(0), F.col("expected") - F.col("parsed"))).alias("missing"), F.sum(F.greatest(F.lit(0), F.col("parsed") - F.col("expected"))).alias("extra"))

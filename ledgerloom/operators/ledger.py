@@ -6,14 +6,20 @@ balance" means the previous row's (null breaks the chain), unless an operator sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("doc_id").orderBy("row_idx")
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
 NEAR, CONSERVED = 100, 150
 
 
+def by() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("row_idx")
+
+
+def before() -> WindowSpec:
+    return by().rowsBetween(Window.unboundedPreceding, -1)
+
+
 def amount(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0))
 
@@ -36,7 +42,7 @@ def break_reason(diff: Column, credit: Column, debit: Column) -> Column:
 
 def transitions(txns: DataFrame) -> DataFrame:
     """Adds prev_c, expected_c and diff_c (null where the chain is broken)."""
-    prev = F.lag("balance_c").over(BY)
+    prev = F.lag("balance_c").over(by())
     expected = F.col("prev_c") + amount("credit_c") - amount("debit_c")
     return txns.withColumn("prev_c", prev).withColumn("expected_c", expected).withColumn("diff_c", F.col("balance_c") - F.col("expected_c"))
 
@@ -60,10 +66,10 @@ def running_balance_audit(txns: DataFrame) -> DataFrame:
 def order_matches(txns: DataFrame, tolerance: int, null_is_zero: bool) -> tuple[Column, Column]:
     """Whether a row follows the one before it, and whether that one follows it."""
     value = (lambda c: F.coalesce(c, F.lit(0))) if null_is_zero else (lambda c: c)
-    prev, own = value(F.lag("balance_c").over(BY)), value(F.col("balance_c"))
+    prev, own = value(F.lag("balance_c").over(by())), value(F.col("balance_c"))
     first = F.col("row_idx") == 0
     forward = F.abs(prev + amount("credit_c") - amount("debit_c") - own) <= tolerance
-    back = F.abs(own + F.coalesce(F.lag("credit_c").over(BY), F.lit(0)) - F.coalesce(F.lag("debit_c").over(BY), F.lit(0)) - prev) <= tolerance
+    back = F.abs(own + F.coalesce(F.lag("credit_c").over(by()), F.lit(0)) - F.coalesce(F.lag("debit_c").over(by()), F.lit(0)) - prev) <= tolerance
     return F.coalesce(forward & ~first, F.lit(False)), F.coalesce(back & ~first, F.lit(False))
 
 
@@ -90,7 +96,7 @@ def ascending(txns: DataFrame) -> DataFrame:
 def heal_directions(txns: DataFrame) -> DataFrame:
     """Swaps debit and credit where the balance moved the other way by the same amount, against the last known balance.
     Adds ocr_direction, ledger_direction, direction_corrected and checked."""
-    last = F.last("balance_c", ignorenulls=True).over(BEFORE)
+    last = F.last("balance_c", ignorenulls=True).over(before())
     own = F.coalesce(F.when(F.col("credit_c") > 0, F.col("credit_c")), F.when(F.col("debit_c") > 0, F.col("debit_c")))
     seen = F.when(F.col("credit_c") > 0, "credit").when(F.col("debit_c") > 0, "debit")
     rows = txns.withColumn("delta_c", F.col("balance_c") - last).withColumn("ocr_direction", seen).withColumn("own_c", own)
@@ -153,7 +159,7 @@ def qualify(txns: DataFrame) -> DataFrame:
     none, both = F.col("debit_c").isNull() & F.col("credit_c").isNull(), F.col("debit_c").isNotNull() & F.col("credit_c").isNotNull()
     hard = F.when(F.col("date").isNull() | (F.col("date") == ""), "no_date").when(none & F.col("balance_c").isNull(), "NO_TRANSACTION_SEED").when(none, "no_debit_or_credit").when(both, "both_debit_and_credit")
     rows = txns.withColumn("hard", hard)
-    prev = F.last(F.when(F.col("hard").isNull(), F.struct("balance_c")), ignorenulls=True).over(BEFORE)["balance_c"]
+    prev = F.last(F.when(F.col("hard").isNull(), F.struct("balance_c")), ignorenulls=True).over(before())["balance_c"]
     rows = rows.withColumn("prev_c", prev)
     state = F.when(F.col("hard").isNull(), conservation(F.col("prev_c"), amount("credit_c"), amount("debit_c"), F.col("balance_c"))).otherwise("UNSEEDED")
     rows = rows.withColumn("conservation", state)
@@ -163,7 +169,7 @@ def qualify(txns: DataFrame) -> DataFrame:
 
 def corruptions(txns: DataFrame) -> DataFrame:
     """(doc_id, row_idx, kind): a row for each sign of corruption; the ledger is checked against the last known balance."""
-    last = F.last("balance_c", ignorenulls=True).over(BEFORE)
+    last = F.last("balance_c", ignorenulls=True).over(before())
     rows = txns.withColumn("last_c", last)
     off = F.abs(F.col("last_c") + amount("credit_c") - amount("debit_c") - F.col("balance_c")) > CONSERVED
     kinds = F.array_compact(F.array(
@@ -176,7 +182,7 @@ def corruptions(txns: DataFrame) -> DataFrame:
 def monotonic(txns: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Per statement: is the sequence of known balances rising or falling, but for a share of its steps?"""
     known = txns.where("balance_c is not null")
-    step = known.withColumn("step", F.col("balance_c") - F.lag("balance_c").over(BY))
+    step = known.withColumn("step", F.col("balance_c") - F.lag("balance_c").over(by()))
     out = step.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("step") >= 0).alias("rising"), F.count_if(F.col("step") <= 0).alias("falling"))
     most = F.greatest("rising", "falling")
     return out.withColumn("is_monotonic", F.coalesce((F.col("n") >= 3) & (most >= (F.col("n") - 1) * (1 - tolerance) - 1e-9), F.lit(False)))
@@ -184,7 +190,7 @@ def monotonic(txns: DataFrame, tolerance: float = 0.05) -> DataFrame:
 
 def ledger_truth(txns: DataFrame) -> DataFrame:
     """Agreement of each row's amount with the balance's move: FULL, PARTIAL, CONFLICT, or UNSEEDED with a reason."""
-    rows = txns.withColumn("prev_c", F.lag("balance_c").over(BY))
+    rows = txns.withColumn("prev_c", F.lag("balance_c").over(by()))
     delta = F.col("balance_c") - F.col("prev_c")
     own = F.coalesce("debit_c", "credit_c", F.lit(0))
     seen = F.when(F.col("debit_c").isNotNull(), "debit").when(F.col("credit_c").isNotNull(), "credit").otherwise("none")
