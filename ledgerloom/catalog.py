@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, signals
-from ledgerloom.operators import compare, confidence, layout, ledger, ordering, reporting, solver
+from ledgerloom.operators import compare, confidence, detect, entities, layout, ledger, ordering, reporting, solver
 from ledgerloom.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,3 +247,51 @@ register("waterfall", on_ledger(lambda t: reporting.waterfall(t, ledger.qualify(
 register("continuity_by_bank", with_banks(lambda t, b: reporting.continuity_by_bank(ledger.running_balance_audit(t), b)), """SELECT bank, count(*) AS statements, CAST(sum(total) AS BIGINT) AS total, CAST(sum(total) - sum(valid) AS BIGINT) AS breaks, round(sum(valid) * 100.0 / sum(total), 2) AS continuity
     FROM audit JOIN b USING (doc_id) GROUP BY bank""", L, BROKEN, AUDIT, B)
 register("state_counts", on_ledger(lambda t: reporting.state_counts(ledger.ledger_truth(t))), "SELECT agreement_state, count(*) AS n FROM truth GROUP BY agreement_state", L, TRUTH)
+
+# Identity, seeds, candidates and entities
+register("canonical_fields", lambda spark, d: views.statement_lines(views.ledger(spark, d)).where("line_idx = 0").select("doc_id", "page", F.posexplode(F.split("text", "  ")).alias("pos", "header")).select("doc_id", "page", "pos", detect.canonical_field(F.col("header")).alias("field")),
+         "SELECT doc_id, page, CAST(i AS INTEGER) AS pos, ['DATE', 'NARRATION', 'DEBIT', 'CREDIT', 'BALANCE'][i + 1] AS field FROM pages, range(5) AS g(i)", L, LINES)
+CARD = """card AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CREDIT CARD statement' ELSE 'Account statement' END || CASE WHEN o_orderkey % 5 = 0 THEN ' TOTAL AMOUNT DUE: Rs. ' || format('{:,.2f}', o_totalprice) ELSE '' END
+    || CASE WHEN o_orderkey % 7 = 0 THEN ' MINIMUM AMOUNT DUE = ' || format('{:,.2f}', o_totalprice / 20) ELSE '' END || repeat(' text', 40) AS text, o_totalprice AS p FROM orders)"""
+
+
+def card_texts(spark: SparkSession, d: str) -> DataFrame:
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    text = F.concat(F.when(k % 3 == 0, "CREDIT CARD statement").otherwise("Account statement"), F.when(k % 5 == 0, F.concat(F.lit(" TOTAL AMOUNT DUE: Rs. "), F.format_number(price, 2))).otherwise(""), F.when(k % 7 == 0, F.concat(F.lit(" MINIMUM AMOUNT DUE = "), F.format_number(price / 20, 2))).otherwise(""), F.lit(" text" * 40))
+    return views.table(spark, d, "orders").select("o_orderkey", text.alias("text"), price.alias("p"))
+
+
+register("document_families", lambda spark, d: card_texts(spark, d).select("o_orderkey", detect.document_family(F.col("text")).alias("family")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 35 = 0 THEN 'CREDIT_CARD' ELSE 'BANK_STATEMENT' END AS family FROM card", CARD)
+register("card_summaries", lambda spark, d: card_texts(spark, d).select("o_orderkey", detect.card_summary(F.col("text")).alias("s")).select("o_orderkey", "s.statement_due_amount", "s.total_fees"), """SELECT o_orderkey,
+    CASE WHEN o_orderkey % 5 = 0 THEN p WHEN o_orderkey % 7 = 0 THEN CAST(replace(format('{:,.2f}', p / 20), ',', '') AS DOUBLE) END AS statement_due_amount, CAST(NULL AS DOUBLE) AS total_fees FROM card""", CARD)
+
+
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' segments as bank names, in the header, in the text, as a code, or nowhere."""
+    c = views.table(spark, d, "customer")
+    k, name = F.col("c_custkey"), F.col("c_mktsegment")
+    body = F.concat(F.lit("x\n" * 9), F.when(k % 4 == 1, F.concat(F.lit("at "), name, F.lit(" house"))).when(k % 4 == 2, F.concat(F.lit("IFSC "), F.substring(name, 1, 4), F.lit("0AB1234"))).otherwise("nothing"))
+    texts = c.select(k.alias("doc_id"), F.concat(F.when(k % 4 == 0, name).otherwise("statement"), F.lit("\n"), body).alias("text"))
+    names = c.groupBy(name.alias("bank")).agg(F.lit(1)).select("bank", F.col("bank").alias("pattern"), F.hash("bank").alias("ord"))
+    return detect.identify(texts, names, names.select(F.substring("bank", 1, 4).alias("prefix"), "bank"))
+
+
+register("bank_identity", identities, "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 < 3 THEN c_mktsegment ELSE 'UNKNOWN' END AS bank, ['header', 'keyword', 'code', 'none'][c_custkey % 4 + 1] AS layer FROM customer")
+
+
+def seeds(t: DataFrame) -> DataFrame:
+    """Seed candidates of each statement: its first balance as the opening one, and every dated balance of a key class."""
+    period = t.groupBy("doc_id").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    rows = t.where("balance_c is not null and (row_idx = 0 or k % 5 = 0)").join(period, "doc_id")
+    first = F.col("row_idx") == 0
+    return detect.best_seed(rows.select("doc_id", F.col("row_idx").alias("ord"), F.when(first & (F.col("k") % 2 == 0), "opening").otherwise("balance_as_on").alias("source"), F.lit(80).alias("score"), F.col("balance_c").alias("value_c"), F.when(F.col("k") % 10 == 0, "1990-01-01").otherwise(F.col("date")).alias("day"), "start", "end"))
+
+
+register("seed_balances", on_ledger(seeds), """SELECT doc_id, value_c, source, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_idx) AS rk FROM (SELECT doc_id, row_idx, balance_c AS value_c,
+    CASE WHEN row_idx = 0 AND k % 2 = 0 THEN 'opening' ELSE 'balance_as_on' END AS source, CASE WHEN row_idx = 0 AND k % 2 = 0 THEN 80 WHEN k % 10 = 0 THEN 0 ELSE 95 END AS score FROM l WHERE balance_c IS NOT NULL AND (row_idx = 0 OR k % 5 = 0))) WHERE rk = 1 AND score > 0""", L)
+register("zone_candidates", lambda spark, d: detect.zone_candidates(views.amount_texts(spark, d).where("text <> 'n/a'").select(F.col("id").alias("doc_id"), F.lit(0).alias("row_no"), F.filter(F.array(F.expr("left(text, length(text) - 2)"), F.expr("right(text, 2)")), lambda x: x != "").alias("texts"))))
+register("balance_readings", lambda spark, d: detect.balance_candidates(views.amount_texts(spark, d).select(F.col("id").alias("doc_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("pos"), F.when(F.col("id") % 3 == 0, F.regexp_replace("text", r"\D", "")).otherwise(F.col("text")).alias("text"))))
+register("visual_lines", on_tokens(lambda t: entities.visual_lines(t).groupBy("doc_id", "page", "line_no").agg(F.count(F.lit(1)).alias("n"))), """SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_idx) - 1 AS INTEGER) AS line_no, n
+    FROM (SELECT doc_id, page, line_idx, count(*) AS n FROM tok GROUP BY doc_id, page, line_idx)""", L, LINES, TOKENS)
+register("merged_entities", on_tokens(lambda t: entities.merge_entities(entities.visual_lines(t))))
+register("matched_rows", two_readings(lambda a, b: entities.match_rows(a.select("doc_id", "row_idx", F.col("narration").alias("text")), b.select("doc_id", "row_idx", F.col("narration").alias("text")))))

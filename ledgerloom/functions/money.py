@@ -10,49 +10,41 @@ def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def sanitize_balance_text(c: Column) -> Column:
-    """First run of digits, dots, commas and spaces with its sign, trimmed of blanks, dots and commas, inner blanks
-    removed; a trailing CR or DR is kept after one blank. Null without digits."""
-    text = F.trim(c)
-    side = F.upper(F.regexp_extract(text, r"(?i)(CR|DR)\.?$", 1))
-    body = F.regexp_extract(text, r"-?[\d][\d,\.\s]*", 0)
-    body = F.regexp_replace(F.regexp_replace(body, r"[ .,]+$", ""), r"\s", "")
-    return F.when(body == "", None).when(side != "", F.concat_ws(" ", body, side)).otherwise(body)
-
+def _number_run(c: Column) -> Column:
+    """First run of digits, dots, commas and blanks with its sign, without blanks and without dots or commas at its end."""
+    run = F.regexp_extract(F.trim(c), r"-?[\d][\d,\.\s]*", 0)
+    return F.regexp_replace(F.regexp_replace(run, r"[ .,]+$", ""), r"\s", "")
 
-def _dots(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
 
+def sanitize_balance_text(c: Column) -> Column:
+    """The number run; a trailing CR or DR is kept after one blank. Null without digits."""
+    side = F.upper(F.regexp_extract(F.trim(c), r"(?i)(CR|DR)\.?$", 1))
+    return nonempty(F.rtrim(F.concat_ws(" ", nonempty(_number_run(c)), F.when(_number_run(c) != "", side))))
 
-def _decimal_comma(c: Column) -> Column:
-    """Without a dot, a last comma before exactly two digits is the decimal point; other commas group digits."""
-    point = F.when((_dots(c) == 0) & c.rlike(r",\d{2}$"), F.regexp_replace(c, r",(\d{2})$", ".$1")).otherwise(c)
-    return F.replace(point, F.lit(","), F.lit(""))
 
+def _repaired(digits: Column, few: str) -> Column:
+    """Digits, dots and commas to a plain number, as one chain of replacements that mentions its input once:
 
-def _last_dot(c: Column) -> Column:
-    """Of several dots the last one is the decimal point."""
-    return F.when(_dots(c) > 1, F.regexp_replace(c, r"\.(?=.*\.)", "")).otherwise(c)
+    without a dot, a last comma before two digits is the decimal point; other commas go; of several dots the last one
+    counts; three decimals were a group of thousands, five were a group and cents, if the whole part looks like `few`.
+    """
+    point = F.regexp_replace(digits, r"^([^.]*),(\d{2})$", "$1.$2")
+    plain = F.regexp_replace(F.regexp_replace(point, ",", ""), r"\.(?=.*\.)", "")
+    grouped = F.regexp_replace(plain, rf"^({few})\.(\d{{3}})$", "$1$2")
+    eaten = F.regexp_replace(grouped, rf"^({few})\.(\d{{3}})(\d{{2}})$", "$1$2.$3")
+    return F.regexp_extract(eaten, r"-?\d+(\.\d+)?", 0).try_cast("double")
 
 
 def parse_amount(c: Column) -> Column:
-    """The canonical reading of an amount; null if there is none. `2.000` is two thousand, `2.00000` two thousand with cents."""
-    digits = F.regexp_replace(sanitize_balance_text(c), r"[^\d.,\-]", "")
-    plain = _last_dot(_decimal_comma(digits))
-    short = F.length(F.regexp_extract(plain, r"^(-?\d*)\.", 1)) <= 3
-    grouped = F.when(short & plain.rlike(r"^-?\d*\.\d{3}$"), F.replace(plain, F.lit("."), F.lit("")))
-    eaten = F.when(short & plain.rlike(r"^-?\d*\.\d{5}$"), F.regexp_replace(plain, r"^(-?\d*)\.(\d{3})(\d{2})$", "$1$2.$3"))
-    return F.regexp_extract(F.coalesce(grouped, eaten, plain), r"-?\d+(\.\d+)?", 0).try_cast("double")
+    """The canonical reading of an amount; null if there is none. `2.000` is two thousand, `2.00000` two thousand with cents;
+    whole parts of over three characters, sign included, are left alone."""
+    return _repaired(F.regexp_replace(_number_run(c), r"[^\d.,\-]", ""), r"(?=[^.]{0,3}\.)-?\d*")
 
 
 def normalize_amount_v2(c: Column) -> Column:
-    """The reading for OCR text: letters that look like digits are digits, and repairs don't ask for few integer digits."""
+    """The reading for OCR text: letters that look like digits are digits, and repairs don't ask for a short whole part."""
     seen = F.translate(F.trim(c), "oOliI|", "001")
-    digits = F.regexp_replace(seen, r"[^\d.,\-]", "")
-    plain = _last_dot(_decimal_comma(digits))
-    grouped = F.when(plain.rlike(r"^-?\d+\.\d{3}$"), F.replace(plain, F.lit("."), F.lit("")))
-    eaten = F.when(plain.rlike(r"^-?\d+\.\d{5}$"), F.regexp_replace(plain, r"^(-?\d+)\.(\d{3})(\d{2})$", "$1$2.$3"))
-    return F.regexp_extract(F.coalesce(grouped, eaten, plain), r"-?\d+(\.\d+)?", 0).try_cast("double")
+    return _repaired(F.regexp_replace(seen, r"[^\d.,\-]", ""), r"-?\d+")
 
 
 def parse_float_safe(c: Column) -> Column:
