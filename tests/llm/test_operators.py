@@ -487,7 +487,7 @@ def test_fuzzy_lines(spark, empty):
 
     for i, a in enumerate(nodes):
         for b in nodes[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
+            if (prints[a] ^ prints[b]).bit_count() <= 2 and edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
                 root[find(a)] = find(b)
     seen, want = set(), collections.Counter()
     for d, t in rows:
