@@ -223,6 +223,7 @@ register("suppressed_texts", on_tokens(layout.suppressed_texts), """SELECT doc_i
     FROM (SELECT *, ((y0 + y1) / 2.0 - min(y0) OVER p) / (max(y1) OVER p - min(y0) OVER p) AS pos FROM tok WINDOW p AS (PARTITION BY doc_id, page)) JOIN (SELECT doc_id, count(DISTINCT page) AS pages FROM tok GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, text)
     WHERE np >= 2 AND score >= 5""", L, LINES, TOKENS)
 register("protected_rows", on_tokens(lambda t: layout.protected_rows(layout.row_boxes(layout.detect_rows(t)))), "SELECT doc_id, page, 0 AS row_no, 5 AS hits FROM pages", L, LINES)
+register("transaction_blocks", on_tokens(lambda t: layout.transaction_blocks(layout.row_boxes(layout.detect_rows(t)))), "SELECT doc_id, page, CAST(row_idx % 4 + 1 AS INTEGER) AS row_no, CAST(row_idx % 4 AS INTEGER) AS block FROM l", L)
 register("discovered_blocks", on_tokens(lambda t: layout.discover_blocks(layout.row_boxes(layout.detect_rows(t)))))
 
 # Column solver

@@ -102,3 +102,36 @@ def discover_blocks(boxes: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "row_no", "text"))), lambda r: r["text"]), " ")
     blocks = rows.groupBy("doc_id", "block").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("rows"), text.alias("text"))
     return blocks.withColumn("score", discovery_score(F.col("text"))).where("score >= 8")
+
+
+def transaction_blocks(boxes: DataFrame) -> DataFrame:
+    """boxes(doc_id, page, row_no, y0, y1, text) -> (doc_id, page, row_no, block): rows of candidate transactions.
+
+    A row with a date in its first 20 characters opens a block; other rows continue it if the gap to the block's last row is
+    from -50 to 45 and they are not furniture in the page's outer quarter or eighth. A third row, a second date or a second amount row opens a block of
+    its own. Footer rows go, and a terminal one ends its page. The state is the last row that was taken, so pages are folded in the JVM.
+    """
+    from ledgerloom.functions.signals import AMOUNT, CONTAMINANTS, DATE_LIKE, any_word, footer_decision
+
+    page = Window.partitionBy(*PAGE)
+    at = F.col("y1") / F.greatest(F.max("y1").over(page), F.lit(1))
+    anchor = F.substring("text", 1, 30).rlike(r"^.{0,19}\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b")
+    rows = boxes.withColumn("at", at).withColumn("anchor", anchor)
+    rows = rows.withColumn("action", footer_decision(F.col("text"), F.col("at"), F.col("anchor"))["action"])
+    stopped = F.max((F.col("action") == "STOP_PAGE").cast("int")).over(page.orderBy("row_no"))
+    rows = rows.withColumn("stopped", stopped).where("stopped = 0 and action = 'CONTINUE'")
+    edge = ((F.col("at") > 0.88) | (F.col("at") < 0.25)) & any_word(F.upper("text"), CONTAMINANTS)
+    item = F.struct("row_no", "y0", "y1", "anchor", edge.alias("edge"), F.col("text").rlike(DATE_LIKE).alias("dated"), F.col("text").rlike(AMOUNT).alias("priced"))
+    state = "struct<block:int,n:int,y1:double,dated:boolean,priced:boolean,out:array<struct<row_no:int,block:int>>>"
+    start = F.struct(F.lit(-1).alias("block"), F.lit(0).alias("n"), F.lit(0.0).alias("y1"), F.lit(False).alias("dated"), F.lit(False).alias("priced"), F.array().cast("array<struct<row_no:int,block:int>>").alias("out")).cast(state)
+
+    def step(acc, r):
+        gap = r["y0"] - acc["y1"]
+        skip = ~r["anchor"] & ((acc["block"] < 0) | (gap < -50) | (gap > 45) | r["edge"])
+        new = r["anchor"] | (acc["n"] >= 2) | (acc["dated"] & r["dated"]) | (acc["priced"] & r["priced"])
+        block = F.when(new, acc["block"] + 1).otherwise(acc["block"])
+        taken = F.struct(block.alias("block"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), r["y1"].cast("double").alias("y1"), r["dated"].alias("dated"), r["priced"].alias("priced"), F.array_append(acc["out"], F.struct(r["row_no"].cast("int").alias("row_no"), block.alias("block"))).alias("out")).cast(state)
+        return F.when(skip, acc).otherwise(taken)
+
+    folded = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    return folded.select(*PAGE, F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select(*PAGE, "o.row_no", "o.block")

@@ -98,6 +98,12 @@ def test_rows_by_anchor(spark):
     assert [rows[i] for i in range(6)] == [0, 0, 1, 1, 2, 2]
 
 
+def test_transaction_blocks(spark):
+    lines = ["01/02/2024 rent 5.00", "for the house", "and more", "02/02/2024 pay 7.00", "fee 1.00", "GRAND TOTAL 9.00", "03/02/2024 late 1.00"]
+    boxes = spark.createDataFrame([(1, 1, i, 12 * i, 12 * i + 10, x) for i, x in enumerate(lines)], "doc_id int, page int, row_no int, y0 int, y1 int, text string")
+    assert [(r["row_no"], r["block"]) for r in layout.transaction_blocks(boxes).orderBy("row_no").collect()] == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
+
+
 def test_column_solver(spark):
     rows = spark.createDataFrame([(1, 0, [100000]), (1, 1, [10000, 110000]), (1, 2, [5000, 105000])], "doc_id long, row_idx int, numbers array<long>")
     best = solver.solve(rows.where("row_idx > 0")).first()
