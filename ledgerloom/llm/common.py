@@ -107,9 +107,22 @@ def hash_filter(rows: DataFrame, h: str) -> DataFrame:
     return F.broadcast(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
 
 
-def in_filter(h: str) -> Column:
-    """Join condition with a hash_filter: true for all values in it, and for few others."""
+def _bit(h: str) -> Column:
     at = F.bitmap_bit_position(_filter_value(h))
     byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    set_bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(8)]), (at % 8).cast("int") + 1)) > 0
-    return (F.bitmap_bucket_number(_filter_value(h)) == F.col("__bucket")) & set_bit
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(8)]), (at % 8).cast("int") + 1)) > 0
+
+
+def in_filter(h: str) -> Column:
+    """Join condition with a hash_filter: true for all values in it, and for few others."""
+    return (F.bitmap_bucket_number(_filter_value(h)) == F.col("__bucket")) & _bit(h)
+
+
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """docs without the rows that match gone(__id, ...) by the condition `on`, which asks for doc_id <=> __id at least.
+    Only rows that a filter of fixed size can't clear are shuffled for the join."""
+    bitmaps = hash_filter(gone.select(F.xxhash64("__id").alias("__h")), "__h")
+    bucket = F.bitmap_bucket_number(_filter_value("__h")) == F.col("__bucket")
+    tried = docs.withColumn("__h", F.xxhash64("doc_id")).join(bitmaps, bucket, "left").withColumn("__maybe", F.coalesce(_bit("__h"), F.lit(False))).drop("__h", "__bucket", "__bitmap")
+    clear, maybe = tried.where(~F.col("__maybe")).drop("__maybe"), tried.where("__maybe").drop("__maybe")
+    return clear.unionByName(maybe.join(gone, on, "left_anti"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, hash_filter, in_filter, lower_az, prepare, stored, text_of, work_path
+from ledgerloom.llm.common import discard, hash_filter, in_filter, lower_az, prepare, stored, text_of, without, work_path
 
 MEMTABLES = 4
 
@@ -107,12 +107,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, keep: str = "min", dige
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs without the copies that exact_dedup drops; all columns stay. Of repeated rows (equal doc_id and text) one stays."""
     rows = exact_dedup(spark, docs, **options)
-    rows = stored(spark, rows.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "decided")
-    marked = docs.withColumn("__sha", F.sha2(normal(), 256))
-    same = lambda t: marked["doc_id"].eqNullSafe(t["doc_id"]) & (marked["__sha"] == t["text_sha256"])
-    gone, repeated = rows.where("not kept"), rows.where("kept and rows > 1")
-    out = marked.join(gone, same(gone), "left_anti")
+    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    rows = stored(spark, rows.where("not __kept or __rows > 1"), "decided")
+    gone, repeated = rows.where("not __kept"), rows.where("__kept and __rows > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(normal(), 256) == F.col("__sha"))
+    out = without(docs, gone, same)
     if not repeated.isEmpty():
-        both = out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__sha"])
-        out = out.join(repeated, same(repeated), "left_anti").unionByName(both)
-    return out.drop("__sha")
+        both = out.join(repeated, same, "left_semi").withColumn("__sha", F.sha2(normal(), 256)).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+        out = without(out, repeated, same).unionByName(both)
+    return out

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, prepare, stored, text_of, worker_cache
+from ledgerloom.llm.common import discard, prepare, stored, text_of, without, worker_cache
 from ledgerloom.llm.components import components
 
 GENERATOR, N, K = 0b110001110101, 23, 12
@@ -233,5 +233,5 @@ def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     rows of one doc_id stay together, unless some of them belong to another component."""
     rows = simhash_components(spark, docs, **options)
     gone = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0")
-    gone = stored(spark, gone.select(F.col("doc_id").alias("__gone")), "near-duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = stored(spark, gone.select(F.col("doc_id").alias("__id")), "near-duplicates")
+    return without(docs, gone, F.col("doc_id") == F.col("__id"))
