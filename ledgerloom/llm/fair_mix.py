@@ -17,7 +17,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import prepare, stored, text_of, word_count
@@ -26,6 +26,15 @@ BUCKETS = 1024
 WEIGHTS = (5, 2, 1)
 
 
+def shuffle_hash(doc_id: str, repeat: str, seed: int) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(repeat), F.lit(seed))
+
+
+def hash_range(repeat: str, shuffle: str) -> Column:
+    """The top bits of the hash, as an unsigned number, after the repeat: ranges come in the order of the queue."""
+    return F.col(repeat) * BUCKETS + F.shiftright(shuffle, 54) + BUCKETS // 2
+
+
 def source_targets(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
     """rows(source, size) -> (source, source_size, weight, target): the water level V in closed form over sources."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -51,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share
 
     Rows of size 0 come once for each repeat, with taken 0.
     """
-    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed)
+    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed).drop("range", "shuffle")
     return copies.where("taken > 0 or size = 0").orderBy("virtual_finish", "doc_id", "tag", "repeat")
 
 
@@ -62,9 +71,7 @@ def queued(spark: SparkSession, docs: DataFrame, *, weights: tuple, share: float
     rows = stored(spark, slim.withColumn("tag", F.monotonically_increasing_id()), "sizes")
     targets = source_targets(rows, weights, share, repeats)
     copies = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    copies = copies.withColumn("shuffle", F.xxhash64("doc_id", "repeat", F.lit(seed)))
-    # The top bits of the hash, as an unsigned number, after the repeat: ranges come in the order of the queue.
-    copies = copies.withColumn("range", F.col("repeat") * BUCKETS + F.shiftright("shuffle", 54) + BUCKETS // 2)
+    copies = copies.withColumn("shuffle", shuffle_hash("doc_id", "repeat", seed)).withColumn("range", hash_range("repeat", "shuffle"))
 
     sums = copies.groupBy("source", "range").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,23 +82,25 @@ def queued(spark: SparkSession, docs: DataFrame, *, weights: tuple, share: float
     placed = placed.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     start = F.col("offset") + F.col("sum") - F.col("size")
     taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - start)).cast("long")
-    return placed.select("doc_id", "source", "size", "tag", "source_size", "target", "repeat", ((start + F.col("size")) / F.col("weight")).alias("virtual_finish"), taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "tag", "source_size", "target", "repeat", ((start + F.col("size")) / F.col("weight")).alias("virtual_finish"), taken.alias("taken"), "range", "shuffle")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7) -> DataFrame:
-    """The documents of the mix with all their columns, repeats as repeated rows. The copies that a target cuts are left out."""
-    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed).where("taken = size and (size > 0 or repeat = 0)")
-    plan = copies.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"))
-    plan = stored(spark, plan.agg(F.count(F.lit(1)).alias("__copies"), F.countDistinct("tag").alias("__rows")), "mix-plan")
-    marked = docs.withColumn("__size", word_count(text_of()))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
-    held = marked.join(plan, on)
-    # Rows of one doc_id, source and size share their copies: the first rows get one more if they don't divide.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))) if not plan.where("__rows > 1").isEmpty() else F.lit(1)
-    held = held.withColumn("__nth", nth)
-    mine = F.floor((F.col("__copies") - F.col("__nth")) / F.col("__rows")).cast("int") + 1
-    times = F.explode(F.array_repeat(F.lit(0), F.greatest(F.lit(0), mine)))
-    return held.withColumn("__copy", times).select(*docs.columns)
+    """The documents of the mix with all their columns, repeats as repeated rows. The copies that a target cuts are left out;
+    documents of size 0 come once; repeated rows of one size stand at one place of the queue and stay or go together.
+
+    What a source gives is the beginning of its queue, so the place of the last whole copy (a row for each source) decides on
+    each document by its own hash: no text is shuffled.
+    """
+    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed).where("taken = size and size > 0")
+    cuts = copies.groupBy(F.col("source").alias("__source")).agg(F.max(F.struct("range", "shuffle", "doc_id", "size")).alias("__cut"))
+    cuts = stored(spark, cuts, "mix-cuts")
+    marked = docs.withColumn("__size", word_count(text_of())).withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    marked = marked.withColumn("__shuffle", shuffle_hash("doc_id", "__repeat", seed))
+    place = F.struct(hash_range("__repeat", "__shuffle").alias("range"), F.col("__shuffle").alias("shuffle"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__size").alias("size"))
+    held = marked.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left")
+    keep = F.when(F.col("__size") == 0, F.col("__repeat") == 0).otherwise(F.coalesce(place <= F.col("__cut"), F.lit(False)))
+    return held.where(keep).select(*docs.columns)
 
 
 def taken_words(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7) -> DataFrame:
