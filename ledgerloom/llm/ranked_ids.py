@@ -68,21 +68,29 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def tokenised(tokenizer: str):
-    """(doc_id, text), in order -> (part, seq, before, doc_id, ids)."""
+    """(doc_id, text), in order -> (part, seq, before, doc_id, ids); a last row of each part, with seq -1, has how often
+    each id occurs, in 8 bytes from id 0 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before, encoder = TaskContext.get().partitionId(), 0, 0, Encoder.of(tokenizer)
+        counts = np.zeros(0, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at, texts in slices(batch.column(1).to_pylist(), CHARS):
                 ids = [x + end for x in encoder.encode(texts)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 sums = before + np.cumsum(sizes)
+                n = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                if len(n) > len(counts):
+                    n, counts = counts, n
+                counts[: len(n)] += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(seq, seq + len(ids))), pa.array(sums - sizes), batch.column(0).slice(at, len(ids)), pa.array([narrow(x) for x in ids], pa.binary())],
                     names=["part", "seq", "before", "doc_id", "ids"],
                 )
                 seq, before = seq + len(ids), int(sums[-1])
+        if seq:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["part", "seq", "before", "doc_id", "ids"])
 
     return run
 
@@ -98,15 +106,11 @@ def widen(ids: bytes) -> np.ndarray:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        for _, part in slices(batch.column(0).to_pylist(), CHARS):
-            n = np.bincount(np.concatenate([widen(x) for x in part]))
-            if len(n) > len(total):
-                n, total = total, n
-            total[: len(n)] += n
-    ids = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+        for x in batch.column(0).to_pylist():
+            n = np.frombuffer(x, np.int64)
+            ids = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[ids])], names=["id", "n"])
 
 
 def blocks_of(rank_of: np.ndarray):
@@ -146,12 +150,12 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str) -
     ids = ordered.mapInArrow(tokenised(tokenizer), "part int, seq long, before long, doc_id long, ids binary")
     ids = stored(spark, ids, "ids")
     release(spark)
-    counts = ids.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.where("seq = -1").select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame([(by_rank,)], "ids array<long>").write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(by_rank, default=0) + 1, "<u2" if len(by_rank) <= 1 << 16 else "<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
-    ids.mapInArrow(blocks_of(rank_of), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ids.where("seq >= 0").mapInArrow(blocks_of(rank_of), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     discard(spark, ids)
 
 
