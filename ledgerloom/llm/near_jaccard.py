@@ -1,0 +1,157 @@
+"""Near-duplicate documents by the Jaccard similarity of their word shingles: MinHash bands find candidates, sets decide.
+
+A document's set holds the XXH64 values (seed 42) of its shingles of `words` words, A-Z lower-cased; a text of fewer words
+is one shingle, a text without words has the empty set. Documents of one set are one node. Two nodes are linked if their
+sets' Jaccard similarity is SIMILARITY = 0.8 or more, counted exactly; chains of such links make the groups.
+
+Candidates share a band: ROWS = 6 of the BANDS * ROWS minima of a node's shingles under different orders. A pair of
+similarity s shares one of BANDS = 40 bands with probability 1 - (1 - s^6)^40: 0.999995 at 0.8, more above. In a
+bucket, nodes meet its least node first; the groups that this gives are contracted, and only nodes of different groups
+meet each other. Only ids and keys are shuffled, besides the sets of candidates; nothing is capped.
+
+Edge cases: a null text counts as empty; empty texts are one group; a null doc_id takes part, and a group of only null ids
+has a null component_id; repeated rows give repeated result rows; other columns are ignored; an empty table gives an
+empty result. Memory of a task grows with its longest text only.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.backoff_lm import mixed
+from ledgerloom.llm.common import hash_filter, in_filter, prepare, release, stored, text_of, without
+from ledgerloom.llm.components import components
+from ledgerloom.llm.simhash_golay import LOWER
+
+#: A similarity of 4 / 5, as integers.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 40, 6
+#: Shingles that are put in all orders at once.
+CHUNK = 2048
+ORDERS = np.random.default_rng(8).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([h(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], np.uint64))
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """Least values of a set under each order, BANDS * ROWS of them."""
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), CHUNK):
+        np.minimum(out, ((x[i : i + CHUNK] ^ ORDERS[0]) * (ORDERS[1] | np.uint32(1))).min(1), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Rows of minima -> (rows, BANDS) keys; a key is of one band."""
+    cells = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), cells.shape[:2])
+    for r in range(ROWS):
+        key = mixed(key ^ cells[:, :, r])
+    return key
+
+
+def printed(words: int):
+    """(doc_id, text) -> (doc_id, h, n, keys): the set's hash, size and band keys."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            n = np.array([len(s) for s in sets], np.int64)
+            h = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            full = np.nonzero(n)[0]
+            keys = band_keys(np.array([minima(sets[i]) for i in full], np.uint32)).reshape(-1).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names=["doc_id", "h", "n", "keys"])
+
+    return run
+
+
+def sets_of(words: int):
+    """(text) -> (h, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                s = shingle_set(t, words)
+                h = xxhash.xxh64_intdigest(s.tobytes(), 42)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([h], np.uint64).view(np.int64)), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return run
+
+
+def headed(batches):
+    """(key, h, n) sorted by key -> (key, h, n, head, head_n): rows of a bucket after its first, with the first."""
+    last = np.zeros((3, 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], 1)
+        if not rows.shape[1]:
+            continue
+        new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        out = np.concatenate([rows, rows[1:, first]])[:, ~new]
+        last = rows[:, first[-1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "h", "n", "head", "head_n"])
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, *, words: int = 5) -> DataFrame:
+    """(doc_id, component_id): one row per row of docs; component_id is the group's least doc_id."""
+    prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    prints = stored(spark, rows.mapInArrow(printed(words), "doc_id long, h long, n long, keys array<long>"), "shingle-prints")
+    nodes = prints.groupBy("h").agg(F.min("doc_id").alias("least"))
+    keys = prints.select(F.explode("keys").alias("key"), "h", "n")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(headed, "key long, h long, n long, head long, head_n long")
+    shared = stored(spark, dealt.where("h <> head").distinct(), "shingle-buckets")
+    release(spark)
+
+    def sizes(n: str, n_b: str) -> Column:
+        """Sizes that don't rule out the similarity."""
+        return SIMILARITY[1] * F.least(n, n_b) >= SIMILARITY[0] * F.greatest(n, n_b)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(spark, pairs.distinct(), "shingle-pairs")
+        ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        places = nodes.join(ends, "h").select(F.xxhash64("least").alias("g"))
+        tried = rows.withColumn("g", F.xxhash64("doc_id")).join(hash_filter(places, "g"), in_filter("g")).select("text")
+        found = tried.mapInArrow(sets_of(words), "h long, shingles array<long>").join(hash_filter(ends, "h"), in_filter("h"))
+        sets = stored(spark, found.groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        both = pairs.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("set_b")), "b")
+        both = both.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("set_a")), "a")
+        common, n = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+        return stored(spark, both.where(sum(SIMILARITY) * common >= SIMILARITY[0] * n).select("a", "b"), "shingle-links")
+
+    links = verified(shared.where(sizes("n", "head_n")).select(F.col("head").alias("a"), F.col("h").alias("b")))
+    group = components(spark, links)
+    grouped = shared.join(group, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
+    other = grouped.select("key", *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "root")])
+    apart = grouped.join(other, "key").where((F.col("h") < F.col("h_b")) & (F.col("root") != F.col("root_b")) & sizes("n", "n_b"))
+    second = stored(spark, apart.select(F.col("h").alias("a"), F.col("h_b").alias("b")).distinct(), "shingle-pairs")
+    if not second.isEmpty():
+        group = components(spark, links.union(verified(second)))
+    linked = nodes.join(group, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "least")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "h").join(linked.join(least, "root").select("h", "component_id"), "h").select("doc_id", "component_id")
+
+
+def keep_first_similar(spark: SparkSession, docs: DataFrame, *, words: int = 5) -> DataFrame:
+    """The rows of docs whose doc_id is their component's, with all columns. Rows with null ids stay (nothing names them);
+    rows of one doc_id stay together, unless some of them belong to another component."""
+    rows = similar_components(spark, docs, words=words)
+    gone = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0")
+    gone = stored(spark, gone.select(F.col("doc_id").alias("__id")), "near-duplicates")
+    return without(docs, gone, F.col("doc_id") == F.col("__id"))

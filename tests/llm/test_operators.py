@@ -528,6 +528,48 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_near_stage_finds_all_documents_of_similarity_080(spark, empty):
+    import corpus_pipeline
+
+    rnd, rows = random.Random(4), []
+    vocabulary = ["".join(rnd.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(3000)]
+    for _ in range(60):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice([60, 100, 300, 1000]))]
+        rows.append((len(rows) * 7 % 1009, " ".join(base)))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rnd.randint(1, max(1, len(w) // 40))):
+                w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+            rows.append((len(rows) * 7 % 1009, " ".join(w)))
+    rows += [(2000, None), (2001, " \n"), (2002, "one"), (2003, "ONE"), (None, rows[0][1]), (None, None)]
+
+    def shingles(text):
+        w = (text or "").translate(LOWER).split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)], links = find(j), links + 1
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    want = collections.Counter(d for i, (d, _) in enumerate(rows) if d is None or d == least[find(i)])
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert collections.Counter(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == want
+    assert links > 100
+    assert corpus_pipeline.near(spark, empty, "").count() == 0
+
+
 def test_clean_documents_stay(spark):
     import corpus_pipeline
 
