@@ -489,7 +489,7 @@ def test_fuzzy_lines(spark, empty):
 
     for i, a in enumerate(nodes):
         for b in nodes[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2 and edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
                 root[find(a)] = find(b)
     seen, want = set(), collections.Counter()
     for d, t in rows:
@@ -504,6 +504,23 @@ def test_fuzzy_lines(spark, empty):
     assert fuzzy_lines.line_classes(spark, empty).count() == 0
 
 
+def test_fuzzy_lines_three_bits_apart(spark):
+    import xxhash
+
+    def fp(words):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words)]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rnd, rows = random.Random(3), []
+    while len(rows) < 20:
+        a = [rnd.choice(WORDS).lower() + rnd.choice("abcdefgh") for _ in range(40)]
+        b = [*a[:20], "new", *a[21:]]
+        if (fp(a) ^ fp(b)).bit_count() == 3:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = fuzzy_lines.line_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_doc_id"] for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 # Pipeline
 
 
