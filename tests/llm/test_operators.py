@@ -397,6 +397,19 @@ def test_language_model(spark, docs, empty):
     assert backoff_lm.score(spark, empty).count() == 0
 
 
+def test_language_model_query_scores_trigrams(spark, tmp_path):
+    from ledgerloom.llm import queries
+
+    # In training a trigram tells the last word, a bigram doesn't.
+    rows = [(i, "a m x" if i % 2 else "b m y") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op8_backoff_lm(spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want, bigrams = ({r["doc_id"]: r["score"] for r in backoff_lm.score(spark, docs, order=k, smoothing=4.0).collect()} for k in (3, 2))
+    assert got == pytest.approx(want)
+    assert all(got[d] > bigrams[d] + 0.05 for d in got)
+
+
 def test_language_model_packing():
     rnd = np.random.default_rng(7)
     for x in (rnd.integers(0, 1 << 63, 500, dtype=np.uint64), rnd.integers(0, 1 << 40, 500, dtype=np.uint64) << np.uint64(8), np.array([7], np.uint64) << np.uint64(8)):
