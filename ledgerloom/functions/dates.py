@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Formats of statement dates, in the order in which they are tried.
-FORMATS = ("d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "yyyy-M-d")
-SHAPES = (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", r"^\d{1,2} [A-Za-z]{3} \d{4}$", r"^\d{4}-\d{1,2}-\d{1,2}$")
+# Formats of statement dates, in the order in which they are tried, and their shapes.
+FORMATS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d MMM yyyy", "d-MMM-yyyy", "d-MMM-yy")
+SHAPES = (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2} [A-Za-z]{3} \d{4}$", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$")
 
 
 def parse_date(c: Column) -> Column:

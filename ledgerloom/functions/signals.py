@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 # Keywords of statement text.
 FOOTER_WORDS = ("GRAND TOTAL", "TOTAL", "DISCLAIMER", "ABBREVIATIONS USED", "END OF STATEMENT", "COMPUTER GENERATED", "SYSTEM GENERATED", "PAGE ", "CLOSING BALANCE", "FOR ANY QUERIES", "GENERATED ON")
 TERMINAL_WORDS = ("GRAND TOTAL", "END OF STATEMENT", "DISCLAIMER", "ABBREVIATIONS USED", "COMPUTER GENERATED STATEMENT", "END OF REPORT")
-CHANNELS = ("UPI", "NEFT", "RTGS", "IMPS", "ATM", "POS", "ACH", "ECS", "CHQ", "CHEQUE", "TRANSFER", "CASH")
 HEADER_CELLS = ("DATE", "NARRATION", "PARTICULARS", "CHQ NO", "DEBIT", "CREDIT", "BALANCE", "WITHDRAWAL", "DEPOSIT")
 FOOTER_CELLS = ("PAGE", "GENERATED ON", "GRAND TOTAL", "IFSC", "MICR", "BRANCH")
-CONTAMINANTS = ("IFSC", "MICR", "ACCOUNT NO", "ACCOUNT NUMBER", "BRANCH", "BRANCH CODE", "CURRENCY", "NOMINATION", "NOMINEE", "CUSTOMER ID", "CUST ID", "PHONE", "MOBILE", "EMAIL", "ADDRESS", "PAGE NO", "STATEMENT PERIOD", "OPENING BALANCE", "CLOSING BALANCE", "GENERATED ON", "PRINTED ON")
+DATE = r"\b(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}|\d{4}[/\-\.]\d{1,2}[/\-\.]\d{1,2}|\d{1,2}[\s\-\./][A-Za-z]{3,9}[\s\-\./]\d{2,4})\b"
+DISCOVERY_DATE = r"\b(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}|\d{2,4}[/\-\.]\d{1,2}[/\-\.]\d{1,2}|\d{1,2}[\s\-/][A-Za-z]{3,9}(?:[\s\-/]\d{2,4})?)\b"
+DECIMAL = r"[\d,]+\.\d{2}"
+MONEY = r"\b\d{1,3}(?:[,]\d{2,3})*(?:\.\d{1,2})?\b"
+NARRATION_WORD = r"(?i)\b(UPI|NEFT|IMPS|RTGS|ATM|ACH|NACH|ECS|CHEQUE|CHQ|DD|BY CLRG|TO CLRG|SALARY|EMI|LOAN|INTEREST|DIVIDEND|REFUND|CASHBACK|CREDIT|DEBIT|TRANSFER|TRF|IFT|MANDATE|AUTO)\b"
+HEADER_WORD = r"(?i)\b(DATE|NARRATION|PARTICULARS|DESCRIPTION|DEBIT|CREDIT|BALANCE|WITHDRAWAL|DEPOSIT|AMOUNT)\b"
+ACCOUNT_WORD = r"(?i)\b(ACCOUNT|A/C|BRANCH|IFSC|MICR|CUSTOMER|CUST ID|STATEMENT|GENERATED|PAGE|OPENING|CLOSING|NAME|ADDRESS)\b"
+PERIOD = r"(?i)(FROM\s+\d{1,2}.*?TO\s+\d{1,2}|\b\d{1,2}[\s\-/][A-Za-z]{3,9}[\s\-/]\d{2,4}\s*-\s*\d{1,2}[\s\-/][A-Za-z]{3,9}[\s\-/]\d{2,4}\b)"
+ROW_CHANNEL = r"\b(upi|neft|imps|rtgs)\b"
+ROW_SUMMARY = r"\b(statement|summary|closing|opening|brought forward|carried forward|total|page)\b"
+ROW_ACCOUNT = r"\b(branch|ifsc|micr|open date|account no|customer id|address|email)\b"
 DATE_AT_START = r"^\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"
-DATE_LIKE = r"\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b"
 AMOUNT = r"\b\d{1,3}(?:,\d{3})*\.\d{2}\b"
 
 
@@ -70,19 +78,42 @@ def ledger_suspicion(diff_cents: Column) -> Column:
     return F.when(power, "POWER_OF_TEN_DRIFT").when(small, "SMALL_DIGIT_SUBSTITUTION")
 
 
-def discovery_score(text: Column) -> Column:
-    """Likelihood of a transaction line: date 5, one amount 4, a second 4, channel 3, long reference 2, summary words -10."""
-    amounts = F.regexp_count(text, F.lit(AMOUNT))
-    points = ((text.rlike(DATE_LIKE), 5), (amounts >= 1, 4), (amounts >= 2, 4), (any_word(F.upper(text), CHANNELS), 3), (text.rlike(r"\b\d{10,}\b"), 2), (F.upper(text).rlike("TOTAL|SUMMARY|OPENING BALANCE|CLOSING BALANCE"), -10))
+def money_values(text: Column) -> Column:
+    """Amounts in a text, left to right; bare years from 1990 to 2100 are none."""
+    found = F.regexp_extract_all(text, F.lit(MONEY), 0)
+    year = lambda m: m.rlike(r"^\d{4}$") & m.try_cast("int").between(1990, 2100)
+    return F.transform(F.filter(found, lambda m: ~year(m)), lambda m: F.replace(m, F.lit(","), F.lit("")).try_cast("double"))
+
+
+def row_score(text: Column, dated: Column) -> Column:
+    """Likelihood that a printed row is a transaction: date 5, one amount 4, a second 4, channel 3, long reference 2, words of
+    summaries -10, words of the account -10."""
+    low = F.lower(text)
+    amounts = F.regexp_count(text, F.lit(r"\b\d{1,3}(?:,\d{2,3})*\.\d{2}\b"))
+    points = ((dated, 5), (amounts >= 1, 4), (amounts >= 2, 4), (low.rlike(ROW_CHANNEL), 3), (text.rlike(r"\b\d{10,20}\b") | text.rlike(r"\b[A-Z0-9]{10,15}\b"), 2), (low.rlike(ROW_SUMMARY), -10), (low.rlike(ROW_ACCOUNT), -10))
     return reduce(add, [F.when(c, n).otherwise(0) for c, n in points])
 
 
+def hypothesis_scores(text: Column) -> Column:
+    """struct(transaction, header, account): three readings of a block of text. Words of headers and of the account, and a
+    statement period, speak against a transaction and for the others."""
+    amounts = F.size(money_values(text))
+    when = lambda c, n: F.when(c, n).otherwise(0)
+    header, account, period = text.rlike(HEADER_WORD), text.rlike(ACCOUNT_WORD), text.rlike(PERIOD)
+    for_row = when(text.rlike(DISCOVERY_DATE), 5) + when(amounts >= 1, 4) + when(amounts >= 2, 4) + when(text.rlike(NARRATION_WORD), 3) + when(text.rlike(r"\b\d{10,}\b"), 2)
+    return F.struct((for_row - when(header, 10) - when(account, 10) - when(period, 15)).alias("transaction"), when(header, 10).alias("header"), (when(account, 10) + when(period, 10)).alias("account"))
+
+
 def text_score(text: Column) -> Column:
-    """Quality of a page's text: 10 a date, 5 an amount, 2 a line of several words, 0.5 a line."""
-    lines = F.split(text, "\n")
-    several = F.size(F.filter(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) > 1))
-    filled = F.size(F.filter(lines, lambda x: F.trim(x) != ""))
-    return 10.0 * F.regexp_count(text, F.lit(DATE_LIKE)) + 5.0 * F.regexp_count(text, F.lit(AMOUNT)) + 2.0 * several + 0.5 * filled
+    """Quality of a page's text: 10 a date, 5 an amount, 2 a line of three words, 0.5 a line; -1000 for one line of over 200
+    characters, -500 for lines of over 300 on average, as text that lost its line ends; 0 without text."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
+    n = F.size(lines)
+    total = lambda f: F.aggregate(F.transform(lines, f), F.lit(0), lambda a, x: a + x)
+    mean = total(lambda x: F.length(x)) / n
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    points = 10.0 * total(lambda x: F.regexp_count(x, F.lit(DATE))) + 5.0 * total(lambda x: F.regexp_count(x, F.lit(DECIMAL))) + 2.0 * F.size(F.filter(lines, lambda x: words(x) >= 3)) + 0.5 * n
+    return F.when(n <= 0, 0.0).when((n == 1) & (mean > 200), -1000.0).when(mean > 300, -500.0).when(text.isNotNull(), points)
 
 
 def institution_name(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Header words and the fields that they name, in order of precedence.
 CANONICAL = (
     ("date", "DATE"), ("txn date", "DATE"), ("transaction date", "DATE"), ("value date", "VALUE_DATE"), ("val date", "VALUE_DATE"), ("narration", "NARRATION"), ("description", "NARRATION"), ("particulars", "NARRATION"), ("details", "NARRATION"),
-    ("cheque", "CHEQUE"), ("chq", "CHEQUE"), ("ref", "REFERENCE"), ("withdrawal", "DEBIT"), ("debit", "DEBIT"), ("dr", "DEBIT"), ("deposit", "CREDIT"), ("credit", "CREDIT"), ("cr", "CREDIT"), ("balance", "BALANCE"), ("closing", "BALANCE"),
+    ("cheque", "CHEQUE"), ("chq", "CHEQUE"), ("ref", "REFERENCE"), ("withdrawal", "DEBIT"), ("debit", "DEBIT"), ("dr", "DEBIT"), ("deposit", "CREDIT"), ("credit", "CREDIT"), ("cr", "CREDIT"), ("balance", "BALANCE"), ("bal", "BALANCE"),
 )
 # Phrases of card statements.
 CARD_PHRASES = ("TOTAL AMOUNT DUE", "MINIMUM AMOUNT DUE", "AVAILABLE CREDIT LIMIT", "PAYMENT DUE DATE", "CARD STATEMENT", "LEGEND CREDIT CARD", "PLATINUM CREDIT CARD", "CASH LIMIT")
@@ -93,8 +93,8 @@ def best_seed(candidates: DataFrame) -> DataFrame:
 
 
 def zone_candidates(cells: DataFrame) -> DataFrame:
-    """cells(doc_id, row_no, texts array<string>), tokens of a zone from left to right -> (doc_id, row_no, text, value, score): the best
-    reading among all runs of neighbouring tokens joined together.
+    """cells(doc_id, row_no, texts array<string>), tokens of a zone from left to right -> (doc_id, row_no, text, value, score, first, last): the
+    best reading among all runs of neighbouring tokens joined together.
 
     Points: 5 for reaching the zone's end (or the end but for CR/DR), 5 for decimals, 4 for CR/DR, 4 for joining, 3 for confidence,
     2 for grouping commas, -6 for several dots, -5 for a lone token among several without CR/DR. Ties go to the first run.
@@ -114,7 +114,7 @@ def zone_candidates(cells: DataFrame) -> DataFrame:
     )
     score = reduce(add, [F.when(c, v).otherwise(0) for c, v in points], F.lit(3))
     scored = each.select("doc_id", "row_no", "r.i", "r.j", text.alias("text"), value.alias("value"), score.alias("score")).where("value > 0")
-    best = scored.groupBy("doc_id", "row_no").agg(F.max_by(F.struct("text", "value", "score"), F.struct("score", -F.col("i"), -F.col("j"))).alias("b"))
+    best = scored.groupBy("doc_id", "row_no").agg(F.max_by(F.struct("text", "value", "score", F.col("i").alias("first"), F.col("j").alias("last")), F.struct("score", -F.col("i"), -F.col("j"))).alias("b"))
     return best.select("doc_id", "row_no", "b.*")
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page")
 # Words of table headers, and of page furniture.
-HEADER_WORDS = ("DATE", "NARRATION", "PARTICULARS", "DESCRIPTION", "DEBIT", "CREDIT", "BALANCE", "WITHDRAWAL", "DEPOSIT", "CHEQUE", "REF", "VALUE", "AMOUNT", "TRANSACTION", "REMARKS")
+HEADER_WORDS = ("DATE", "BALANCE", "DEPOSIT", "WITHDRAWAL", "PARTICULARS", "AMOUNT", "DEBIT", "CREDIT", "NARRATION", "DESCRIPTION", "TRANSACTION", "DR", "CR", "CHQ", "REF")
+BLOCK_FURNITURE = ("IFSC", "MICR", "Branch", "Address", "Statement", "Page", "Customer", "Nomination", "Registered", "Closing balance")
 FURNITURE = ("BANK", "IFSC", "MICR", "PAGE", "STATEMENT", "ACCOUNT", "CURRENCY", "CUSTOMER", "NOMINATION")
+PAGE_NUMBERS = (r"(?i)page\s+\d+\s+of\s+\d+", r"(?i)page\s+no\.?\s*\d+", r"(?i)page\s+\d+")
+#: Where dates stand if no date zone is known.
+LEFT = 150
 ZONE_OF = {"DATE": "date", "NARRATION": "narration", "DEBIT": "debit", "CREDIT": "credit", "BALANCE": "balance"}
 
 
@@ -42,9 +46,10 @@ def detect_rows(tokens: DataFrame) -> DataFrame:
 
 
 def row_boxes(rows: DataFrame) -> DataFrame:
-    """(doc_id, page, row_no, y0, y1, n, text): rows with their tokens' text by x."""
+    """(doc_id, page, row_no, y0, y1, n, text, left_text): rows with their tokens' text by x, and that of tokens that begin left of LEFT."""
     words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "tok_idx", "text"))), lambda t: t["text"]), " ")
-    return rows.groupBy(*PAGE, "row_no").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"), words.alias("text"))
+    left = F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("x0", "tok_idx", "text"))), lambda t: t["x0"] < LEFT), lambda t: t["text"]), " ")
+    return rows.groupBy(*PAGE, "row_no").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"), words.alias("text"), left.alias("left_text"))
 
 
 def header_zones(rows: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def suppressed_texts(tokens: DataFrame) -> DataFrame:
     """(doc_id, norm, score): repeated page furniture. 3 for over 70 % of the pages, 2 if mostly in the outer 15 % of the
     used height, 2 for each furniture word; from 5 on, and only on two pages or more."""
     text = F.trim("text")
-    for shape in (r"(?i)page\s+\d+\s+of\s+\d+", r"(?i)page\s+no\.?\s*\d+", r"(?i)page\s+\d+"):
+    for shape in PAGE_NUMBERS:
         text = F.regexp_replace(text, shape, "PAGE_N")
     page = Window.partitionBy(*PAGE)
     top, low = F.min("y0").over(page), F.max("y1").over(page)
@@ -90,38 +95,72 @@ def protected_rows(boxes: DataFrame) -> DataFrame:
     return boxes.select(*PAGE, "row_no", hits.alias("hits")).where("hits >= 3")
 
 
+def protect_tokens(rows: DataFrame) -> DataFrame:
+    """Tokens with row_no -> the same with `protected`: those of rows with three header words or more."""
+    kept = protected_rows(row_boxes(rows)).select(*PAGE, "row_no", F.lit(True).alias("protected"))
+    return rows.join(kept, [*PAGE, "row_no"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
+
+
+def period_bands(tokens: DataFrame) -> DataFrame:
+    """(doc_id, page, tok_idx) of page headings that state a period: within 20 of a token with `statement of account`, if that
+    band has two dates and a from or to, the token itself, dates, and tokens with from or to."""
+    low, yc = F.lower("text"), (F.col("y0") + F.col("y1")) / 2.0
+    dated = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"
+    heads = tokens.where(F.contains(low, F.lit("statement of account"))).select(F.col("doc_id").alias("h_doc"), F.col("page").alias("h_page"), F.col("tok_idx").alias("head"), yc.alias("h_yc"))
+    near = (F.col("doc_id") == F.col("h_doc")) & (F.col("page") == F.col("h_page")) & (F.abs(yc - F.col("h_yc")) <= 20)
+    band = tokens.select(*PAGE, "tok_idx", low.alias("low"), "y0", "y1").join(heads, near)
+    one = Window.partitionBy(*PAGE, "head")
+    stated = (F.sum(F.regexp_count("low", F.lit(dated))).over(one) >= 2) & (F.max(F.col("low").rlike("from|to").cast("int")).over(one) == 1)
+    return band.withColumn("stated", stated).where(F.col("stated") & F.col("low").rlike(f"statement of account|from|to|{dated}")).select(*PAGE, "tok_idx").distinct()
+
+
+def suppress(tokens: DataFrame) -> DataFrame:
+    """Tokens(..., protected) without repeated page furniture: of statements of two pages or more, tokens go whose text, with
+    page numbers alike, is one of suppressed_texts, and those of period_bands, unless they are protected."""
+    norm = F.trim("text")
+    for shape in PAGE_NUMBERS:
+        norm = F.regexp_replace(norm, shape, "PAGE_N")
+    several = tokens.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).where("pages > 1").select("doc_id")
+    gone = suppressed_texts(tokens).select("doc_id", "norm", F.lit(True).alias("furniture"))
+    bands = period_bands(tokens).join(several, "doc_id").withColumn("band", F.lit(True))
+    marked = tokens.withColumn("norm", norm).join(gone, ["doc_id", "norm"], "left").join(bands, [*PAGE, "tok_idx"], "left")
+    return marked.where("protected or furniture is null and band is null").drop("norm", "furniture", "band")
+
+
 def discover_blocks(boxes: DataFrame) -> DataFrame:
-    """Candidate transactions: blocks of rows that begin with a date, on a new page, or after a gap of over 15, scored.
+    """Candidate transactions: blocks of rows that begin with a date, on a new page, or after a gap of over 15, read as a
+    transaction, as a header and as account data; the first must score 8 at least and more than the others.
     Here the gap is to the previous row, so a running sum of beginnings numbers the blocks."""
-    from ledgerloom.functions.signals import DATE_LIKE, discovery_score
+    from ledgerloom.functions.signals import DISCOVERY_DATE, hypothesis_scores
 
     by = Window.partitionBy("doc_id").orderBy("page", "row_no")
-    new = F.col("text").rlike(DATE_LIKE) | (F.col("page") != F.lag("page").over(by)) | (F.col("y0") - F.lag("y1").over(by) > 15)
+    new = F.col("text").rlike(DISCOVERY_DATE) | (F.col("page") != F.lag("page").over(by)) | (F.col("y0") - F.lag("y1").over(by) > 15)
     rows = boxes.withColumn("new", F.coalesce(new, F.lit(True)).cast("int"))
     rows = rows.withColumn("block", F.sum("new").over(by))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "row_no", "text"))), lambda r: r["text"]), " ")
     blocks = rows.groupBy("doc_id", "block").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("rows"), text.alias("text"))
-    return blocks.withColumn("score", discovery_score(F.col("text"))).where("score >= 8")
+    scored = blocks.withColumn("s", hypothesis_scores(F.col("text")))
+    return scored.where("s.transaction >= 8 and s.transaction > s.header and s.transaction > s.account").select("doc_id", "block", "page", "rows", "text", F.col("s.transaction").alias("score"))
 
 
 def transaction_blocks(boxes: DataFrame) -> DataFrame:
-    """boxes(doc_id, page, row_no, y0, y1, text) -> (doc_id, page, row_no, block): rows of candidate transactions.
+    """boxes(doc_id, page, row_no, y0, y1, text, left_text) -> (doc_id, page, row_no, block): rows of candidate transactions.
 
-    A row with a date in its first 20 characters opens a block; other rows continue it if the gap to the block's last row is
+    A row with a date in the first 20 characters of its text, or of its part left of LEFT, opens a block; other rows continue it if the gap to the block's last row is
     from -50 to 45 and they are not furniture in the page's outer quarter or eighth. A third row, a second date or a second amount row opens a block of
     its own. Footer rows go, and a terminal one ends its page. The state is the last row that was taken, so pages are folded in the JVM.
     """
-    from ledgerloom.functions.signals import AMOUNT, CONTAMINANTS, DATE_LIKE, any_word, footer_decision
+    from ledgerloom.functions.signals import AMOUNT, DATE, any_word, footer_decision
 
     page = Window.partitionBy(*PAGE)
     at = F.col("y1") / F.greatest(F.max("y1").over(page), F.lit(1))
-    anchor = F.substring("text", 1, 30).rlike(r"^.{0,19}\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b")
+    anchor = F.col("left_text").rlike(rf"^.{{0,19}}?{DATE}") | F.col("text").rlike(rf"^.{{0,19}}?{DATE}")
     rows = boxes.withColumn("at", at).withColumn("anchor", anchor)
     rows = rows.withColumn("action", footer_decision(F.col("text"), F.col("at"), F.col("anchor"))["action"])
     stopped = F.max((F.col("action") == "STOP_PAGE").cast("int")).over(page.orderBy("row_no"))
     rows = rows.withColumn("stopped", stopped).where("stopped = 0 and action = 'CONTINUE'")
-    edge = ((F.col("at") > 0.88) | (F.col("at") < 0.25)) & any_word(F.upper("text"), CONTAMINANTS)
-    item = F.struct("row_no", "y0", "y1", "anchor", edge.alias("edge"), F.col("text").rlike(DATE_LIKE).alias("dated"), F.col("text").rlike(AMOUNT).alias("priced"))
+    edge = ((F.col("at") > 0.88) | (F.col("at") < 0.25)) & any_word(F.lower("text"), tuple(map(str.lower, BLOCK_FURNITURE)))
+    item = F.struct("row_no", "y0", "y1", "anchor", edge.alias("edge"), F.col("text").rlike(DATE).alias("dated"), F.col("text").rlike(AMOUNT).alias("priced"))
     state = "struct<block:int,n:int,y1:double,dated:boolean,priced:boolean,out:array<struct<row_no:int,block:int>>>"
     start = F.struct(F.lit(-1).alias("block"), F.lit(0).alias("n"), F.lit(0.0).alias("y1"), F.lit(False).alias("dated"), F.lit(False).alias("priced"), F.array().cast("array<struct<row_no:int,block:int>>").alias("out")).cast(state)
 

@@ -34,7 +34,8 @@ def solve(rows: DataFrame) -> DataFrame:
 
 
 def missing_rows(found: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """Candidate rows whose signature (date, balance, narration digest) was not extracted: a left anti join."""
+    """Candidate rows whose signature (date, balance, how many numbers, narration digest) was not extracted: a left anti join."""
     key = F.substring(F.md5(F.lower(F.substring(F.regexp_replace("narration", r"\s+", ""), 1, 50))), 1, 8)
-    signed = lambda t: t.withColumn("signature", F.concat_ws("_", "date", F.col("balance_c").cast("string"), key))
+    count = F.size(F.array_compact(F.array("debit_c", "credit_c", "balance_c"))).cast("string")
+    signed = lambda t: t.withColumn("signature", F.concat_ws("_", "date", F.col("balance_c").cast("string"), count, key))
     return signed(all_rows).join(signed(found).select("doc_id", "signature"), ["doc_id", "signature"], "left_anti").select("doc_id", "row_idx", "signature")
