@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import catalog_text
 from ledgerloom.functions import dates, money, signals
 from ledgerloom.operators import compare, confidence, detect, entities, layout, ledger, ordering, reporting, solver
 from ledgerloom.plans import views
@@ -208,12 +209,14 @@ register("normalize_dates", lambda spark, d: views.table(spark, d, "orders").sel
 register("footer_rows", lambda spark, d: views.statement_lines(views.ledger(spark, d)).select("doc_id", "page", "line_idx", signals.footer_decision(F.col("text"), F.col("line_idx") / 5.0, F.col("line_idx").between(1, 4)).alias("f")).select("doc_id", "page", "line_idx", "f.*"),
          """SELECT doc_id, page, line_idx, line_idx = 5 AS is_footer, CASE WHEN line_idx = 5 THEN 0.95 WHEN line_idx = 0 THEN 0.4 WHEN n >= 2 THEN 0.0 ELSE 0.0 END AS confidence, CASE WHEN line_idx = 5 THEN 'IGNORE_ROW' ELSE 'CONTINUE' END AS action
     FROM (SELECT *, length(text) - length(replace(text, '.', '')) AS n FROM lines)""", L, LINES)
-register("text_scores", lambda spark, d: views.table(spark, d, "documents").select("doc_id", signals.text_score(F.col("text")).alias("score")), """SELECT doc_id, 10.0 * len(regexp_extract_all(text, '\\b[0-9]{1,2}[/\\-.][0-9]{1,2}[/\\-.][0-9]{2,4}\\b')) + 5.0 * len(regexp_extract_all(text, '\\b[0-9]{1,3}(?:,[0-9]{3})*\\.[0-9]{2}\\b'))
-    + 2.0 * len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) > 1)) + 0.5 * len(list_filter(ls, lambda x: trim(x, ' ') <> '')) AS score FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)""")
+register("text_scores", lambda spark, d: views.table(spark, d, "documents").select("doc_id", signals.text_score(F.col("text")).alias("score")), f"""SELECT doc_id, CASE WHEN n = 0 THEN 0.0 WHEN n = 1 AND chars > 200 THEN -1000.0 WHEN chars > 300 * n THEN -500.0 ELSE
+    10.0 * list_sum(list_transform(ls, lambda x: len(regexp_extract_all(x, '{signals.DATE}')))) + 5.0 * list_sum(list_transform(ls, lambda x: len(regexp_extract_all(x, '{signals.DECIMAL}'))))
+    + 2.0 * len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) >= 3)) + 0.5 * n END AS score
+    FROM (SELECT *, len(ls) AS n, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS chars FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS ls FROM documents))""")
 
 # Layout
 register("y_tolerances", on_tokens(layout.y_tolerances), "SELECT doc_id, page, greatest(3.0, list_sort(list(y1 - y0))[count(*) // 2 + 1] * 0.5) AS tolerance FROM tok GROUP BY doc_id, page", L, LINES, TOKENS)
-register("detect_rows", on_tokens(lambda t: layout.row_boxes(layout.detect_rows(t))), """SELECT doc_id, page, CAST(line_idx - low AS INTEGER) AS row_no, min(y0) AS y0, max(y1) AS y1, count(*) AS n, string_agg(text, ' ' ORDER BY x0) AS text
+register("detect_rows", on_tokens(lambda t: layout.row_boxes(layout.detect_rows(t)).drop("left_text")), """SELECT doc_id, page, CAST(line_idx - low AS INTEGER) AS row_no, min(y0) AS y0, max(y1) AS y1, count(*) AS n, string_agg(text, ' ' ORDER BY x0) AS text
     FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_idx) - 1 AS rk FROM tok) CROSS JOIN LATERAL (SELECT line_idx - rk AS low) GROUP BY doc_id, page, line_idx, low""", L, LINES, TOKENS)
 register("zone_assignment", on_tokens(lambda t: layout.assign_zones(t, layout.header_zones(layout.detect_rows(t))).groupBy("doc_id", "zone").agg(F.count(F.lit(1)).alias("n"))), """SELECT doc_id, zone, count(*) AS n FROM tok JOIN (SELECT * FROM
     (SELECT doc_id AS zd, zone, coalesce((lag(xc) OVER w + xc) / 2, 0) AS lo, coalesce((xc + lead(xc) OVER w) / 2, 9999) AS hi FROM (SELECT DISTINCT doc_id, lower(text) AS zone, (x0 + x1) / 2.0 AS xc FROM tok WHERE line_idx = 0) WINDOW w AS (PARTITION BY doc_id ORDER BY xc)))
@@ -224,7 +227,6 @@ register("suppressed_texts", on_tokens(layout.suppressed_texts), """SELECT doc_i
     WHERE np >= 2 AND score >= 5""", L, LINES, TOKENS)
 register("protected_rows", on_tokens(lambda t: layout.protected_rows(layout.row_boxes(layout.detect_rows(t)))), "SELECT doc_id, page, 0 AS row_no, 5 AS hits FROM pages", L, LINES)
 register("transaction_blocks", on_tokens(lambda t: layout.transaction_blocks(layout.row_boxes(layout.detect_rows(t)))), "SELECT doc_id, page, CAST(row_idx % 4 + 1 AS INTEGER) AS row_no, CAST(row_idx % 4 AS INTEGER) AS block FROM l", L)
-register("discovered_blocks", on_tokens(lambda t: layout.discover_blocks(layout.row_boxes(layout.detect_rows(t)))))
 
 # Column solver
 NUMS = "nums AS (SELECT doc_id, row_idx, list_filter([debit_c, credit_c, balance_c], lambda x: x IS NOT NULL) AS numbers FROM l)"
@@ -234,8 +236,8 @@ COLS = """cells AS (SELECT doc_id, row_idx, numbers, unnest(numbers) AS v, gener
 register("column_scores", on_ledger(lambda t: solver.column_scores(solver.number_rows(t))), "SELECT *, hits / greatest(1, n - 1) AS score FROM cols", L, NUMS, COLS)
 register("solve_balance_column", on_ledger(lambda t: solver.solve(solver.number_rows(t))), """SELECT doc_id, b, n, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits / greatest(1, n - 1) * 0.97 + CASE WHEN b = width - 1 THEN 0.0009 ELSE 0 END DESC, b) AS rk
     FROM cols JOIN (SELECT doc_id, max(len(numbers)) AS width FROM nums GROUP BY doc_id) USING (doc_id)) WHERE rk = 1""", L, NUMS, COLS)
-register("missing_rows", two_readings(lambda a, b: solver.missing_rows(b, a)), """SELECT doc_id, row_idx, sig AS signature FROM (SELECT doc_id, row_idx, concat_ws('_', date, CAST(balance_c AS VARCHAR), substring(md5(lower(substring(replace(narration, ' ', ''), 1, 50))), 1, 8)) AS sig FROM l) x
-    WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, concat_ws('_', date, CAST(balance_c AS VARCHAR), substring(md5(lower(substring(replace(narration, ' ', ''), 1, 50))), 1, 8)) AS sig FROM r) y WHERE y.doc_id = x.doc_id AND y.sig = x.sig)""", L, R)
+register("missing_rows", two_readings(lambda a, b: solver.missing_rows(b, a)), """SELECT doc_id, row_idx, sig AS signature FROM (SELECT doc_id, row_idx, concat_ws('_', date, CAST(balance_c AS VARCHAR), CAST((debit_c IS NOT NULL)::INT + (credit_c IS NOT NULL)::INT + (balance_c IS NOT NULL)::INT AS VARCHAR), substring(md5(lower(substring(replace(narration, ' ', ''), 1, 50))), 1, 8)) AS sig FROM l) x
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, concat_ws('_', date, CAST(balance_c AS VARCHAR), CAST((debit_c IS NOT NULL)::INT + (credit_c IS NOT NULL)::INT + (balance_c IS NOT NULL)::INT AS VARCHAR), substring(md5(lower(substring(replace(narration, ' ', ''), 1, 50))), 1, 8)) AS sig FROM r) y WHERE y.doc_id = x.doc_id AND y.sig = x.sig)""", L, R)
 
 # Reports
 register("reject_histogram", with_banks(lambda t, b: reporting.reject_histogram(ledger.qualify(t), b)), """SELECT bank, reason, n, round(n * 100.0 / sum(n) OVER (PARTITION BY bank), 2) AS percent, row_number() OVER (PARTITION BY bank ORDER BY n DESC, reason) AS rank
@@ -296,3 +298,7 @@ register("visual_lines", on_tokens(lambda t: entities.visual_lines(t).groupBy("d
     FROM (SELECT doc_id, page, line_idx, count(*) AS n FROM tok GROUP BY doc_id, page, line_idx)""", L, LINES, TOKENS)
 register("merged_entities", on_tokens(lambda t: entities.merge_entities(entities.visual_lines(t))))
 register("matched_rows", two_readings(lambda a, b: entities.match_rows(a.select("doc_id", "row_idx", F.col("narration").alias("text")), b.select("doc_id", "row_idx", F.col("narration").alias("text")))))
+
+# Text lines
+for _name, _query in catalog_text.QUERIES.items():
+    register(_name, _query, catalog_text.oracles(L, LINES).get(_name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ledgerloom.catalog import ORACLES, QUERIES
 from ledgerloom.functions import dates, money, signals
-from ledgerloom.operators import compare, confidence, layout, ledger, ordering, solver
+from ledgerloom.operators import compare, confidence, geometry, layout, ledger, ordering, solver
 from ledgerloom.plans import views
 from ledgerloom.sources import readers
 from ledgerloom.streaming import audits
@@ -100,10 +100,46 @@ def test_rows_by_anchor(spark):
 
 def test_transaction_blocks(spark):
     lines = ["01/02/2024 rent 5.00", "for the house", "and more", "02/02/2024 pay 7.00", "fee 1.00", "GRAND TOTAL 9.00", "03/02/2024 late 1.00"]
-    boxes = spark.createDataFrame([(1, 1, i, 12 * i, 12 * i + 10, x) for i, x in enumerate(lines)], "doc_id int, page int, row_no int, y0 int, y1 int, text string")
+    boxes = spark.createDataFrame([(1, 1, i, 12 * i, 12 * i + 10, x, x) for i, x in enumerate(lines)], "doc_id int, page int, row_no int, y0 int, y1 int, text string, left_text string")
     assert [(r["row_no"], r["block"]) for r in layout.transaction_blocks(boxes).orderBy("row_no").collect()] == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
 
 
+def test_block_anchors_read_all_date_shapes(spark):
+    lines = ["2024-02-01 rent 5.00", "more of it", "05-Jan-2024 pay 7.00", "paid on the 05/02/2024 to the house 1.00"]
+    boxes = spark.createDataFrame([(1, 1, i, 12 * i, 12 * i + 10, x, x) for i, x in enumerate(lines)], "doc_id int, page int, row_no int, y0 int, y1 int, text string, left_text string")
+    assert [r["block"] for r in layout.transaction_blocks(boxes).orderBy("row_no").collect()] == [0, 0, 1, 2]
+
+
+def test_suppression_keeps_protected_rows(spark):
+    rows = [(p, i, t, 10 * i, 5 if t != "Page 1" else 190) for p in (1, 2, 3) for i, t in enumerate(["Statement", "Date", "Debit", "Balance", f"x{p}", "Page 1"])]
+    tokens = spark.createDataFrame([(1, p, i, t, x, x + 8, y, y + 8) for p, i, t, x, y in rows], "doc_id int, page int, tok_idx int, text string, x0 int, x1 int, y0 int, y1 int")
+    protected = layout.protect_tokens(layout.detect_rows(tokens))
+    left = sorted((r["page"], r["text"]) for r in layout.suppress(protected).collect())
+    assert [t for p, t in left if p == 1] == ["Balance", "Date", "Debit", "Statement", "x1"]
+    bare = sorted(r["text"] for r in layout.suppress(protected.withColumn("protected", F.lit(False))).where("page = 1").collect())
+    assert bare == ["x1"]
+
+
+def test_period_bands(spark):
+    texts = [(1, "Statement of Account"), (1, "from 01/02/2024"), (1, "to 01/03/2024"), (1, "Mr X"), (9, "rent 05/02/2024")]
+    tokens = spark.createDataFrame([(1, 1, i, t, 10 * i, 10 * i + 8, 10 * y, 10 * y + 8) for i, (y, t) in enumerate(texts)], "doc_id int, page int, tok_idx int, text string, x0 int, x1 int, y0 int, y1 int")
+    assert sorted(r["tok_idx"] for r in layout.period_bands(tokens).collect()) == [0, 1, 2]
+
+
+def test_zone_swap(spark):
+    zones = spark.createDataFrame([(d, z, lo, lo + 99.0) for d in (1, 2, 3) for z, lo in (("debit", 300.0), ("credit", 400.0))], "doc_id int, zone string, lo double, hi double")
+    blocks = [(1, i, "UPI/CR/1 received", 310.0) for i in range(4)] + [(2, i, "paid to x", 320.0) for i in range(4)] + [(3, 0, "received", 310.0), (3, 1, "cr and dr", 310.0)]
+    got = {r["doc_id"]: r["swapped"] for r in geometry.zones_swapped(spark.createDataFrame(blocks, "doc_id int, nth int, text string, amount_x double"), zones).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_merged_dates_and_owed_balances(spark):
+    cells = [("DATE", 20, 0), ("NARRATION", 100, 0), ("DEBIT", 300, 0), ("CREDIT", 400, 0), ("BALANCE", 500, 0), ("02", 20, 20), ("Feb", 32, 20), ("2026", 48, 20), ("rent", 100, 20), ("5.00", 300, 20), ("95.00", 400, 20), ("CR", 440, 20)]
+    tokens = spark.createDataFrame([(1, 1, i, t, x, x + 10, y, y + 8) for i, (t, x, y) in enumerate(cells)], "doc_id int, page int, tok_idx int, text string, x0 int, x1 int, y0 int, y1 int")
+    row = geometry.extract_blocks(tokens).first()
+    assert (row["date"], row["narration"], row["debit_c"], row["credit_c"], row["balance_c"]) == ("02 Feb 2026", "rent", 500, None, 9500)
+
+
 def test_column_solver(spark):
     rows = spark.createDataFrame([(1, 0, [100000]), (1, 1, [10000, 110000]), (1, 2, [5000, 105000])], "doc_id long, row_idx int, numbers array<long>")
     best = solver.solve(rows.where("row_idx > 0")).first()
