@@ -301,4 +301,4 @@ register("matched_rows", two_readings(lambda a, b: entities.match_rows(a.select(
 
 # Text lines
 for _name, _query in catalog_text.QUERIES.items():
-    register(_name, _query, catalog_text.oracles(L, LINES).get(_name))
+    register(_name, _query, catalog_text.oracles(L, LINES, QUALIFIED).get(_name))

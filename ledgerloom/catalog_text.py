@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import signals
-from ledgerloom.operators import detect, geometry, layout, textlines
+from ledgerloom.operators import confidence, detect, geometry, layout, ledger, reporting, textlines
 from ledgerloom.plans import views
 
 
@@ -78,10 +78,31 @@ QUERIES = {
     "geometry_rows": lambda spark, d: geometry.extract_blocks(columns(spark, d)).drop("anchor", "block"),
     "geometry_decisions": lambda spark, d: geometry.decided(geometry.extract_blocks(columns(spark, d)), geometry.page_seeds(layout.row_boxes(layout.detect_rows(columns(spark, d))))),
     "page_seeds": lambda spark, d: geometry.page_seeds(layout.row_boxes(layout.detect_rows(columns(spark, d)))),
+    "layer_funnel": lambda spark, d: funnel(columns(spark, d)),
+    "reject_classes": lambda spark, d: rejects(views.ledger(spark, d)),
+    "expected_confidence": lambda spark, d: expected_confidence(views.ledger(spark, d)),
     "page_text_scores": lambda spark, d: page_texts(spark, d).select("o_orderkey", signals.text_score(F.col("text")).alias("score")),
 }
 
 
+def funnel(tokens: DataFrame) -> DataFrame:
+    boxes = layout.row_boxes(layout.detect_rows(tokens))
+    return reporting.layer_funnel(tokens, boxes, geometry.decided(geometry.extract_blocks(tokens), geometry.page_seeds(boxes)))
+
+
+def rejects(t: DataFrame) -> DataFrame:
+    """Every ledger row classed as if it had been lost, with what a parser may say of it."""
+    said = F.when(F.col("k") % 31 == 0, "date_in_numeric_zone").when(F.col("k") % 37 == 0, "Continuity gap").when(F.col("k") % 43 == 0, "Column DEBIT not found").when(F.col("k") % 47 == 0, "failed to reconcile")
+    date = F.when(F.col("k") % 59 != 0, F.col("date"))
+    rows = t.join(ledger.qualify(t).select("doc_id", "row_idx", "conservation"), ["doc_id", "row_idx"])
+    return rows.select("doc_id", "row_idx", reporting.reject_class(date, F.col("debit_c"), F.col("credit_c"), F.col("balance_c"), said, F.col("conservation")).alias("r")).select("doc_id", "row_idx", "r.*")
+
+
+def expected_confidence(t: DataFrame) -> DataFrame:
+    expected = t.groupBy("doc_id").agg((F.count(F.lit(1)) + F.col("doc_id") % 5).alias("expected"))
+    return confidence.statement_confidence(t, expected)
+
+
 def summary_texts(spark: SparkSession, d: str) -> DataFrame:
     k, price = F.col("o_orderkey"), F.format_number("o_totalprice", 2)
     text = F.concat_ws("\n", F.when(k % 2 == 0, F.concat(F.lit("No. of Debits: "), k % 97)), F.when(k % 3 == 0, F.concat(F.lit("CR Count  "), k % 89)), F.when(k % 5 == 0, F.concat(F.lit("TOTAL DEBIT Rs "), price)), F.when(k % 7 == 0, F.concat(F.lit("Total  Credit\n"), price)), F.lit("end"))
@@ -110,8 +131,8 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "orders").select("o_orderkey", text.alias("text"))
 
 
-def oracles(ledger_sql: str, page_lines: str) -> dict[str, str]:
-    """ledger_sql and page_lines: the ledger view and the lines of its pages in SQL, as common table expressions."""
+def oracles(ledger_sql: str, page_lines: str, qualified: str) -> dict[str, str]:
+    """The ledger view, the lines of its pages and the qualified rows in SQL, as common table expressions."""
     printed, solved = f"WITH {ledger_sql}, {PRINTED} ", f"WITH {ledger_sql}, {PRINTED}, {SOLVED} "
     counted = "SELECT doc_id, '{}' AS kind, count(*) AS n FROM {} WHERE {} GROUP BY doc_id"
     kinds = {"page": "row_idx % 4 = 0", "seed": "row_idx = 0 AND doc_id % 3 < 2", "footer": "k % 13 = 0", "skip": "k % 19 = 0"}
@@ -141,6 +162,14 @@ def oracles(ledger_sql: str, page_lines: str) -> dict[str, str]:
             regexp_replace(text, '\\s+', ' ', 'g') || CASE WHEN row_idx % 4 >= 2 AND row_idx = max(row_idx) OVER (PARTITION BY l.doc_id, l.page) THEN ' Statement of Account Page ' || l.page ELSE '' END AS text FROM l JOIN lines ON lines.doc_id = l.doc_id AND lines.page = l.page AND line_idx = row_idx % 4 + 1),
             scored AS (SELECT *, {points} AS score, {flag(signals.HEADER_WORD, 10)} AS header, {flag(signals.ACCOUNT_WORD, 10)} + {flag(signals.PERIOD, 10)} AS account FROM one)
             SELECT doc_id, block, page, rows, text, score FROM scored WHERE score >= 8 AND score > header AND score > account""",
+        "layer_funnel": f"""WITH {ledger_sql}, {BOXED}, {DECIDED}, c AS (SELECT doc_id, sum(3 + (debit_c IS NOT NULL)::INT + (credit_c IS NOT NULL)::INT + CASE WHEN balance_c IS NULL THEN 0 WHEN k % 7 = 0 THEN 2 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN row_idx % 4 = 0 THEN 5 ELSE 0 END
+            + CASE WHEN row_idx = 0 AND doc_id % 3 = 0 THEN 3 ELSE 0 END) AS t, sum(1 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN row_idx % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN row_idx = 0 AND doc_id % 3 = 0 THEN 1 ELSE 0 END) AS r FROM l GROUP BY doc_id),
+            o AS (SELECT doc_id, count(*) FILTER (hard IS NULL AND (state = 'FAIL' OR NOT label)) AS e, count(*) AS n FROM d GROUP BY doc_id)
+            SELECT doc_id, 'OCR Tokens' AS layer, CAST(t AS BIGINT) AS count, CAST(0 AS BIGINT) AS dropped FROM c UNION ALL SELECT doc_id, 'Rows Built', CAST(r AS BIGINT), CAST(t - r AS BIGINT) FROM c UNION ALL SELECT doc_id, 'Rows Parsed', CAST(r AS BIGINT), 0 FROM c UNION ALL SELECT doc_id, 'Transactions Emitted', e, n - e FROM o""",
+        "reject_classes": f"""WITH {ledger_sql}, {qualified}, z AS (SELECT l.*, CASE WHEN k % 31 = 0 THEN 1 WHEN k % 37 = 0 THEN 2 WHEN k % 43 = 0 THEN 3 WHEN k % 47 = 0 THEN 4 ELSE 0 END AS said, conservation FROM l JOIN q USING (doc_id, row_idx)),
+            y AS (SELECT doc_id, row_idx, CASE WHEN k % 59 = 0 THEN 1 WHEN said = 1 THEN 2 WHEN balance_c IS NULL THEN 3 WHEN debit_c IS NULL AND credit_c IS NULL THEN 4 WHEN debit_c IS NOT NULL AND credit_c IS NOT NULL THEN 5 WHEN conservation = 'FAIL' OR said = 4 THEN 6 WHEN said = 2 THEN 7 WHEN said = 3 THEN 8 ELSE 9 END AS i FROM z)
+            SELECT doc_id, row_idx, ['MISSING_DATE', 'DATE_IN_NUMERIC_ZONE', 'MISSING_BALANCE', 'MISSING_AMOUNT', 'DUAL_AMOUNT', 'FAILED_RECONCILIATION', 'FAILED_CONTINUITY', 'COLUMN_NOT_FOUND', 'UNKNOWN'][i] AS "primary",
+            ['DECLARATIVE_PARSER', 'COLUMN_DETECTOR', 'DECLARATIVE_PARSER', 'DECLARATIVE_PARSER', 'CANDIDATE_SELECTOR', 'VALIDATION_ENGINE', 'VALIDATION_ENGINE', 'COLUMN_DETECTOR', 'DECLARATIVE_PARSER'][i] AS layer, CAST([0.95, 0.92, 0.95, 0.9, 0.9, 0.92, 0.9, 0.85, 0.4][i] AS DOUBLE) AS confidence FROM y""",
         "statement_summaries": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 97 AS INTEGER) END AS dr_count, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 89 AS INTEGER) END AS cr_count,
             CASE WHEN o_orderkey % 5 = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS total_debit_c, CASE WHEN o_orderkey % 7 = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS total_credit_c FROM orders""",
         "cut_lines": """WITH t AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%d/%m/%Y') AS day, CASE WHEN o_orderkey % 2 = 0 THEN '728,662.39' ELSE 'none' END AS a, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE repeat('x ', 110) END AS pad FROM orders)

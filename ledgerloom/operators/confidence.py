@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger as L
+from ledgerloom.operators import ordering
 
 
 def sane_balances(candidates: DataFrame) -> DataFrame:
@@ -24,14 +25,31 @@ def sane_balances(candidates: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "row_idx").agg(F.min_by("value", order).alias("balance"))
 
 
-def statement_confidence(txns: DataFrame) -> DataFrame:
-    """Per statement: continuity .40, reconciliation .35 and direction .15 of the healed rows, completeness .10; over 95
-    AUTO_APPROVE, from 80 REVIEW, else MANUAL_CHECK. Rounds half to even."""
-    healed = L.heal_directions(L.ascending(txns))
-    keep = ["doc_id", "continuity"]
+def in_page_order(txns: DataFrame) -> DataFrame:
+    """Ascending statements; of more than three pages, under 90 % continuity and dates that go back at a page's beginning,
+    along the repaired order of pages."""
+    ordered = L.ascending(txns)
+    pages = ordered.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).where("pages > 3")
+    broken = L.running_balance_audit(ordered).where("continuity < 90").select("doc_id")
+    turned = ordering.page_reversals(ordered).where("anomaly").select("doc_id")
+    doubtful = pages.join(broken, "doc_id").join(turned, "doc_id").select("doc_id")
+    repaired = L.ascending(ordering.repair_pages(ordered.join(doubtful, "doc_id", "left_semi")))
+    return ordered.join(doubtful, "doc_id", "left_anti").unionByName(repaired)
+
+
+def statement_confidence(txns: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Per statement: continuity .40, reconciliation .35 and direction .15 of the healed rows, completeness .10, after the repair
+    of page order; over 95 AUTO_APPROVE, from 80 REVIEW, else MANUAL_CHECK. Rounds half to even. expected(doc_id, expected) has
+    the rows that statements should have; without it they are complete."""
+    healed = L.heal_directions(in_page_order(txns))
+    keep = ["doc_id", "continuity", "rows"]
     scores = L.running_balance_audit(healed).select(*keep).join(L.reconcile(healed).select("doc_id", "reconciliation"), "doc_id").join(L.direction_score(healed).select("doc_id", "direction_score"), "doc_id")
-    total = F.col("continuity") * 0.40 + F.col("reconciliation") * 0.35 + F.col("direction_score") * 0.15 + 10.0
-    out = scores.withColumn("confidence", F.bround(F.round(total, 6), 0).cast("int"))
+    complete = F.lit(100.0)
+    if expected is not None:
+        scores = scores.join(expected, "doc_id", "left")
+        complete = F.when(F.col("expected") > F.col("rows"), F.col("rows") * 100.0 / F.col("expected")).otherwise(100.0)
+    total = F.col("continuity") * 0.40 + F.col("reconciliation") * 0.35 + F.col("direction_score") * 0.15 + complete * 0.10
+    out = scores.withColumn("confidence", F.bround(F.round(total, 6), 0).cast("int")).drop("rows", "expected")
     return out.withColumn("status", F.when(F.col("confidence") > 95, "AUTO_APPROVE").when(F.col("confidence") >= 80, "REVIEW").otherwise("MANUAL_CHECK"))
 
 

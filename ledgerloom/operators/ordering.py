@@ -52,6 +52,14 @@ def page_chain(pages: DataFrame, links: DataFrame) -> DataFrame:
     return keys.groupBy("key").cogroup(links.groupBy("doc_id")).applyInPandas(chain, "doc_id long, place int, page int")
 
 
+def repair_pages(txns: DataFrame) -> DataFrame:
+    """txns with row_idx numbered anew along the chain of best page links; rows of a page keep their order."""
+    pages = page_summaries(txns)
+    chain = page_chain(pages, page_links(pages))
+    placed = txns.join(chain, ["doc_id", "page"])
+    return placed.withColumn("row_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "row_idx")) - 1).select(*txns.columns)
+
+
 def page_reversals(txns: DataFrame) -> DataFrame:
     """Per statement: page boundaries at which the date goes back."""
     day = F.try_to_date("date", "yyyy-MM-dd")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,25 @@ def continuity_by_bank(audit: DataFrame, banks: DataFrame) -> DataFrame:
 
 def state_counts(truth: DataFrame) -> DataFrame:
     return truth.groupBy("agreement_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reject_class(date: Column, debit: Column, credit: Column, balance: Column, log: Column, conservation: Column) -> Column:
+    """struct(primary, layer, confidence): why a row was lost, first rule that holds; log is what the parser said of it."""
+    low = F.lower(F.coalesce(log, F.lit("")))
+    rules = (
+        (date.isNull() | (date == ""), "MISSING_DATE", "DECLARATIVE_PARSER", 0.95), (low.rlike("date_zone|date in|date_in_numeric"), "DATE_IN_NUMERIC_ZONE", "COLUMN_DETECTOR", 0.92), (balance.isNull(), "MISSING_BALANCE", "DECLARATIVE_PARSER", 0.95),
+        (debit.isNull() & credit.isNull(), "MISSING_AMOUNT", "DECLARATIVE_PARSER", 0.90), (debit.isNotNull() & credit.isNotNull(), "DUAL_AMOUNT", "CANDIDATE_SELECTOR", 0.90),
+        (F.coalesce(conservation == "FAIL", F.lit(False)) | low.rlike("conservation|reconcil"), "FAILED_RECONCILIATION", "VALIDATION_ENGINE", 0.92), (F.contains(low, F.lit("continuity")), "FAILED_CONTINUITY", "VALIDATION_ENGINE", 0.90),
+        (low.rlike("(?s)column.*not found|not found.*column"), "COLUMN_NOT_FOUND", "COLUMN_DETECTOR", 0.85), (F.lit(True), "UNKNOWN", "DECLARATIVE_PARSER", 0.40),
+    )
+    return F.coalesce(*[F.when(c, F.struct(F.lit(p).alias("primary"), F.lit(layer).alias("layer"), F.lit(n).alias("confidence"))) for c, p, layer, n in rules])
+
+
+def layer_funnel(tokens: DataFrame, boxes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(doc_id, layer, count, dropped): how many items of a statement reach each layer of the parser."""
+    counts = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens")).join(boxes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "doc_id", "left")
+    counts = counts.join(decisions.groupBy("doc_id").agg(F.count_if("accepted").alias("emitted"), F.count_if(~F.col("accepted")).alias("rejected")), "doc_id", "left").na.fill(0)
+    layer = lambda name, count, dropped: F.struct(F.lit(name).alias("layer"), count.cast("long").alias("count"), dropped.cast("long").alias("dropped"))
+    rows = F.col("rows")
+    layers = F.array(layer("OCR Tokens", F.col("tokens"), F.lit(0)), layer("Rows Built", rows, F.greatest(F.lit(0), F.col("tokens") - rows)), layer("Rows Parsed", rows, F.lit(0)), layer("Transactions Emitted", F.col("emitted"), F.col("rejected")))
+    return counts.select("doc_id", F.inline(layers))

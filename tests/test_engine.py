@@ -175,6 +175,16 @@ def test_confidence_of_a_clean_statement(spark):
     assert (got["confidence"], got["status"]) == (100, "AUTO_APPROVE")
 
 
+def test_confidence_repairs_page_order_and_counts_expected_rows(spark):
+    rows = [(1, i, 1 + i // 4, f"2024-01-{i + 1:02d}", "UPI", None, 10000, 10000 * (i + 1)) for i in range(20)]
+    shuffled = [(d, n, p, *rest) for n, (d, _, p, *rest) in enumerate(sorted(rows, key=lambda r: ([3, 1, 5, 2, 4].index(r[2]), r[1])))]
+    t = spark.createDataFrame(shuffled, TXNS)
+    assert [r["page"] for r in confidence.in_page_order(t).orderBy("row_idx").collect()] == [1 + i // 4 for i in range(20)]
+    assert confidence.statement_confidence(t).first()["confidence"] == 100
+    expected = spark.createDataFrame([(1, 40)], "doc_id long, expected long")
+    assert confidence.statement_confidence(t, expected).first()["confidence"] == 95
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "one.csv").write_text('date,narration,debit,credit,balance\n05/03/2024,rent,"1,200.00",,"8,800.00"\n06-Mar-2024,pay,,500.00,"9,300.00 CR"\n')
     got = [tuple(r) for r in readers.read_statements(spark, str(tmp_path / "one.csv")).orderBy("row_idx").collect()]
