@@ -275,8 +275,8 @@ def identities(spark: SparkSession, d: str) -> DataFrame:
     k, name = F.col("c_custkey"), F.col("c_mktsegment")
     body = F.concat(F.lit("x\n" * 9), F.when(k % 4 == 1, F.concat(F.lit("at "), name, F.lit(" house"))).when(k % 4 == 2, F.concat(F.lit("IFSC "), F.substring(name, 1, 4), F.lit("0AB1234"))).otherwise("nothing"))
     texts = c.select(k.alias("doc_id"), F.concat(F.when(k % 4 == 0, name).otherwise("statement"), F.lit("\n"), body).alias("text"))
-    names = c.groupBy(name.alias("bank")).agg(F.lit(1)).select("bank", F.col("bank").alias("pattern"), F.hash("bank").alias("ord"))
-    return detect.identify(texts, names, names.select(F.substring("bank", 1, 4).alias("prefix"), "bank"))
+    banks = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    return detect.identify(texts, [(b, b) for b in banks], spark.createDataFrame([(b[:4], b) for b in banks], "prefix string, bank string"))
 
 
 register("bank_identity", identities, "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 < 3 THEN c_mktsegment ELSE 'UNKNOWN' END AS bank, ['header', 'keyword', 'code', 'none'][c_custkey % 4 + 1] AS layer FROM customer")

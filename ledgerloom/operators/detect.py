@@ -5,6 +5,7 @@ Lookup tables carry an explicit order; the first entry that matches wins, as wit
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -56,21 +57,22 @@ def card_summary(text: Column) -> Column:
     return F.struct(*[F.coalesce(*map(amount, labels)).alias(name) for name, labels in CARD_AMOUNTS.items()])
 
 
-def identify(texts: DataFrame, names: DataFrame, codes: DataFrame) -> DataFrame:
-    """texts(doc_id, text), names(ord, pattern, bank), codes(prefix, bank) -> (doc_id, bank, layer).
+def identify(texts: DataFrame, names: Sequence[tuple[str, str]], codes: DataFrame) -> DataFrame:
+    """texts(doc_id, text), names (pattern, bank) in order of precedence, codes(prefix, bank) -> (doc_id, bank, layer).
 
     Names are looked for in the top fifth of the lines first, then in the whole text, both as printed and without blanks; then the
-    first branch code with a known prefix. Each layer sees only what the layer before left (an anti join), so the costly
-    ones run on few. Both lookups are short lists; the optimizer broadcasts them by their size.
+    first branch code with a known prefix. Names are a short list and become one expression, so no text is joined with
+    them; each layer sees only what the layer before left.
     """
     lines = F.split(F.upper("text"), "\n")
     top = F.array_join(F.slice(lines, 1, F.greatest(F.lit(1), F.floor(F.size(lines) / 5).cast("int"))), "\n")
     docs = texts.select("doc_id", F.upper("text").alias("whole"), top.alias("top"))
 
     def by_name(docs: DataFrame, column: str, layer: str) -> DataFrame:
-        text = F.col(column)
-        held = F.contains(text, F.upper("pattern")) | F.contains(F.replace(text, F.lit(" "), F.lit("")), F.replace(F.upper("pattern"), F.lit(" "), F.lit("")))
-        return docs.join(names, held).groupBy("doc_id").agg(F.min_by("bank", "ord").alias("bank")).withColumn("layer", F.lit(layer))
+        text, tight = F.col(column), F.replace(F.col(column), F.lit(" "), F.lit(""))
+        held = [F.contains(text, F.lit(p.upper())) | F.contains(tight, F.lit(p.upper().replace(" ", ""))) for p, _ in names]
+        bank = F.coalesce(*[F.when(h, F.lit(b)) for h, (_, b) in zip(held, names)], F.lit(None))
+        return docs.select("doc_id", bank.alias("bank")).where("bank is not null").withColumn("layer", F.lit(layer))
 
     header = by_name(docs, "top", "header")
     rest = docs.join(header, "doc_id", "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TOKENS = "doc_id STRING, page INT, tok_idx INT, text STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, source STRING, confidence DOUBLE, protected BOOLEAN"
 STATEMENT = "date STRING, narration STRING, debit STRING, credit STRING, balance STRING"
@@ -17,12 +18,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """CSV statements with a header, as a ledger in cents; doc_id is the file's name and row_idx its order in the file."""
+    """CSV statements with a header, as a ledger in cents; doc_id is the file's path and row_idx its order in the file."""
     from ledgerloom.functions.dates import normalize_date
     from ledgerloom.functions.money import parse_amount, to_cents
 
     rows = spark.read.schema(STATEMENT).csv(path, header=True)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("doc_id"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("doc_id"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
     from pyspark.sql import Window
 
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1
@@ -85,7 +86,9 @@ def log_traces(events: DataFrame, path: str) -> None:
 
 
 def log_runs(runs: DataFrame, path: str) -> None:
-    """Appends benchmark runs to their table."""
+    """Appends benchmark runs to their table, with the columns of RUNS; others are left out and missing ones are null."""
+    fields = StructType.fromDDL(RUNS).fields
+    runs = runs.select(*[F.col(f.name).cast(f.dataType) if f.name in runs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     runs.write.mode("append").parquet(path)
 
 

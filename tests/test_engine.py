@@ -188,13 +188,17 @@ def test_confidence_repairs_page_order_and_counts_expected_rows(spark):
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "one.csv").write_text('date,narration,debit,credit,balance\n05/03/2024,rent,"1,200.00",,"8,800.00"\n06-Mar-2024,pay,,500.00,"9,300.00 CR"\n')
     got = [tuple(r) for r in readers.read_statements(spark, str(tmp_path / "one.csv")).orderBy("row_idx").collect()]
-    assert got == [("one.csv", 0, 1, "2024-03-05", "rent", 120000, None, 880000), ("one.csv", 1, 1, "2024-03-06", "pay", None, 50000, 930000)]
+    assert got[0][0].endswith("/one.csv")
+    assert [("one.csv", *r[1:]) for r in got] == [("one.csv", 0, 1, "2024-03-05", "rent", 120000, None, 880000), ("one.csv", 1, 1, "2024-03-06", "pay", None, 50000, 930000)]
     (tmp_path / "l.json").write_text('{"pages": [{"page_idx": 0, "blocks": [{"lines": [{"spans": [{"text": "a", "bbox": [1, 2, 3, 4]}]}]}]}]}')
     assert [tuple(r)[1:] for r in readers.read_layout(spark, str(tmp_path / "l.json")).collect()] == [(1, 0, "a", 1.0, 2.0, 3.0, 4.0)]
     html = spark.createDataFrame([(1, 1, "<table><tr><th colspan=2>A</th><td>B</td></tr><tr><td>1</td></tr></table>")], "doc_id int, page int, html string")
     assert [tuple(r)[2:] for r in readers.table_cells(html).orderBy("row", "cell").collect()] == [(0, 0, "A", 0, 0, 280, 20), (0, 1, "B", 300, 0, 440, 20), (1, 0, "1", 0, 30, 140, 50)]
     texts = spark.createDataFrame([(1, "one" + "=" * 80 + "PAGE 2" + "=" * 80 + "two"), (2, "PAGE 1")], "doc_id int, text string")
     assert [(r["doc_id"], r["text"]) for r in readers.split_pages(texts).orderBy("doc_id", "page").collect()] == [(1, "one"), (1, "two"), (2, "PAGE 1")]
+    readers.log_runs(spark.createDataFrame([("x", 3, 1)], "bank string, txns_count long, other int"), str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert len(runs.columns) == 14 and tuple(runs.select("bank", "txns_count", "status").first()) == ("x", 3, None)
     readers.log_traces(spark.createDataFrame([("a", 1), ("b", 2)], "trace_type string, n int"), str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t")).count() == 2
     assert readers.file_digests(spark, str(tmp_path / "one.csv")).first()["file"] == "one.csv"
