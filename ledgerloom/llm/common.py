@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
 import shutil
 import string
@@ -11,6 +11,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of an action when the action ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors, has known sizes."""
-    df.write.parquet(path := work_path(spark, name))
+    with swept(spark):
+        df.write.parquet(path := work_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
@@ -90,12 +104,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does as the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _filter_value(h: str) -> Column:
     return F.pmod(F.col(h), F.lit(FILTER_BUCKETS * 32768)) + 1
 
@@ -118,11 +126,16 @@ def in_filter(h: str) -> Column:
     return (F.bitmap_bucket_number(_filter_value(h)) == F.col("__bucket")) & _bit(h)
 
 
+def marked(rows: DataFrame, bitmaps: DataFrame, h: str, name: str) -> DataFrame:
+    """rows with the boolean column `name`: false for values of h that can't be in the hash_filter. No row is shuffled."""
+    bucket = F.bitmap_bucket_number(_filter_value(h)) == F.col("__bucket")
+    return rows.join(bitmaps, bucket, "left").withColumn(name, F.coalesce(_bit(h), F.lit(False))).drop("__bucket", "__bitmap")
+
+
 def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
     """docs without the rows that match gone(__id, ...) by the condition `on`, which asks for doc_id <=> __id at least.
     Only rows that a filter of fixed size can't clear are shuffled for the join."""
     bitmaps = hash_filter(gone.select(F.xxhash64("__id").alias("__h")), "__h")
-    bucket = F.bitmap_bucket_number(_filter_value("__h")) == F.col("__bucket")
-    tried = docs.withColumn("__h", F.xxhash64("doc_id")).join(bitmaps, bucket, "left").withColumn("__maybe", F.coalesce(_bit("__h"), F.lit(False))).drop("__h", "__bucket", "__bitmap")
+    tried = marked(docs.withColumn("__h", F.xxhash64("doc_id")), bitmaps, "__h", "__maybe").drop("__h")
     clear, maybe = tried.where(~F.col("__maybe")).drop("__maybe"), tried.where("__maybe").drop("__maybe")
     return clear.unionByName(maybe.join(gone, on, "left_anti"))
