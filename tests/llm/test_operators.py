@@ -118,9 +118,10 @@ def test_simhash_components(spark, docs, max_bucket):
 
 def test_near_empty_and_kept(spark, docs, empty):
     assert simhash_golay.simhash_components(spark, empty).count() == 0
-    kept = simhash_golay.keep_first(spark, docs, words=4)
+    kept = simhash_golay.keep_first(spark, docs)
     assert kept.columns == docs.columns
     assert kept.where("doc_id is null").count() == 2
+    assert simhash_golay.keep_first(spark, empty).count() == 0
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -176,6 +177,24 @@ def test_lpt_matches_the_plain_rule():
         assert sorted(loads) == sorted(plain)
 
 
+def test_heavy_groups_go_where_the_plain_rule_puts_them(spark):
+    rnd = random.Random(2)
+    rows = [(i, chr(97 + i % 26) * rnd.randint(1, 90_000)) for i in range(120)]
+    rows += [(1000 + i, "hot" * 5000) for i in range(300)]
+    got = {r["doc_id"]: r["shard"] for r in lpt_shards.shard(spark, spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()}
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[t].append(d)
+    weights = {t: len(ids) * (len(t) + 1) for t, ids in groups.items()}
+    assert max(weights.values()) > 1 << 22 and len(set(weights.values())) == len(weights)
+    loads, want = [0] * 8, {}
+    for t in sorted(weights, key=weights.get, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += weights[t]
+        want |= dict.fromkeys(groups[t], s)
+    assert got == want
+
+
 def test_shards(spark, docs, empty):
     got = lpt_shards.shard(spark, docs, shards=8).collect()
     rows = corpus()
@@ -347,11 +366,12 @@ def test_mix(spark, docs, empty):
         left -= full
     want = sorted((round(target[r[3]], 6), sizes[r[3]], len(words_of(r[1]))) for r in rows)
     assert want == sorted((round(r["target"], 6), r["source_size"], r["size"]) for r in got)
-    taken = collections.Counter()
+    by_source = collections.Counter()
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"]
-        taken[round(r["target"], 6), r["source_size"]] += r["taken"]
-    assert taken == collections.Counter({(round(target[s], 6), sizes[s]): math.floor(target[s] + 1e-9) for s in order})
+        by_source[round(r["target"], 6), r["source_size"]] += r["taken"]
+    assert all(abs(by_source[round(target[s], 6), sizes[s]] - target[s]) <= 256 for s in order)
+    assert sum(by_source.values()) == math.floor(1.5 * sum(sizes.values()))
     again = fair_mix.taken_words(spark, docs.repartition(3)).collect()
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
     assert sorted(map(key, again)) == sorted(map(key, got))
@@ -360,11 +380,40 @@ def test_mix(spark, docs, empty):
     assert order == sorted(order)
     mixed = fair_mix.mixed_documents(spark, docs)
     assert mixed.columns == docs.columns
-    whole = fair_mix.mix(spark, docs.dropDuplicates(["doc_id"])).where("taken = size and (size > 0 or repeat = 0)").groupBy("doc_id").count()
-    once = fair_mix.mixed_documents(spark, docs.dropDuplicates(["doc_id"])).groupBy("doc_id").count()
+    full = docs.dropDuplicates(["doc_id"]).where("text rlike '[a-zA-Z0-9]'")
+    whole = fair_mix.mix(spark, full).where("taken = size").groupBy("doc_id").count()
+    once = fair_mix.mixed_documents(spark, full).groupBy("doc_id").count()
     assert sorted(map(str, whole.collect())) == sorted(map(str, once.collect())) and mixed.count() >= once.count()
 
 
+@pytest.mark.parametrize("slice_words", [None, 7])
+def test_mix_is_the_queue_of_virtual_finish_times(spark, slice_words):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(12)
+    rows = [(i, "w " * rnd.randint(0, 40), rnd.choice(["a", "a", "b", "c", None])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {(r["doc_id"], r["repeat"]): r["h"] for k in (0, 1) for r in docs.select("doc_id", F.lit(k).alias("repeat")).select("doc_id", "repeat", fair_mix.shuffle_hash("doc_id", "repeat", 7).alias("h")).collect()}
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    queue = []
+    for s in names:
+        weight, at = (5, 2, 1)[names.index(s) % 3], 0
+        own = [(k, hashes[d, k], d, len(t.split())) for d, t, x in rows if x == s for k in (0, 1)]
+        for k, _, d, size in sorted(own):
+            step = slice_words or size
+            for j in range(-(-size // step) if size else 0):
+                words = min(step, size - j * step)
+                at += words
+                queue.append((at / weight, d, size, k, j, words))
+    left, want = math.floor(1.5 * sum(len(t.split()) for _, t, _ in rows)), []
+    for f, d, size, k, j, words in sorted(queue):
+        if left:
+            want.append((d, k, j, f, min(words, left)))
+            left -= min(words, left)
+    got = [(r["doc_id"], r["repeat"], r["slice"], r["virtual_finish"], r["taken"]) for r in fair_mix.mix(spark, docs, slice_words=slice_words).collect()]
+    assert got == want
+
+
 # 8
 
 
@@ -397,6 +446,34 @@ def test_language_model(spark, docs, empty):
     assert backoff_lm.score(spark, empty).count() == 0
 
 
+def test_walks_one_by_one_give_the_same():
+    rnd = random.Random(5)
+    texts = [[rnd.choice("abcdefg") for _ in range(rnd.randint(0, 30))] for _ in range(40)]
+    names = sorted({w for t in texts for w in t})
+    ids = {w: i for i, w in enumerate(names)}
+    import zstandard
+
+    tokens_of = np.array([ids[w] for t in texts for w in t], np.uint32)
+    row = {"lengths": np.array([len(t) for t in texts], "<i8").tobytes(), "words": np.arange(100, 100 + len(names), dtype=np.uint64).tobytes(), "tokens": zstandard.ZstdCompressor().compress(tokens_of.tobytes()), "held_out": [i % 3 == 0 for i in range(40)]}
+    grams = backoff_lm.Grams(row, 3)
+    totals = [grams.counts(k).astype(float) for k in range(3)]
+    one = backoff_lm.Automaton(grams, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), 4.0)
+    arcs = {(one.first[k - 1] + grams.prefix[k][i], int(grams.last[k][i])): (k, i) for k in (1, 2) for i in np.nonzero(totals[k] > 0)[0]}
+    got = np.add.reduceat(one.walk(grams), grams.starts)
+    failures = 0
+    for a, b, score in zip(grams.starts, grams.ends, got):
+        start = int(grams.at[0][a])
+        state, total = (one.first[0] + start if totals[0][start] else 0), 0.0
+        for w in grams.at[0][a + 1 : b].tolist():
+            while state and (state, w) not in arcs:
+                total, state, failures = total + one.back[state], one.fail[state], failures + 1
+            k, i = arcs[state, w] if state else (0, w)
+            total += one.weight[k][i]
+            state = one.first[k] + i if k < 2 and totals[k][i] else one.first[1] + grams.suffix[2][i] if k == 2 else 0
+        assert math.isclose(total, score, abs_tol=1e-9)
+    assert failures > 50
+
+
 def test_language_model_query_scores_trigrams(spark, tmp_path):
     from ledgerloom.llm import queries
 
@@ -440,6 +517,27 @@ def test_counterfactual_pairs_lower_the_weight_of_identity_terms(spark):
     assert fair[3] == fair[4]
 
 
+def test_fit_minimises_the_plain_loss():
+    rnd, n = random.Random(3), 6
+    rows = [sorted(rnd.sample(range(n), rnd.randint(1, 4))) for _ in range(200)]
+    labels = np.array([float(rnd.random() < (0.9 if 0 in r or 5 in r else 0.2)) for r in rows])
+    pairs = [(sorted({*r, 5}), sorted({*r, 4} - {5})) for r in rows[:40]]
+
+    def loss(w, b, fairness):
+        z = [b + sum(w[i] for i in r) for r in rows]
+        fit = sum(math.log1p(math.exp(-v)) if y else math.log1p(math.exp(v)) for v, y in zip(z, labels)) / len(rows)
+        gap = sum((sum(w[i] for i in a) - sum(w[i] for i in c)) ** 2 for a, c in pairs) / len(pairs)
+        return fit + 1e-3 * sum(x * x for x in w) + fairness * gap
+
+    for fairness in (0.0, 2.0):
+        w, b = fair_toxicity.minimise(rows, labels, pairs, n, 1e-3, fairness, steps=3000)
+        best = loss(w, b, fairness)
+        for _ in range(300):
+            move = [rnd.gauss(0, rnd.choice([0.3, 0.03])) for _ in range(n + 1)]
+            assert loss([x + m for x, m in zip(w, move)], b + move[n], fairness) >= best - 1e-9
+    assert abs(w[5] - w[4]) < 0.3
+
+
 def test_toxicity_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = fair_toxicity.toxicity(spark, docs, none).collect()
@@ -484,16 +582,9 @@ def test_fuzzy_lines(spark, empty):
         rows.append((i, "\n".join(lines)))
     rows += [(90, None), (91, "one"), (91, "one")]
     got = fuzzy_lines.line_classes(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
-    import xxhash
-
     norm = lambda x: regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).strip(" ")
-
-    def fp(n):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
     nodes = sorted({norm(x) for _, t in rows for x in (t or "").split("\n")} - {""})
-    prints, root = {n: fp(n) for n in nodes}, {n: n for n in nodes}
+    root = {n: n for n in nodes}
 
     def find(x):
         while root[x] != x:
@@ -502,7 +593,7 @@ def test_fuzzy_lines(spark, empty):
 
     for i, a in enumerate(nodes):
         for b in nodes[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
+            if edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
                 root[find(a)] = find(b)
     seen, want = set(), collections.Counter()
     for d, t in rows:
@@ -517,21 +608,32 @@ def test_fuzzy_lines(spark, empty):
     assert fuzzy_lines.line_classes(spark, empty).count() == 0
 
 
-def test_fuzzy_lines_three_bits_apart(spark):
-    import xxhash
-
-    def fp(words):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words)]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
+def test_fuzzy_lines_find_the_pairs_of_edit_similarity_080(spark):
+    """All pairs of lines of 8 to 60 words with up to a tenth of them changed, and of short lines with a letter changed."""
     rnd, rows = random.Random(3), []
-    while len(rows) < 20:
-        a = [rnd.choice(WORDS).lower() + rnd.choice("abcdefgh") for _ in range(40)]
-        b = [*a[:20], "new", *a[21:]]
-        if (fp(a) ^ fp(b)).bit_count() == 3:
-            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
-    got = fuzzy_lines.line_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["class_doc_id"] for r in got} == {d: d - d % 2 for d, _ in rows}
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    for i in range(0, 1200, 2):
+        a = [word() for _ in range(rnd.choice([4, 6, 8, 12, 20, 40, 60]))]
+        b = list(a)
+        if len(a) < 8:
+            at = rnd.randrange(len(b))
+            b[at] = b[at][:-1] + "z"
+        for _ in range(len(a) >= 8 and rnd.randint(1, max(1, len(a) // 10))):
+            b[rnd.randrange(len(b))] = word()
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    near = [i for (i, a), (_, b) in zip(rows[::2], rows[1::2]) if edit_distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9)]
+    got = {r["doc_id"]: r["class_doc_id"] for r in fuzzy_lines.line_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 400 and sum(got[i + 1] == i for i in near) >= 0.9 * len(near)
+    assert all(got[i] == i for i in range(0, 1200, 2)) and all(got[i + 1] in (i, i + 1) for i in range(0, 1200, 2))
+
+
+def test_fuzzy_lines_very_long_and_wordless(spark):
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(1_000_000))
+    one = "".join(rnd.choice("abcdefgh") for _ in range(200_000))
+    rows = [(1, long), (2, long[:500_000] + " zz " + long[500_000:]), (3, one), (4, one[:-1]), (5, "--\n\n!"), (6, None)]
+    got = {(r["doc_id"], r["line_no"]): r["class_doc_id"] for r in fuzzy_lines.line_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0): 1, (2, 0): 1, (3, 0): 3, (4, 0): 3, (5, 0): None, (5, 1): None, (5, 2): None, (6, 0): None}
 
 
 # Pipeline
@@ -552,7 +654,7 @@ def test_pipeline(spark, tmp_path):
         if name == "exact dedup":
             assert out.count() == len({(r["text"] or "").translate(LOWER) for r in docs.collect()})
         if name == "near dedup":
-            kept, all_rows = {r["doc_id"] for r in out.collect()}, simhash_golay.simhash_components(spark, docs, words=5).collect()
+            kept, all_rows = {r["doc_id"] for r in out.collect()}, simhash_golay.similar_components(spark, docs).collect()
             assert kept - {None} == {r["component_id"] for r in all_rows} - {None}
         docs = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
@@ -600,6 +702,39 @@ def test_near_stage_finds_all_documents_of_similarity_080(spark, empty):
     assert corpus_pipeline.near(spark, empty, "").count() == 0
 
 
+def test_buckets_of_many_unlike_nodes(spark):
+    from ledgerloom.llm import buckets
+
+    # Nodes of a family share a crowded key and one of a few others; only neighbours of a family are alike.
+    rows = [(7, h) for h in range(400)] + [(100 + h // 8, h) for h in range(400)] + [(1000 + h // 2, h) for h in range(400)] * 2
+    seen = []
+
+    def verified(pairs, held):
+        assert held.count() == 400
+        seen.append(pairs.count())
+        return buckets.stored(spark, pairs.where("a div 2 = b div 2").distinct(), "links")
+
+    got = {r["node"]: r["root"] for r in buckets.alike(spark, spark.createDataFrame(rows, "key long, h long"), lambda nodes: buckets.stored(spark, nodes, "nodes"), verified).collect()}
+    assert all(got[h] == got[h ^ 1] for h in range(400)) and len(set(got.values())) == 200
+    assert sum(seen) < 6000
+
+
+def test_copies_around_an_original_are_one_group(spark):
+    from ledgerloom.llm import buckets
+
+    # 300 copies share ten keys each with the original, and few with each other; only the original is alike to all.
+    rnd, rows, pairs = random.Random(3), [(k, 999) for k in range(40)], []
+    for h in range(300):
+        rows += [(k, h) for k in rnd.sample(range(40), 10)]
+
+    def verified(met, held):
+        pairs.append(met.count())
+        return buckets.stored(spark, met.where("a = 999 or b = 999"), "links")
+
+    got = {r["node"]: r["root"] for r in buckets.alike(spark, spark.createDataFrame(rows, "key long, h long"), lambda nodes: buckets.stored(spark, nodes, "nodes"), verified).collect()}
+    assert len(got) == 301 and len(set(got.values())) == 1 and pairs == [300]
+
+
 def test_clean_documents_stay(spark):
     import corpus_pipeline
 
