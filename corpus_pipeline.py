@@ -1,11 +1,14 @@
 """The corpus pipeline: each stage works on all that its predecessor kept and is written as Parquet and reread.
 
 Stages: toxic documents go; of equal texts the row with the largest doc_id stays; of each near-duplicate group the document
-with the smallest doc_id stays (Jaccard similarity of five-word shingles 0.8 or more); sources are mixed to target weights, with repeats; what the mix holds is packed into
-sequences. All stages but the last return the columns of documents; the last returns a row for each packed piece.
-
-Repeated documents of the mix are packed as documents of their own, so a (doc_id, piece) can come twice. Rows with null
-ids, null texts or repeated ids go through as the operators' docstrings say; empty tables give empty results.
+with the smallest doc_id stays (SimHash sections with Golay keys find candidates, five-word shingles of Jaccard similarity
+0.8 or more link them); sources are mixed to target weights, with repeats; what the mix holds is packed into sequences.
+All stages but the last return the columns of documents; the last returns a row for each packed piece.
+
+Edge cases, of every stage: a null text counts as empty, scores like one, has size 0 for the mix and one end token when packed; of rows with
+null ids the exact stage keeps one for each text, and no near-duplicate group names them, so they stay; repeated rows are
+copies, of which one row stays; columns beside those of documents are kept by all stages but the last. Repeated documents of the mix are packed as
+documents of their own, so a (doc_id, piece) can come twice. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from ledgerloom.llm.common import stored
 from ledgerloom.llm.fair_mix import mixed_documents
 from ledgerloom.llm.fair_toxicity import keep_clean
 from ledgerloom.llm.lsm_dedup import keep_one
-from ledgerloom.llm.near_jaccard import keep_first_similar
+from ledgerloom.llm.simhash_golay import keep_first
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first_similar(spark, docs, words=5)
+    return keep_first(spark, docs, words=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,13 @@ Buckets. Rows of a key are compared in blocks of one task; only a spanning fores
 A bucket over `max_bucket` rows is handed out of the task and compared again as pairs of sub-blocks in other tasks:
 nothing is capped.
 
+Similar documents (`similar_components`). Documents of Jaccard similarity 0.8 on their shingle sets differ in about ten bits
+of a whole fingerprint, which no segment key finds. So a set also gives SimHashes of SECTIONS of its shingles: on each of
+RINGS circles, ordered by a multiple of the hash, the SECTION shingles after each of POINTS places. A section is the
+same in both sets with probability s^SECTION (0.26 at 0.8), so one of 40 is with 0.999994. Of a section's fingerprint the
+indices of the nearest codewords of A and B and the bits of C are its key, so each set has 40 keys. Sets that share a key
+are verified by an exact count of their common shingles.
+
 Edge cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; a null
 doc_id takes part, and a group of only null ids has a null component_id; repeated rows give repeated result rows; other
 columns are ignored; an empty table gives an empty result. Memory of a task grows with its longest text only.
@@ -30,33 +37,57 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, prepare, stored, text_of, without, worker_cache
+from ledgerloom.llm.buckets import alike
+from ledgerloom.llm.common import hash_filter, in_filter, prepare, stored, text_of, without, worker_cache
 from ledgerloom.llm.components import components
 
 GENERATOR, N, K = 0b110001110101, 23, 12
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are unpacked at once.
 CHUNK = 1 << 16
+#: A similarity of 4 / 5, as integers; sections of a set.
+SIMILARITY = (4, 5)
+RINGS, POINTS, SECTION = 4, 10, 6
+PLACES = (np.arange(POINTS, dtype=object) * (1 << 64) // POINTS).astype(np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 (seed 42) values of the shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of `words` words, repeats included; of the whole sequence if it is shorter."""
     w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     joined, h = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
-        return h(joined, 42)
+        return np.array([h(joined, 42)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
-    hashes = [h(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
-        part = np.array(hashes[i : i + CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The SimHash of a text; zero without words."""
+    return majority(shingle_hashes(text, words))
+
+
+def section_prints(shingles: np.ndarray) -> np.ndarray:
+    """SimHashes of the sections of a sorted set, RINGS * POINTS of them; shorter sets go around more than once."""
+    out = np.zeros((RINGS, POINTS, SECTION), "<u8")
+    for ring in range(RINGS):
+        order = np.sort(shingles * np.uint64((2 * ring + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        out[ring] = order[(np.searchsorted(order, PLACES)[:, None] + np.arange(SECTION)) % len(order)]
+    bits = np.unpackbits(out.reshape(-1, SECTION).view(np.uint8).reshape(-1, SECTION, 8), axis=2, bitorder="little").sum(1)
+    return np.packbits(2 * bits > SECTION, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def syndrome(x: np.ndarray) -> np.ndarray:
     """Remainder of 23-bit words as polynomials over GF(2), modulo the generator."""
     x = x.astype(np.uint32).copy()
@@ -195,7 +226,8 @@ def near_links(spark: SparkSession, fps: DataFrame, bits: int = 4, max_bucket: i
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[i : i + 2000][row])], names=["key", "fp"])
 
     schema = "a long, b long, over_key long, over_fp long"
-    keys = fps.mapInArrow(keyed, "key long, fp long")
+    # Few bytes become many: as many tasks as there are cores, several times.
+    keys = fps.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(keyed, "key long, fp long")
     found = stored(spark, keys.repartition("key").sortWithinPartitions("key").mapInArrow(linker(bits, max_bucket), schema), "near-links")
     links = found.where("a is not null").select("a", "b")
     over = found.where("over_key is not null").select(F.col("over_key").alias("key"), F.col("over_fp").alias("fp"))
@@ -228,10 +260,80 @@ def simhash_components(spark: SparkSession, docs: DataFrame, *, words: int = 5,
     return prints.join(group, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def section_keys(prints: np.ndarray) -> np.ndarray:
+    """(documents, sections) -> one key each: section, nearest codewords of segments A and B, bits of C."""
+    u, low = np.uint64, np.uint64((1 << N) - 1)
+    patterns = golay_tables()[0][:, 0]
+    nearest = lambda x: ((x ^ patterns[syndrome(x)]) >> np.uint32(N - K)).astype(np.uint64)
+    a, b = (nearest((prints >> u(at) & low).astype(np.uint32)) for at in (0, N))
+    return (u(5) << u(60)) | (np.arange(prints.shape[1], dtype=np.uint64) << u(42)) | (prints >> u(2 * N)) << u(24) | a << u(12) | b
+
+
+def printed(words: int):
+    """(doc_id, text) -> (doc_id, h, n, keys): the shingle set's hash and size, and the keys of a set with shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            n = np.array([len(s) for s in sets], np.int64)
+            h = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            full = [s for s in sets if len(s)]
+            keys = section_keys(np.array([section_prints(s) for s in full], np.uint64).reshape(-1, RINGS * POINTS)).reshape(-1).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, RINGS * POINTS, 0))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names=["doc_id", "h", "n", "keys"])
+
+    return run
+
+
+def sets_of(words: int):
+    """(text) -> (h, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                s = np.unique(shingle_hashes(t, words))
+                h = xxhash.xxh64_intdigest(s.tobytes(), 42)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([h], np.uint64).view(np.int64)), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return run
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, *, words: int = 5) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose shingle sets have a Jaccard similarity of SIMILARITY or more, or a
+    chain of such links; one row per row of docs."""
+    prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    prints = stored(spark, rows.mapInArrow(printed(words), "doc_id long, h long, n long, keys array<long>"), "shingle-prints")
+    nodes = stored(spark, prints.groupBy("h").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")), "shingle-nodes")
+
+    def fetched(ends: DataFrame) -> DataFrame:
+        places = nodes.join(ends, "h").select(F.xxhash64("least").alias("g"))
+        tried = rows.withColumn("g", F.xxhash64("doc_id")).join(hash_filter(places, "g"), in_filter("g")).select("text")
+        found = tried.mapInArrow(sets_of(words), "h long, shingles array<long>").join(hash_filter(ends, "h"), in_filter("h"))
+        return stored(spark, found.groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sized = pairs
+        for end in ("a", "b"):
+            sized = sized.join(nodes.select(F.col("h").alias(end), F.col("n").alias(f"n_{end}")), end)
+        sized = sized.where(SIMILARITY[1] * F.least("n_a", "n_b") >= SIMILARITY[0] * F.greatest("n_a", "n_b")).select("a", "b")
+        both = sized.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("set_b")), "b")
+        both = both.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("set_a")), "a")
+        common, n = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+        return stored(spark, both.where(sum(SIMILARITY) * common >= SIMILARITY[0] * n).select("a", "b"), "shingle-links")
+
+    group = alike(spark, prints.select(F.explode("keys").alias("key"), "h"), fetched, verified)
+    linked = nodes.join(group, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "least")
+    linked = stored(spark, linked, "shingle-nodes")
+    least = stored(spark, linked.groupBy("root").agg(F.min("least").alias("component_id")), "shingle-least")
+    named = stored(spark, linked.join(least, "root").select("h", "component_id"), "shingle-components")
+    return prints.select("doc_id", "h").join(named, "h").select("doc_id", "component_id")
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, *, words: int = 5) -> DataFrame:
     """The rows of docs whose doc_id is their component's, with all columns. Rows with null ids stay (nothing names them);
     rows of one doc_id stay together, unless some of them belong to another component."""
-    rows = simhash_components(spark, docs, **options)
+    rows = similar_components(spark, docs, words=words)
     gone = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0")
     gone = stored(spark, gone.select(F.col("doc_id").alias("__id")), "near-duplicates")
     return without(docs, gone, F.col("doc_id") == F.col("__id"))

@@ -23,7 +23,7 @@ from array import array
 from ledgerloom.llm.common import worker_cache
 
 #: Pieces remembered by each of two generations; longer pieces than PIECE_CHARS are not remembered.
-REMEMBERED, PIECE_CHARS = 600_000, 40
+REMEMBERED, PIECE_CHARS = 200_000, 40
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 #: Letters, then ASCII marks but the apostrophe, which opens contractions: two pre-tokens.
 MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
