@@ -10,7 +10,8 @@ documents (about BLOCK_IDS ids; a longer document has a block of its own):
     control       two bits an id, four ids a byte, lowest bits first: bytes of the id's rank, less one
     data          the ranks, each in 1 to 4 little-endian bytes
 
-Ranks go by frequency over all documents, most frequent first, ties by id, so the frequent ids take one byte. Reading
+Documents are encoded where they are read; only their ids, in two or four bytes each, are sorted by doc_id. Ranks go by
+frequency over all documents, most frequent first, ties by id, so the frequent ids take one byte. Reading
 needs no loop over ids: a numpy table turns each control byte into four lengths, running sums give the places, and each
 rank is gathered from up to four bytes. Blocks are written by Spark's committer, so a lost executor leaves no torn file.
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, prepare, release, stored, text_of, work_path
+from ledgerloom.llm.common import discard, prepare, stored, swept, text_of, work_path
 from ledgerloom.llm.tokens import Encoder, slices
 
 END_ID = 2
@@ -68,29 +69,22 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def tokenised(tokenizer: str):
-    """(doc_id, text), in order -> (part, seq, before, doc_id, ids); a last row of each part, with seq -1, has how often
-    each id occurs, in 8 bytes from id 0 on."""
+    """(doc_id, tie, text) -> (doc_id, tie, ids); a last row of each part, with tie -1, has how often each id occurs, in 8
+    bytes from id 0 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, before, encoder = TaskContext.get().partitionId(), 0, 0, Encoder.of(tokenizer)
-        counts = np.zeros(0, np.int64)
+        encoder, counts, names = Encoder.of(tokenizer), np.zeros(0, np.int64), ["doc_id", "tie", "ids"]
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at, texts in slices(batch.column(1).to_pylist(), CHARS):
+            for at, texts in slices(batch.column(2).to_pylist(), CHARS):
                 ids = [x + end for x in encoder.encode(texts)]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                sums = before + np.cumsum(sizes)
                 n = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
                 if len(n) > len(counts):
                     n, counts = counts, n
                 counts[: len(n)] += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(seq, seq + len(ids))), pa.array(sums - sizes), batch.column(0).slice(at, len(ids)), pa.array([narrow(x) for x in ids], pa.binary())],
-                    names=["part", "seq", "before", "doc_id", "ids"],
-                )
-                seq, before = seq + len(ids), int(sums[-1])
-        if seq:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["part", "seq", "before", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), batch.column(1).slice(at, len(ids)), pa.array([narrow(x) for x in ids], pa.binary())], names=names)
+        if len(counts):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([counts.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -114,26 +108,28 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(rank_of: np.ndarray):
-    """(part, seq, before, doc_id, ids) -> blocks."""
+    """(doc_id, ids), in order -> blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        doc_ids: list[int | None] = []
+        ids: list[np.ndarray] = []
         held = 0
 
         def block():
-            ids = [r[4] for r in rows]
             control, data = encode_ranks(rank_of[np.concatenate(ids)])
             lengths = np.array([len(x) for x in ids], "<u8").tobytes()
-            return pa.RecordBatch.from_pydict({"part": pa.array([rows[0][0]], pa.int32()), "seq": pa.array([rows[0][1]], pa.int64()), "before": pa.array([rows[0][2]], pa.int64()), "doc_ids": pa.array([[r[3] for r in rows]], pa.list_(pa.int64())), "lengths": [lengths], "control": [control], "data": [data]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": [lengths], "control": [control], "data": [data]})
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[:4]), map(widen, batch.column(4).to_pylist())):
-                if rows and (held + len(row[4]) > BLOCK_IDS or row[0] != rows[0][0] or row[1] != rows[-1][1] + 1):
+            for d, x in zip(batch.column(0).to_pylist(), map(widen, batch.column(1).to_pylist())):
+                if ids and held + len(x) > BLOCK_IDS:
                     yield block()
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
-        if rows:
+                    seq, before = seq + len(ids), before + held
+                    doc_ids, ids, held = [], [], 0
+                doc_ids.append(d), ids.append(x)
+                held += len(x)
+        if ids:
             yield block()
 
     return run
@@ -145,17 +141,17 @@ BLOCKS = "part int, seq long, before long, doc_ids array<long>, lengths binary,
 def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str) -> None:
     """Writes the files of all documents under path: blocks and ranks."""
     prepare(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
-    ids = ordered.mapInArrow(tokenised(tokenizer), "part int, seq long, before long, doc_id long, ids binary")
-    ids = stored(spark, ids, "ids")
-    release(spark)
-    counts = ids.where("seq = -1").select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    text = text_of()
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("tie"), text.alias("text"))
+    ids = stored(spark, slim.mapInArrow(tokenised(tokenizer), "doc_id long, tie long, ids binary"), "ids")
+    counts = ids.where("tie = -1").select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame([(by_rank,)], "ids array<long>").write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(by_rank, default=0) + 1, "<u2" if len(by_rank) <= 1 << 16 else "<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
-    ids.where("seq >= 0").mapInArrow(blocks_of(rank_of), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered = ids.where("tie >= 0").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    with swept(spark):
+        ordered.mapInArrow(blocks_of(rank_of), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     discard(spark, ids)
 
 
