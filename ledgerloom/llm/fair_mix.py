@@ -1,14 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations alone.
 
 Each source's documents are shuffled by a hash, once for each repeat. A copy starts at the words of its source that come
-before it and finishes at that sum plus its own size; divided by the source's weight these are virtual times. The mix is
-all copies in order of virtual finish time (a global range sort), cut where the total budget is used up. At that
-virtual time V each source has had min(weight x V, repeats x its size) words: this is its target, and the excess of
-sources that ran out has gone to the others by weight. The copy that crosses a source's target counts with its words up
-to the target (`taken`), so that each source's sum is its target rounded down.
+before it; the words up to its end, divided by the source's weight, are its virtual finish time. All copies of all sources
+are sorted by virtual finish time (a global range sort), their words are summed in this order, and the queue is truncated
+where the sum reaches the total budget; the copy there counts with what is left of it (`taken`). A source that runs out has no
+more copies in the queue, so its share goes to the others by weight. Documents are queued whole, or in slices of up to
+`slice_words` words, as packets of a long message: then each source's sum is within a slice of its target, which is
+min(weight x V, repeats x its size) with V such that targets sum to the budget (`source_targets`, in closed form).
 
 Running sums don't gather a source in one task: a source's copies fall into BUCKETS ranges of the shuffle hash; sums of
-ranges are accumulated first, then the copies within each range. Tables by source have a row for each source.
+ranges are accumulated first, then the copies within each range. Sums over the sorted queue are accumulated over its
+partitions first, then within each of them. Tables by source have a row for each source.
 
 Edge cases: a null text has size 0; null is a source of its own, the last one; documents of size 0 take nothing and get
 the virtual time at which their turn comes; repeated rows are rows of their own; ties of the hash fall to doc_id and size; an
@@ -55,22 +57,13 @@ def source_targets(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5
     return sources.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, tag, source_size, target, repeat, virtual_finish, taken): the copies of the mix, sorted by virtual finish.
-
-    Rows of size 0 come once for each repeat, with taken 0.
-    """
-    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed).drop("range", "shuffle")
-    return copies.where("taken > 0 or size = 0").orderBy("virtual_finish", "doc_id", "tag", "repeat")
-
-
-def queued(spark: SparkSession, docs: DataFrame, *, weights: tuple, share: float, repeats: int, seed: int) -> DataFrame:
-    """All copies, also those beyond the cut, with taken 0."""
+def queued(spark: SparkSession, docs: DataFrame, *, weights: tuple, share: float, repeats: int, seed: int, slice_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """The sizes of documents with their source's target; and the queue, also beyond the cut, with taken 0 there."""
     prepare(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"))
     rows = stored(spark, slim.withColumn("tag", F.monotonically_increasing_id()), "sizes")
-    targets = source_targets(rows, weights, share, repeats)
-    copies = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    targets = stored(spark, source_targets(rows, weights, share, repeats), "targets")
+    copies = rows.where("size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("shuffle", shuffle_hash("doc_id", "repeat", seed)).withColumn("range", hash_range("repeat", "shuffle"))
 
     sums = copies.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -79,20 +72,40 @@ def queued(spark: SparkSession, docs: DataFrame, *, weights: tuple, share: float
     within = Window.partitionBy("source", "range").orderBy("shuffle", "doc_id", "size", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     copies = copies.withColumn("sum", F.sum("size").over(within))
     placed = copies.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
-    placed = placed.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
-    start = F.col("offset") + F.col("sum") - F.col("size")
-    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - start)).cast("long")
-    return placed.select("doc_id", "source", "size", "tag", "source_size", "target", "repeat", ((start + F.col("size")) / F.col("weight")).alias("virtual_finish"), taken.alias("taken"), "range", "shuffle")
+    placed = placed.join(targets.select(F.col("source").alias("t_source"), "weight"), F.col("source").eqNullSafe(F.col("t_source")))
+    step = F.lit(slice_words).cast("long") if slice_words else F.col("size")
+    placed = placed.withColumn("start", F.col("offset") + F.col("sum") - F.col("size")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / step) - 1)))
+    end = F.least(F.col("size"), (F.col("slice") + 1) * step)
+    order = ["virtual_finish", "doc_id", "size", "repeat", "slice", "tag"]
+    packets = placed.select(*order[1:], "source", "range", "shuffle", (end - F.col("slice") * step).alias("words"), ((F.col("start") + end) / F.col("weight")).alias("virtual_finish"))
+    queue = packets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    queue = stored(spark, queue, "queue")
+
+    parts = queue.groupBy("part").agg(F.sum("words").alias("words"))
+    before = parts.select(F.col("part").alias("b_part"), F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    budget = rows.agg(F.floor(F.coalesce(F.sum("size"), F.lit(0)) * F.lit(float(share)) + 1e-6).cast("long")).first()[0]
+    summed = queue.withColumn("sum", F.sum("words").over(own)).join(before, F.col("part") == F.col("b_part"))
+    left = F.lit(budget) - (F.col("before") + F.col("sum") - F.col("words"))
+    summed = summed.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("part", "b_part", "before", "sum")
+    return rows.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source"), summed
+
+
+def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7, slice_words: int | None = None) -> DataFrame:
+    """(doc_id, source, size, tag, repeat, slice, words, virtual_finish, taken): what the mix holds, in its order. Documents
+    of size 0 are not in it."""
+    queue = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed, slice_words=slice_words)[1].where("taken > 0")
+    return queue.drop("range", "shuffle").orderBy("virtual_finish", "doc_id", "size", "repeat", "slice", "tag")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7) -> DataFrame:
-    """The documents of the mix with all their columns, repeats as repeated rows. The copies that a target cuts are left out;
+    """The documents of the mix with all their columns, repeats as repeated rows. The copy at the cut is left out;
     documents of size 0 come once; repeated rows of one size stand at one place of the queue and stay or go together.
 
     What a source gives is the beginning of its queue, so the place of the last whole copy (a row for each source) decides on
     each document by its own hash: no text is shuffled.
     """
-    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed).where("taken = size and size > 0")
+    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed, slice_words=None)[1].where("taken = size")
     cuts = copies.groupBy(F.col("source").alias("__source")).agg(F.max(F.struct("range", "shuffle", "doc_id", "size")).alias("__cut"))
     cuts = stored(spark, cuts, "mix-cuts")
     marked = docs.withColumn("__size", word_count(text_of())).withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -103,7 +116,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, *, weights: tuple = WE
     return held.where(keep).select(*docs.columns)
 
 
-def taken_words(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7) -> DataFrame:
+def taken_words(spark: SparkSession, docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 7, slice_words: int = 256) -> DataFrame:
     """One row per row of docs: (doc_id, size, source_size, target, taken)."""
-    copies = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed)
-    return copies.groupBy("tag").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("taken").alias("taken")).drop("tag")
+    rows, queue = queued(spark, docs, weights=weights, share=share, repeats=repeats, seed=seed, slice_words=slice_words)
+    taken = queue.where("taken > 0").groupBy("tag").agg(F.sum("taken").alias("taken"))
+    return rows.join(taken, "tag", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
