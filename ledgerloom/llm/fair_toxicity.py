@@ -7,8 +7,8 @@ fitted by minimising
 
     log loss + ridge |w|^2 + fairness x mean over pairs of (w . f(sentence) - w . f(counterfactual))^2
 
-where a pair is a labelled sentence with an identity term and the same sentence with that term swapped for another one of its
-group. So a mention of a group may not carry weight of its own, and neutral mentions are not taken for toxic ones.
+where a pair is a sentence of the sample with an identity term and the same sentence with that term swapped for another one of its
+group; all such sentences count. So a mention of a group may not carry weight of its own, and neutral mentions are not taken for toxic ones.
 
 The model has `max_features` weights at most and goes to the workers; texts are scored whole, in one pass, without a
 shuffle. Labels are joined only by the bounded sample, which is broadcast.
@@ -83,7 +83,7 @@ class Model:
         def of(word: str) -> tuple[int, ...]:
             w = word.strip(OUTER)
             found = tuple(index[f] for f in features_of_word(w) if f in index) if w else ()
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             known[word] = found
             return found
@@ -136,7 +136,7 @@ def in_training(folds: int, held_fold: int):
 
 def train(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_fold: int = 2, max_rows: int = 15_000, max_features: int = 8192,
-    groups: tuple = IDENTITY, ridge: float = 2e-6, fairness: float = 1.0, max_pairs: int = 20_000,
+    groups: tuple = IDENTITY, ridge: float = 2e-6, fairness: float = 1.0,
 ) -> Model:
     """Learns from at most max_rows rows of each label; all else of the fit is bounded by that."""
     prepare(spark)
@@ -179,7 +179,7 @@ def train(
 
     data = rows.select("toxic", "text").mapInArrow(indexed, "toxic int, at array<int>, swapped array<array<int>>").toArrow().sort_by([("toxic", "ascending")])
     data = sorted(zip(*(data.column(c).to_pylist() for c in ("toxic", "at", "swapped"))))
-    pairs = [(s[i], s[i + 1]) for _, _, s in data for i in range(0, len(s), 2)][:max_pairs]
+    pairs = [(s[i], s[i + 1]) for _, _, s in data for i in range(0, len(s), 2)]
     w, b = minimise([r[1] for r in data], np.array([r[0] for r in data], float), pairs, len(index), ridge, fairness)
     used = {f: i for f, i in index.items() if abs(w[i]) > 1e-3}
     return Model(used, w, b)

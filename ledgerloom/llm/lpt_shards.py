@@ -2,9 +2,9 @@
 
 A group's weight is the sum of its documents' sizes. Groups are taken in order of weight, largest first, and each goes to
 the shard with the least load, kept in a heap. The order is cut into runs of equal weight; a heap step deals a whole run
-at once, so the driver sees a row for each distinct weight and not for each group. Weights over 2^13 are rounded to 13
-significant bits to form a run (its mean stands for each of its groups), which bounds the runs by 2^13 + 50 x 2^12
-whatever the data. Within a run, groups are numbered by digest and the numbers are cut by the shards' quotas.
+at once, so the driver sees a row for each distinct weight and not for each group. Weights are exact to 17 significant
+bits: groups of over 2^17 bytes that are within 1 part in 65,536 of each other form one run, and its mean stands for each.
+That bounds the runs by 2^17 + 46 x 2^16 whatever the data; a group alone in its run has its exact weight. Within a run, groups are numbered by digest and the numbers are cut by the shards' quotas.
 
 Numbers are found without gathering a run or a shard in one task: rows fall into SALTS parts by a hash, counts of parts
 are accumulated first, then rows are numbered within each part. A hot text is one row before it meets its documents
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import prepare, stored, text_of
 
 SALTS = 1024
-EXACT_BITS = 13
+EXACT_BITS = 17
 
 
 def deal_equal(loads: list[float], weight: float, count: int) -> list[int]:
