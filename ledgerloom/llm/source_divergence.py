@@ -27,7 +27,6 @@ columns, doc_id included, are ignored.
 from __future__ import annotations
 
 import re
-import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,12 +36,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import discard, prepare, stored, text_of
-from ledgerloom.llm.tokens import slices
 
-TERMS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-#: Counts a task holds before it hands them out, and characters it takes from a batch at once.
-HELD, CHARS = 200_000, 1 << 20
+#: On UTF-8, whose bytes beyond ASCII are 80 and up; `bytes.lower` changes A-Z only.
+TERMS = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Counts that a task holds before it hands them out, and parts into which the rows of one language or group are dealt for a join.
+HELD, SALTS = 500_000, 64
 #: Terms in a chunk, chunks in a slab, groups in a block.
 CHUNK, CHUNKS, BLOCK = 2048, 8, 16
 
@@ -51,29 +49,27 @@ def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(lang, source, term, n, docs) of (text, lang, source); a row with a null term for every group met."""
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def handed() -> pa.RecordBatch:
-        rows = [(*group, term, x, docs[term]) for group, (n, docs) in counts.items() for term, x in n.items()]
-        rows += [(*group, None, 0, 0) for group in counts]
+    def handed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in counts.items():
+            terms = pa.array([*n, None], pa.binary()).cast(pa.string())
+            size = len(terms)
+            columns = [pa.repeat(lang, size), pa.repeat(source, size), terms, pa.array([*n.values(), 0], pa.int64()), pa.array([*map(docs.__getitem__, n), 0], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         counts.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lang", "source", "term", "n", "docs"])
 
     held = 0
     for batch in batches:
-        groups = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        for at, texts in slices(batch.column(0).to_pylist(), CHARS):
-            for group, text in zip(groups[at : at + len(texts)], texts):
-                n, docs = counts.setdefault(group, (Counter(), Counter()))
-                before = len(n)
-                own = Counter(TERMS.findall(text.translate(LOWER) if not text.isascii() else text.lower()))
-                n.update(own)
-                docs.update(own.keys())
-                held += len(n) - before
-                if held > HELD:
-                    yield handed()
-                    held = 0
-    if counts:
-        yield handed()
+        for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
+            n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+            before = len(n)
+            terms = TERMS.findall(text.encode().lower())
+            n.update(terms)
+            docs.update(set(terms))
+            held += len(n) - before
+            if held > HELD:
+                yield from handed()
+                held = 0
+    yield from handed()
 
 
 class Tile:
@@ -164,6 +160,11 @@ def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
     return each.select("lang", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "slab", "chunk", side, "source", *columns)
 
 
+def salted(facts: DataFrame) -> DataFrame:
+    """A few facts of each language or group, once for each part into which its rows are dealt: a hot one is no single task."""
+    return facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def probability(n: str, total: str, kept: str):
     """1 + floor(10^9 * (n + 1) / (total + kept)), exact."""
     return F.expr(f"1 + (1000000000BD * (cast({n} AS decimal(20,0)) + 1)) div (cast({total} AS decimal(20,0)) + {kept})").cast("bigint")
@@ -188,7 +189,9 @@ def audit(spark: SparkSession, docs: DataFrame, *, least: int = 3, top: int = 20
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
     at = Window.partitionBy("lang", "chunk")
     numbered = (
-        kept.join(langs, "lang")
+        kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+        .join(salted(langs), ["lang", "salt"])
+        .drop("salt")
         .withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / chunk)).cast("int"))
         .withColumn("at", F.row_number().over(at.orderBy("term")) - 1)
         .withColumn("width", F.count(F.lit(1)).over(at))
@@ -205,7 +208,7 @@ def audit(spark: SparkSession, docs: DataFrame, *, least: int = 3, top: int = 20
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"), blocks.alias("blocks"), F.pmod(F.xxhash64("source"), blocks).cast("int").alias("block")
     ).withColumn("missing", F.when(F.col("kept") > 0, F.expr("1 + 1000000000BD div (total + kept)").cast("bigint")).otherwise(1))
     groups = stored(spark, groups, "groups")
-    own = own.join(groups.select("lang", "source", "total", "blocks", "block"), ["lang", "source"])
+    own = own.withColumn("salt", F.pmod("at", F.lit(SALTS)).cast("long")).join(salted(groups.select("lang", "source", "total", "blocks", "block")), ["lang", "source", "salt"]).drop("salt")
     own = own.withColumn("p", probability("n", "total", "kept")).withColumn("q", probability("lang_n", "lang_total", "kept"))
 
     # Part term: the first `top` of each task go to the group's task.
