@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom import catalog_text
+from ledgerloom import catalog_pages, catalog_text
 from ledgerloom.functions import dates, money, signals
 from ledgerloom.operators import compare, confidence, detect, entities, layout, ledger, ordering, reporting, solver
 from ledgerloom.plans import views
@@ -291,7 +291,7 @@ def seeds(t: DataFrame) -> DataFrame:
 
 
 register("seed_balances", on_ledger(seeds), """SELECT doc_id, value_c, source, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_idx) AS rk FROM (SELECT doc_id, row_idx, balance_c AS value_c,
-    CASE WHEN row_idx = 0 AND k % 2 = 0 THEN 'opening' ELSE 'balance_as_on' END AS source, CASE WHEN row_idx = 0 AND k % 2 = 0 THEN 80 WHEN k % 10 = 0 THEN 0 ELSE 95 END AS score FROM l WHERE balance_c IS NOT NULL AND (row_idx = 0 OR k % 5 = 0))) WHERE rk = 1 AND score > 0""", L)
+    CASE WHEN row_idx = 0 AND k % 2 = 0 THEN 'opening' ELSE 'balance_as_on' END AS source, CASE WHEN row_idx = 0 AND k % 2 = 0 THEN 80 WHEN k % 10 = 0 THEN 0 ELSE 80 END AS score FROM l WHERE balance_c IS NOT NULL AND (row_idx = 0 OR k % 5 = 0))) WHERE rk = 1 AND score > 0""", L)
 register("zone_candidates", lambda spark, d: detect.zone_candidates(views.amount_texts(spark, d).where("text <> 'n/a'").select(F.col("id").alias("doc_id"), F.lit(0).alias("row_no"), F.filter(F.array(F.expr("left(text, length(text) - 2)"), F.expr("right(text, 2)")), lambda x: x != "").alias("texts"))))
 register("balance_readings", lambda spark, d: detect.balance_candidates(views.amount_texts(spark, d).select(F.col("id").alias("doc_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("pos"), F.when(F.col("id") % 3 == 0, F.regexp_replace("text", r"\D", "")).otherwise(F.col("text")).alias("text"))))
 register("visual_lines", on_tokens(lambda t: entities.visual_lines(t).groupBy("doc_id", "page", "line_no").agg(F.count(F.lit(1)).alias("n"))), """SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_idx) - 1 AS INTEGER) AS line_no, n
@@ -302,3 +302,7 @@ register("matched_rows", two_readings(lambda a, b: entities.match_rows(a.select(
 # Text lines
 for _name, _query in catalog_text.QUERIES.items():
     register(_name, _query, catalog_text.oracles(L, LINES, QUALIFIED).get(_name))
+
+# Scanned pages
+for _name, _query in catalog_pages.QUERIES.items():
+    register(_name, _query, catalog_pages.oracles(L).get(_name))

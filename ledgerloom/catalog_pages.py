@@ -1,0 +1,200 @@
+"""Queries over scanned pages and their SQL, written on the same tokens in other terms: numbered rows and self joins where
+the operators use windows, recursion where they fold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom import catalog_text
+from ledgerloom.functions import dates
+from ledgerloom.operators import cards, columns, geometry, layout, recovery, textlines
+from ledgerloom.plans import scans, views
+from ledgerloom.sources.work import stored
+
+
+def with_tokens(f):
+    return lambda spark, d: f(stored(layout.detect_rows(scans.tokens(spark, d)), "rows"))
+
+
+def recovered(lines: DataFrame) -> DataFrame:
+    """A text parse that lost a nineteenth of its rows before the solver, and gets them back."""
+    clean = stored(textlines.preprocess(lines), "lines")
+    rows, seeds = stored(textlines.raw_rows(clean), "raw-rows"), stored(textlines.statement_seeds(clean), "seeds")
+    txns = textlines.solved(rows.where((F.col("doc_id") * 7 + F.col("row_no")) % 19 != 0), seeds)
+    return recovery.transactions(recovery.recover(rows, stored(recovery.opened(txns, seeds), "transactions"), seeds)).select("doc_id", "row_no", "debit_c", "credit_c", "balance_c", "recovered", "confidence")
+
+
+def reported_lines(t: DataFrame) -> DataFrame:
+    """Printed lines, with a stated period on top of some and counts of sides below others."""
+    ends = t.groupBy("doc_id").agg(F.max("row_idx").alias("n"))
+    period = ends.where("doc_id % 4 = 0").select("doc_id", F.lit(-1).alias("line_no"), F.when(F.col("doc_id") % 8 == 0, "Period From 01-Jan-1992 and 31/12/1999").otherwise("Period between 1-1-1989 TO 31/Dec/1999").alias("text"))
+    said = ends.where("doc_id % 5 = 0").select("doc_id", (F.col("n") * 10 + 9).alias("line_no"), F.concat(F.lit("No. of Debits: "), F.col("doc_id") % 3).alias("text"))
+    return views.printed_statement(t).unionByName(period).unionByName(said)
+
+
+def period_texts(spark, d) -> DataFrame:
+    k, day, end = F.col("o_orderkey"), F.col("o_orderdate"), F.date_add("o_orderdate", 30)
+    shape = lambda f, between, first=day, last=end: F.concat(F.lit("Acct 12-2 x\nfrom "), F.date_format(first, f), F.lit(between), F.date_format(last, f), F.lit(" rest"))
+    text = (
+        F.when(k % 7 == 0, shape("dd/MM/yyyy", " to ")).when(k % 7 == 1, shape("dd.MM.yyyy", " AND ")).when(k % 7 == 2, shape("d-MMM-yyyy", "-")).when(k % 7 == 3, shape("dd/MM/yyyy", " to ", end, day)).when(k % 7 == 4, shape("dd-MM-yy", "\nto "))
+        .when(k % 7 == 5, shape("yyyy/MM/dd", " to ")).otherwise(F.concat(shape("dd-MM-yyyy", " to ", end, day), F.lit(" "), shape("dd/MMM/yyyy", " To ")))
+    )
+    return views.table(spark, d, "orders").select(k.alias("doc_id"), text.alias("text"))
+
+
+def parsed(tokens: DataFrame) -> DataFrame:
+    blocks, decisions = geometry.parse(tokens)
+    return blocks.select("doc_id", "row_idx", "page", "date", "debit_c", "credit_c", "balance_c").join(decisions.select("doc_id", "row_idx", "reason", "conservation"), ["doc_id", "row_idx"])
+
+
+def swaps(rows: DataFrame) -> DataFrame:
+    zones = stored(columns.zones(rows), "zones")
+    return geometry.zones_swapped(geometry.numbered(rows, layout.transaction_blocks(columns.anchored(rows, zones))), zones)
+
+
+def anchors(rows: DataFrame) -> DataFrame:
+    zones = stored(columns.zones(rows), "zones")
+    more = columns.anchored(rows, zones, mend=True).select("doc_id", "page", "row_no", F.col("anchor").alias("mended_anchor"))
+    return columns.anchored(rows, zones).select("doc_id", "page", "row_no", "zone_text", "dated", "mended", "anchor").join(more, ["doc_id", "page", "row_no"])
+
+
+def decisions(spark, d) -> DataFrame:
+    frame = lambda t: scans.frame(spark, d, (scans.ROWS, scans.BLOCKS), f"SELECT * FROM {t}")
+    return geometry.decided(frame("blocks"), frame("seeds"))
+
+
+QUERIES = {
+    "recovered_rows": lambda spark, d: recovered(catalog_text.lines(spark, d)),
+    "text_reports": lambda spark, d: recovery.parse(reported_lines(views.ledger(spark, d)))[1],
+    "statement_periods": lambda spark, d: textlines.periods(period_texts(spark, d)),
+    "seed_dates": lambda spark, d: period_texts(spark, d).select("doc_id", dates.parse_seed_date(F.regexp_extract("text", r"from (\S+)", 1)).alias("day")),
+    "header_windows": with_tokens(lambda rows: columns.windows(layout.row_boxes(rows)).withColumn("types", F.array_join("types", " "))),
+    "header_columns": with_tokens(columns.zones),
+    "block_anchors": with_tokens(anchors),
+    "zone_swaps": with_tokens(swaps),
+    "decision_folds": decisions,
+    "card_rows": lambda spark, d: cards.card_rows(scans.card_tokens(spark, d)),
+    "page_transactions": lambda spark, d: parsed(scans.tokens(spark, d)),
+}
+
+# Rows of pages, numbered through a statement.
+NUMBERED = """
+rws AS (SELECT doc_id, page, y0, min(x0) AS x, string_agg(text, ' ' ORDER BY x0, tok_idx) AS t, upper(string_agg(text, ' ' ORDER BY x0, tok_idx)) AS u, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0) AS rn,
+        CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1 AS INTEGER) AS row_no FROM tok GROUP BY doc_id, page, y0)"""
+# Fixed values, as the operator has them: words of column headers.
+WORDS = """
+words(kind, pr, pattern, lefty) AS (VALUES ('value_date', 1, '\\b(VALUE DATE|VALUE DT|VAL DT|VAL\\.DATE|EFFECTIVE DATE)\\b', true), ('cheque', 2, '\\b(CHQ|CHEQUE|REF|REFERENCE|INSTRUMENT)\\b', true), ('date', 3, '\\bDATE\\b', true),
+    ('narration', 4, '\\b(PARTICULARS|NARRATION|DESCRIPTION|DETAILS|REMARKS)\\b', true), ('debit', 5, '\\b(WITHDRAWAL|WITHDRAWALS|DEBIT|DR)\\b', false), ('credit', 6, '\\b(DEPOSIT|DEPOSITS|CREDIT|CR)\\b', false), ('balance', 7, '\\b(BALANCE|BAL)\\b', false))"""
+WINDOWS = """
+said AS (SELECT doc_id, rn, kind FROM rws JOIN words ON regexp_matches(u, pattern)),
+wins AS (SELECT doc_id, rn AS nth, max(j) + 1 AS rows, string_agg(kind, ' ' ORDER BY kind) AS types, count(*) AS score FROM (SELECT a.doc_id, a.rn, kind, min(b.rn - a.rn) AS j FROM rws a JOIN said b ON b.doc_id = a.doc_id AND b.rn - a.rn BETWEEN 0 AND 2 GROUP BY ALL) GROUP BY doc_id, rn
+         HAVING bool_or(kind = 'date') AND bool_or(kind = 'balance') AND bool_or(kind IN ('debit', 'credit'))),
+best AS (SELECT * FROM wins QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, nth DESC) = 1),
+hw AS (SELECT doc_id, rn * 1000 + row_number() OVER (PARTITION BY doc_id, rn ORDER BY x0, tok_idx) AS ord, x0, x1, (x0 + x1) / 2.0 AS xm, trim(replace(upper(text), '.', '')) AS w FROM tok JOIN rws USING (doc_id, page, y0) JOIN best USING (doc_id) WHERE rn BETWEEN nth AND nth + rows - 1),
+hk AS (SELECT hw.*, list(kind ORDER BY pr) AS kinds FROM hw JOIN words ON regexp_matches(w, pattern) GROUP BY ALL),
+cols AS (SELECT doc_id, ord, 0 AS part, kinds[1] AS kind, x0 * 1.0 AS x, xm AS xc FROM hk WHERE NOT (list_contains(kinds, 'debit') AND list_contains(kinds, 'credit'))
+         UNION ALL SELECT doc_id, ord, 0, CASE WHEN first_ THEN 'debit' ELSE 'credit' END, x0, (x0 + xm) / 2 FROM both_ UNION ALL SELECT doc_id, ord, 1, CASE WHEN first_ THEN 'credit' ELSE 'debit' END, xm, (xm + x1) / 2 FROM both_),
+both_ AS (SELECT *, least(nullif(strpos(w, 'WITHDRAWAL'), 0), nullif(strpos(w, 'DEBIT'), 0), nullif(strpos(w, 'DR'), 0)) < least(nullif(strpos(w, 'DEPOSIT'), 0), nullif(strpos(w, 'CREDIT'), 0), nullif(strpos(w, 'CR'), 0)) AS first_ FROM hk
+          WHERE list_contains(kinds, 'debit') AND list_contains(kinds, 'credit') AND regexp_replace(w, '[ /\\\\-]', '', 'g') NOT IN ('DRCR', 'CRDR')),
+one AS (SELECT cols.* FROM cols JOIN words USING (kind) QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY CASE WHEN lefty THEN x ELSE -x END, ord, part) = 1),
+zones AS (SELECT doc_id, kind AS zone, coalesce((lag(xc) OVER w + xc) / 2, 0) AS lo, coalesce((xc + lead(xc) OVER w) / 2, 9999) AS hi FROM one WINDOW w AS (PARTITION BY doc_id ORDER BY x, ord, part))"""
+_PARTS = WINDOWS.split(",\n")
+# both_ is used before it is written: common table expressions need it first.
+_BOTH = next(i for i, p in enumerate(_PARTS) if p.startswith("both_"))
+WINDOWS = ",\n".join([p for i, p in enumerate(_PARTS[: _BOTH - 1])] + [_PARTS[_BOTH], _PARTS[_BOTH - 1]] + _PARTS[_BOTH + 1 :])
+ANY_DATE = r"\b(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2}|\d{1,2}[\s./-][A-Za-z]{3,9}[\s./-]\d{2,4})\b"
+ANCHORS = rf"""
+zt AS (SELECT r.*, coalesce((SELECT string_agg(text, ' ' ORDER BY x0, tok_idx) FROM tok WHERE tok.doc_id = r.doc_id AND tok.page = r.page AND tok.y0 = r.y0 AND CASE WHEN z.lo IS NULL THEN tok.x0 < 150 ELSE tok.x0 BETWEEN z.lo - 70 AND z.hi + 70 END), r.t) AS zone_text
+       FROM rws r LEFT JOIN (SELECT * FROM zones WHERE zone = 'date') z ON z.doc_id = r.doc_id),
+zp AS (SELECT *, regexp_matches(zone_text, '{ANY_DATE}') AS zd, regexp_matches(t, '{ANY_DATE}') AS td, regexp_matches(zone_text, '^\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}\D') AS zr, regexp_matches(t, '^\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}\D') AS tr,
+       CASE WHEN regexp_full_match(zone_text, '(?i)[J|]?[Ol\d]{{1,2}}[./|):-][Ol\d]{{1,2}}[./|):-]\d{{2,4}}[a-z]?|[J|]?([Ol\d]{{1,2}}|[a-z]{{3}})[./|):-]\d{{2,4}}[a-z]?') THEN zone_text END AS odd FROM rws JOIN zt USING (doc_id, page, y0, x, t, u, rn, row_no)),
+zm AS (SELECT *, CASE WHEN NOT zd AND NOT zr AND odd IS NOT NULL THEN translate(regexp_replace(regexp_replace(odd, '^([Jj]([0-9Oo])|\|)', '\2'), '[A-Za-z]$', ''), 'Ool|:)', '001---') END AS mended FROM zp),
+anch AS (SELECT *, coalesce(regexp_matches(mended, '{ANY_DATE}') OR regexp_matches(mended, '^\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}\D'), false) AS saved,
+         zd AND length(regexp_extract(zone_text, '^(.*?){ANY_DATE}', 1)) < 20 OR td AND length(regexp_extract(t, '^(.*?){ANY_DATE}', 1)) < 20 AS anchor FROM zm)"""
+# Rows of an account open blocks, misread ones once their page has an anchor: each has an amount, and no block has two.
+SWAPS = r"""
+live AS (SELECT *, bool_or(anchor) OVER (PARTITION BY doc_id, page ORDER BY rn) AS open FROM anch),
+rowz AS (SELECT v.*, row_number() OVER (PARTITION BY v.doc_id ORDER BY rn) AS nth, contains(t, '/CR/') AS cr, (SELECT min(x0) FROM tok k WHERE k.doc_id = v.doc_id AND k.page = v.page AND k.y0 = v.y0 AND regexp_full_match(text, '[\d,]+\.\d{2}')) AS ax FROM live v WHERE open AND contains(t, 'UPI/')),
+ends AS (SELECT d.doc_id, d.lo AS dlo, d.hi AS dhi, c.lo AS clo, c.hi AS chi FROM zones d JOIN zones c USING (doc_id) WHERE d.zone = 'debit' AND c.zone = 'credit'),
+told AS (SELECT doc_id, (cr AND ax BETWEEN clo AND chi) OR (NOT cr AND ax BETWEEN dlo AND dhi) AS agree FROM rowz JOIN ends USING (doc_id) WHERE nth <= 60 AND (ax BETWEEN dlo AND dhi OR ax BETWEEN clo AND chi)),
+swaps AS (SELECT doc_id, count(*) FILTER (agree) AS agrees, count(*) FILTER (NOT agree) AS disagrees, count(*) >= 3 AND count(*) FILTER (NOT agree) / count(*) >= 0.6 AS swapped FROM told GROUP BY doc_id)"""
+PARSED = """
+pt AS (SELECT r.doc_id, CAST(nth - 1 AS INTEGER) AS row_idx, r.page, CASE WHEN k % 11 IN (0, 1) OR k % 11 = 2 AND contains(substr(dmy, 1, 5), '0') THEN NULL WHEN k % 11 = 3 THEN substr(dmy, 1, 6) || substr(dmy, 9, 2) ELSE dmy END AS date,
+       (ax BETWEEN dlo AND dhi) = (NOT coalesce(swapped, false)) AS deb, a, bal FROM rowz r JOIN ends USING (doc_id) LEFT JOIN swaps USING (doc_id) JOIN acct ON acct.doc_id = r.doc_id AND acct.page = r.page AND r.y0 = 80 + 28 * (i % 4)),
+blocks AS (SELECT doc_id, row_idx, page, date, CASE WHEN deb THEN a END AS debit_c, CASE WHEN NOT deb THEN a END AS credit_c, bal AS balance_c, '' AS anchor FROM pt),
+seeds AS (SELECT 0 AS doc_id, 0 AS page, NULL::BIGINT AS seed_c WHERE false)"""
+FOLD = """
+nb AS (SELECT b.*, seed_c, row_number() OVER (PARTITION BY b.doc_id ORDER BY row_idx) AS rn, anchor LIKE '%closing%' AS label, CASE WHEN date IS NULL THEN 'no_date' WHEN coalesce(debit_c, credit_c, balance_c) IS NULL THEN 'NO_TRANSACTION_SEED'
+       WHEN coalesce(debit_c, credit_c) IS NULL THEN 'no_debit_or_credit' WHEN debit_c IS NOT NULL AND credit_c IS NOT NULL THEN 'both_debit_and_credit' END AS hard FROM blocks b LEFT JOIN seeds USING (doc_id, page)),
+fold AS (SELECT doc_id, 0::BIGINT AS rn, NULL::BIGINT AS prev, NULL::INTEGER AS page, NULL::VARCHAR AS reason, NULL::VARCHAR AS state FROM (SELECT DISTINCT doc_id FROM nb)
+    UNION ALL SELECT doc_id, rn, CASE WHEN reason IN ('ok', 'conservation_conflict') THEN balance_c ELSE prev END, page, reason, state FROM (
+        SELECT *, coalesce(hard, CASE WHEN state = 'FAIL' THEN 'conservation_conflict' WHEN label THEN 'structural_label' ELSE 'ok' END) AS reason FROM (
+            SELECT *, CASE WHEN hard IS NOT NULL OR prev IS NULL OR balance_c IS NULL THEN 'UNSEEDED' WHEN abs(prev + coalesce(credit_c, 0) - coalesce(debit_c, 0) - balance_c) <= 150 THEN 'PASS' ELSE 'FAIL' END AS state FROM (
+                SELECT nb.*, CASE WHEN f.prev IS NULL AND f.page IS DISTINCT FROM nb.page THEN nb.seed_c ELSE f.prev END AS prev FROM fold f JOIN nb ON nb.doc_id = f.doc_id AND nb.rn = f.rn + 1))))"""
+
+# Card statements: no row of these has a footer's words, so rows follow the rules of blocks alone.
+CARD_ROWS = rf"""
+rr AS (SELECT *, regexp_matches(t, '{ANY_DATE}') AS dated, regexp_matches(t, '\b\d{{1,3}}(,\d{{3}})*\.\d{{2}}\b') AS priced FROM rws),
+walk AS (SELECT doc_id, 0::BIGINT AS rn, -1 AS block, 0 AS n, 0 AS page, 0 AS low, false AS dated, false AS priced, false AS taken FROM (SELECT DISTINCT doc_id FROM rr)
+    UNION ALL SELECT doc_id, rn, CASE WHEN skip THEN block WHEN fresh THEN block + 1 ELSE block END, CASE WHEN skip THEN n WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN skip THEN page ELSE rpage END, CASE WHEN skip THEN low ELSE y0 + 8 END,
+        CASE WHEN skip THEN dated ELSE rdated END, CASE WHEN skip THEN priced ELSE rpriced END, NOT skip FROM (
+        SELECT w.doc_id, r.rn, w.block, w.n, w.page, w.low, w.dated, w.priced, r.page AS rpage, r.y0, r.dated AS rdated, r.priced AS rpriced, NOT r.dated AND (w.block < 0 OR w.page = r.page AND r.y0 - w.low NOT BETWEEN -50 AND 45) AS skip,
+            r.dated OR w.n >= 2 OR w.priced AND r.priced AS fresh FROM walk w JOIN rr r ON r.doc_id = w.doc_id AND r.rn = w.rn + 1)),
+inb AS (SELECT rr.*, w.block, row_number() OVER (PARTITION BY rr.doc_id, w.block ORDER BY rr.rn) AS row, CASE WHEN contains(t, 'Reward Summary') THEN 'Reward Summary' WHEN contains(t, 'Insurance') THEN 'Insurance' END AS stop FROM rr JOIN walk w ON w.doc_id = rr.doc_id AND w.rn = rr.rn AND w.taken),
+cut AS (SELECT *, min(CASE WHEN stop IS NOT NULL THEN row END) OVER (PARTITION BY doc_id, block) AS stop_row FROM inb),
+blk AS (SELECT doc_id, block, min(page) AS page, count(*) FILTER (stop_row IS NULL OR row < stop_row) AS rows, arg_min(stop, row) FILTER (stop IS NOT NULL) AS stop_word FROM cut GROUP BY doc_id, block),
+tk AS (SELECT c.doc_id, block, row, row * 1000 + row_number() OVER (PARTITION BY c.doc_id, block, row ORDER BY x0, tok_idx) AS ord, text, x0, upper(lead(text) OVER (PARTITION BY c.doc_id, block, row ORDER BY x0, tok_idx)) AS nx, upper(right(text, 2)) AS mk,
+       CASE WHEN text LIKE 'no%' THEN CAST(substr(text, 3) AS BIGINT) * 100 WHEN regexp_matches(text, '^\d\d[/ ]') THEN CAST(substr(text, 1, 2) AS BIGINT) * 100 WHEN regexp_matches(text, '^[\d,]+\.\d\d') THEN CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT) END AS val,
+       regexp_matches(text, '^(\d\d/\d\d/\d{{4}}|\d\d Mar \d{{4}})$') AS is_date FROM cut c JOIN tok USING (doc_id, page, y0) WHERE stop_row IS NULL OR row < stop_row),
+zn AS (SELECT doc_id, max(lo) FILTER (zone = 'debit') AS dlo, max(hi) FILTER (zone = 'debit') AS dhi, max(lo) FILTER (zone = 'credit') AS clo, max(hi) FILTER (zone = 'credit') AS chi FROM zones GROUP BY doc_id),
+e0 AS (SELECT tk.*, CASE WHEN val IS NOT NULL AND mk = 'DR' THEN 'd' WHEN val IS NOT NULL AND mk = 'CR' THEN 'c' WHEN val > 0 AND x0 BETWEEN clo AND chi THEN 'c' WHEN val > 0 AND x0 BETWEEN dlo AND dhi THEN 'd' END AS own, CASE WHEN val > 0 AND nx = 'DR' THEN 'd' WHEN val > 0 AND nx = 'CR' THEN 'c' END AS bh FROM tk LEFT JOIN zn USING (doc_id)),
+e1 AS (SELECT *, min(row) FILTER (own IS NOT NULL) OVER (PARTITION BY doc_id, block) AS r0, min(row) FILTER (bh IS NOT NULL) OVER (PARTITION BY doc_id, block) AS r1 FROM e0),
+e2 AS (SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN row = r1 AND coalesce(r0 > r1, true) THEN bh END AS ev FROM e1),
+amt AS (SELECT doc_id, block, arg_min(val, ord) FILTER (ev = 'd') AS d, arg_min(val, ord) FILTER (ev = 'c') AS c, arg_min(val, ord) FILTER (val > 0 AND x0 > 300) AS far, arg_min(text, ord) FILTER (is_date AND row = 1) AS date FROM e2 GROUP BY doc_id, block),
+fin AS (SELECT b.*, date, coalesce(d, CASE WHEN c IS NULL THEN far END) AS d, c, CASE WHEN rows = 0 THEN 'hit_stop_word' WHEN date IS NULL THEN 'no_date_in_anchor' WHEN coalesce(d, c, far) IS NULL THEN 'no_amount_found' END AS reason FROM blk b LEFT JOIN amt USING (doc_id, block)),
+nar AS (SELECT f.doc_id, f.block, string_agg(text, ' ' ORDER BY ord) AS narration FROM fin f JOIN tk USING (doc_id, block) WHERE reason IS NULL AND text <> date AND coalesce(val <> d, true) AND coalesce(val <> c, true) AND upper(text) NOT IN ('DR', 'CR') GROUP BY ALL)"""
+
+
+def oracles(ledger_sql: str) -> dict[str, str]:
+    pages = f"WITH {scans.ROWS}, {scans.TOKENS}, {NUMBERED}, {WORDS}, {WINDOWS}"
+    lost = catalog_text.PRINTED.replace("rows_ AS", "all_rows AS") + ", rows_ AS (SELECT * FROM all_rows WHERE (doc_id * 7 + row_no) % 19 <> 0)"
+    taken = """
+        tx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) - 1 AS nth, CASE WHEN side = 'd' THEN s ELSE dr END AS d0, CASE WHEN side = 'c' THEN s ELSE cr END AS c0 FROM sided),
+        ox AS (SELECT *, CASE WHEN nth = 0 AND d0 IS NULL AND c0 IS NULL AND v - seed < -1 THEN seed - v ELSE d0 END AS d, CASE WHEN nth = 0 AND d0 IS NULL AND c0 IS NULL AND v - seed > 1 THEN v - seed ELSE c0 END AS c FROM tx),
+        got AS (SELECT doc_id, count(*) AS e, any_value(b) AS b, sum(d) AS ds, sum(c) AS cs, count(*) FILTER (d IS DISTINCT FROM d0 OR c IS DISTINCT FROM c0) AS op FROM ox GROUP BY doc_id)"""
+    dated = catalog_text.SOLVED.replace("WHEN 1 THEN 7700", "WHEN 1 THEN CASE WHEN doc_id % 8 <> 0 THEN 7700 END")
+    return {
+        "recovered_rows": f"""WITH {ledger_sql}, {lost}, {catalog_text.SOLVED}, {taken},
+            had AS (SELECT doc_id, count(*) AS n FROM all_rows GROUP BY doc_id),
+            away AS (SELECT a.doc_id, a.row_no, a.nums[b + 1] AS bal, list_filter(a.nums, lambda x, i: i <> b + 1) AS oth FROM all_rows a JOIN had USING (doc_id) JOIN got USING (doc_id)
+                     WHERE (a.doc_id * 7 + a.row_no) % 19 = 0 AND len(a.nums) > b AND n - e BETWEEN 1 AND 5 AND round((n - e) / n, 4) <= 0.2),
+            gaps AS (SELECT doc_id, nth + 1 AS slot, v AS pb, lead(v) OVER w AS nv, lead(coalesce(nullif(c, 0), d)) OVER w AS na, lead(v) OVER w IS NULL AS last FROM ox WINDOW w AS (PARTITION BY doc_id ORDER BY nth)
+                     UNION ALL SELECT doc_id, 0, seed, v, coalesce(nullif(c, 0), d), false FROM ox WHERE nth = 0),
+            tries AS (SELECT a.doc_id, a.row_no, slot, bal, bal - pb AS mv, list_filter(oth, lambda x: abs(x - abs(bal - pb)) <= 200)[1] AS amt, 5 + CASE WHEN len(oth) = 1 THEN 3 ELSE 0 END + CASE WHEN nv IS NOT NULL THEN CASE WHEN na <> 0 AND abs(abs(nv - bal) - na) <= 200 THEN 2 ELSE 0 END WHEN last THEN 2 ELSE 0 END AS conf
+                      FROM away a JOIN gaps g ON g.doc_id = a.doc_id AND pb IS NOT NULL),
+            top AS (SELECT * FROM tries WHERE amt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, row_no ORDER BY conf DESC, slot) = 1),
+            merged AS (SELECT doc_id, nth AS slot, 1 AS kind, 0 AS turn, d AS debit_c, c AS credit_c, v AS balance_c, false AS recovered, NULL AS conf FROM ox
+                       UNION ALL SELECT doc_id, slot, 0, -row_no, CASE WHEN mv < 0 THEN amt END, CASE WHEN mv > 0 THEN amt END, bal, true, conf FROM top WHERE conf >= 7)
+            SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY slot, kind, turn) - 1 AS INTEGER) AS row_no, debit_c, credit_c, balance_c, recovered, conf / 10.0 AS confidence FROM merged""",
+        "text_reports": f"""WITH {ledger_sql}, {catalog_text.PRINTED}, {dated}, {taken},
+            had AS (SELECT doc_id, count(*) AS n FROM rows_ GROUP BY doc_id),
+            bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, page FROM rows_ GROUP BY doc_id, page HAVING count(*) >= 2) WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM ox)),
+            base AS (SELECT DISTINCT doc_id FROM l),
+            j AS (SELECT base.doc_id, coalesce(n, 0) AS n, coalesce(e, 0) AS e, op, coalesce(ds, 0) AS ds, coalesce(cs, 0) AS cs, bad.doc_id IS NOT NULL AS pf, base.doc_id % 5 = 0 AS f, coalesce(base.doc_id % 5 = 0 AND base.doc_id % 3 > 0 AND coalesce(ds, 0) = 0, false) AS against
+                  FROM base LEFT JOIN had USING (doc_id) LEFT JOIN got USING (doc_id) LEFT JOIN bad USING (doc_id)),
+            h AS (SELECT *, CASE WHEN n = 0 THEN 'NO_ROWS_EXTRACTED' WHEN e = 0 THEN 'ZERO_EXTRACTED_TRANSACTIONS' WHEN ds = 0 AND cs = 0 THEN 'ZERO_DEBIT_AND_CREDIT' END AS hard, CASE WHEN n > 0 THEN round((n - e) / n, 4) ELSE 1.0 END AS ratio FROM j)
+            SELECT doc_id, n AS candidates, CASE WHEN hard IS NULL THEN e ELSE 0 END AS accepted, ratio AS missing_ratio, CAST(coalesce(op, 0) AS BIGINT) AS opened, n - e BETWEEN 1 AND 5 AND ratio <= 0.2 AS tried, CAST(0 AS BIGINT) AS recovered, CAST(0 AS BIGINT) AS failed, CASE WHEN doc_id % 3 = 0 THEN 'opening' WHEN doc_id % 3 = 1 AND doc_id % 8 <> 0 THEN 'balance_as_on' END AS seed_source,
+                CASE WHEN doc_id % 3 = 0 THEN 100 WHEN doc_id % 3 = 1 AND doc_id % 8 = 4 THEN 80 WHEN doc_id % 3 = 1 AND doc_id % 8 <> 0 THEN 50 END AS seed_score, pf AS page_failure, f AS summary_found, NOT against AS summary_match, hard AS hard_failure,
+                CASE WHEN hard IS NOT NULL THEN 'FAIL' WHEN ratio >= 0.05 OR pf OR f AND against THEN 'WARNING' ELSE 'PASS' END AS status FROM h""",
+        "statement_periods": "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS \"start\", strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS \"end\" FROM orders WHERE o_orderkey % 7 IN (0, 1, 2, 4, 6)",
+        "seed_dates": "SELECT o_orderkey AS doc_id, CASE o_orderkey % 7 WHEN 5 THEN NULL WHEN 3 THEN CAST(o_orderdate + INTERVAL 30 DAY AS DATE) WHEN 6 THEN CAST(o_orderdate + INTERVAL 30 DAY AS DATE) WHEN 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders",
+        "header_windows": pages + " SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(rows AS INTEGER) AS rows, types FROM wins",
+        "header_columns": pages + " SELECT doc_id, zone, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM zones",
+        "block_anchors": f"{pages}, {ANCHORS} SELECT doc_id, page, row_no, zone_text, zd OR zr OR td OR tr OR saved AS dated, mended, anchor, anchor OR saved OR zr OR tr AS mended_anchor FROM anch",
+        "card_rows": f"""WITH RECURSIVE {scans.ROWS}, {scans.CARDS}, {NUMBERED}, {WORDS}, {WINDOWS}, {CARD_ROWS} SELECT doc_id, block, page, CASE WHEN reason IS NULL THEN date END AS date, CASE WHEN reason IS NULL THEN coalesce(narration, '') END AS narration,
+            CASE WHEN reason IS NULL THEN d END AS debit_c, CASE WHEN reason IS NULL THEN c END AS credit_c, reason, stop_word FROM fin LEFT JOIN nar USING (doc_id, block)""",
+        "zone_swaps": f"{pages}, {ANCHORS}, {SWAPS} SELECT * FROM swaps",
+        "page_transactions": f"{pages.replace('WITH', 'WITH RECURSIVE', 1)}, {ANCHORS}, {SWAPS}, {PARSED}, {FOLD} SELECT f.doc_id, nb.row_idx, nb.page, nb.date, nb.debit_c, nb.credit_c, nb.balance_c, f.reason, f.state AS conservation FROM fold f JOIN nb USING (doc_id, rn)",
+        "decision_folds": f"WITH RECURSIVE {scans.ROWS}, {scans.BLOCKS}, {FOLD} SELECT f.doc_id, nb.row_idx, f.reason IN ('ok', 'conservation_conflict') AS accepted, f.reason, f.state AS conservation, nb.narration LIKE 'Branch%' AS contaminated, nb.balance_c IS NULL AS balance_missing FROM fold f JOIN nb USING (doc_id, rn)",
+    }

@@ -86,10 +86,10 @@ def identify(texts: DataFrame, names: Sequence[tuple[str, str]], codes: DataFram
 
 def best_seed(candidates: DataFrame) -> DataFrame:
     """candidates(doc_id, ord, source, score, value_c, day, start, end) -> (doc_id, value_c, source, score): a dated balance counts
-    95 inside the statement period, 0 outside and 50 without one; the first best wins, none at 0."""
+    80 inside the statement period, 0 outside and 50 without one; the first best wins, none at 0."""
     dated = (F.col("source") == "balance_as_on") & F.col("day").isNotNull()
     period = F.col("start").isNotNull() & F.col("end").isNotNull()
-    score = F.when(dated & period, F.when(F.col("day").between(F.col("start"), F.col("end")), 95).otherwise(0)).when(dated, 50).otherwise(F.col("score"))
+    score = F.when(dated & period, F.when(F.col("day").between(F.col("start"), F.col("end")), 80).otherwise(0)).when(dated, 50).otherwise(F.col("score"))
     best = candidates.withColumn("final", score).groupBy("doc_id").agg(F.max_by(F.struct("value_c", "source", F.col("final").alias("score")), F.struct("final", -F.col("ord"))).alias("b"))
     return best.where("b.score > 0").select("doc_id", "b.*")
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import parse_amount, to_cents
 from ledgerloom.functions.signals import DATE
 from ledgerloom.operators import detect, layout
-from ledgerloom.operators.ledger import amount, before, conservation
+from ledgerloom.operators.ledger import amount, conservation
+from ledgerloom.sources.work import stored
 
 # Labels that no transaction has, labels of page balances, words of directions.
 STRUCTURAL = r"(?i)\b(closing|opening|brought\s+forward|carried?\s+forward|balance\s+b/?f|balance\s+c/?f|grand\s+total|page\s+total|total\s+debit|total\s+credit|statement\s+of\s+account|end\s+of\s+statement)\b"
@@ -23,13 +24,21 @@ CONTAMINANTS = (
     "Statement Period", "Opening Balance", "Closing Balance", "Generated On", "Printed On",
 )
 DATE_PREFIX = r"^(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4})\D"
+# Payment references that tell a direction.
+SAYS_CREDIT = r"(?i)(UPI[/\-]CR[/\-]|IMPS[/\-]CR[/\-]|NEFT[\s/\-\.]+CR\b|RTGS[\s/\-\.]+CR\b|ACH[/\-]CR\b|NACH[/\-]CR\b|COLL[/\-]CR\b|MB[/\-]CR[/\-]|IB[/\-]CR[/\-]|TFR[/\-]CR[/\-])"
+SAYS_DEBIT = r"(?i)(UPI[/\-]DR[/\-]|IMPS[/\-]DR[/\-]|NEFT[\s/\-\.]+DR\b|RTGS[\s/\-\.]+DR\b|ACH[/\-]DR\b|NACH[/\-]DR\b|MB[/\-]DR[/\-]|IB[/\-]DR[/\-]|TFR[/\-]DR[/\-]|ATM[/\-]WDL[/\-]|WDL[\s][TT]FR[\s]UP[/\-]DR)"
+#: Blocks of a statement that tell whether its columns are swapped; reasons of accepted rows.
+SAMPLED, ACCEPTED = 60, ("ok", "conservation_conflict")
 BLOCK = ("doc_id", "page", "block")
 
 
 def block_tokens(rows: DataFrame) -> DataFrame:
     """Tokens with row_no -> those of transaction blocks, with `block` and their order `seq` in it."""
-    blocks = layout.transaction_blocks(layout.row_boxes(rows)).select("doc_id", "page", "row_no", "block")
-    held = rows.join(blocks, ["doc_id", "page", "row_no"])
+    return numbered(rows, layout.transaction_blocks(layout.row_boxes(rows)))
+
+
+def numbered(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    held = rows.join(blocks.select("doc_id", "page", "row_no", "block"), ["doc_id", "page", "row_no"])
     return held.withColumn("seq", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("row_no", "x0", "tok_idx")))
 
 
@@ -72,14 +81,17 @@ def amounts_of(tokens: DataFrame) -> DataFrame:
 
 
 def extract_blocks(tokens: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    """Page tokens -> (doc_id, row_idx, page, block, date, narration, debit_c, credit_c, balance_c, anchor, tokens): a row for each block.
+    """Page tokens -> cells of their blocks, with the zones of the header words unless others are given."""
+    rows = layout.detect_rows(tokens)
+    return cells(in_zones(block_tokens(rows), layout.header_zones(rows) if zones is None else zones))
+
+
+def cells(held: DataFrame) -> DataFrame:
+    """Tokens of blocks with zones -> (doc_id, row_idx, page, block, date, narration, debit_c, credit_c, balance_c, anchor, tokens): a row for each block.
 
     Narration is what no other role claims, from left to right, without bare numbers. If the balance is missing while debit
     and credit are there, the right-most amount with a CR or DR is the balance, and leaves its column.
     """
-    rows = layout.detect_rows(tokens)
-    zones = layout.header_zones(rows) if zones is None else zones
-    held = in_zones(block_tokens(rows), zones)
     dates, amounts = dates_of(held), amounts_of(held)
     value = lambda z: F.max(F.when(F.col("zone") == z, F.col("value_c"))).alias(f"{z}_c")
     wide = amounts.groupBy(*BLOCK).agg(*[value(z) for z in ("debit", "credit", "balance")], F.flatten(F.collect_list("claimed")).alias("claimed"))
@@ -117,13 +129,19 @@ def page_seeds(boxes: DataFrame) -> DataFrame:
     return best.select("doc_id", "page", F.coalesce("closed", "opened").alias("seed_c"))
 
 
-def zones_swapped(blocks: DataFrame, zones: DataFrame) -> DataFrame:
-    """(doc_id, agrees, disagrees, swapped): in the first 60 blocks, does the word of a direction agree with the column of the
-    block's first amount? Swapped if three blocks tell and 60 % of them disagree. blocks(doc_id, nth, text, amount_x)."""
-    word = F.lower("text")
-    credit, debit = word.rlike(r"\b(cr|credit|received|refund|salary|interest)\b"), word.rlike(r"\b(dr|debit|paid|withdrawal|charges)\b")
-    bound = zones.groupBy("doc_id").agg(*[F.max(F.when(F.col("zone") == z, F.struct("lo", "hi"))).alias(z) for z in ("debit", "credit")])
-    told = blocks.where("nth < 60").join(bound, "doc_id").withColumns({"says_credit": credit, "says_debit": debit}).where("says_credit <> says_debit")
+def zones_swapped(tokens: DataFrame, zones: DataFrame) -> DataFrame:
+    """block_tokens(doc_id, page, block, seq, text, x0) and zones -> (doc_id, agrees, disagrees, swapped): do payment references of one
+    direction stand in that direction's column?
+
+    Of a statement's first SAMPLED blocks those count that have references of one direction only and whose first amount stands in
+    the debit or the credit zone. Swapped if three blocks tell and 60 % of them disagree.
+    """
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]), " ")
+    amount_x = F.min_by("x0", F.when(F.trim("text").rlike(r"^[\d,]+\.\d{2}$"), F.col("seq")))
+    blocks = tokens.groupBy(*BLOCK).agg(text.alias("text"), amount_x.alias("amount_x"))
+    blocks = blocks.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block")))
+    bound = zones.groupBy("doc_id").agg(*[F.max(F.when(F.col("zone") == z, F.struct("lo", "hi"))).alias(z) for z in ("debit", "credit")]).where("debit IS NOT NULL AND credit IS NOT NULL")
+    told = blocks.where(F.col("nth") <= SAMPLED).join(bound, "doc_id").withColumns({"says_credit": F.col("text").rlike(SAYS_CREDIT), "says_debit": F.col("text").rlike(SAYS_DEBIT)}).where("says_credit <> says_debit")
     inside = lambda z: F.col("amount_x").between(F.col(f"{z}.lo"), F.col(f"{z}.hi"))
     told = told.withColumns({"in_debit": inside("debit"), "in_credit": inside("credit")}).where("in_debit or in_credit")
     agrees = (F.col("says_credit") & F.col("in_credit")) | (F.col("says_debit") & F.col("in_debit"))
@@ -132,26 +150,65 @@ def zones_swapped(blocks: DataFrame, zones: DataFrame) -> DataFrame:
     return out.withColumn("swapped", (total >= 3) & (F.col("disagrees") / total >= 0.6))
 
 
+def unswapped(zones: DataFrame, swaps: DataFrame) -> DataFrame:
+    """zones with debit and credit exchanged where a statement's columns are swapped."""
+    other = F.when(F.col("zone") == "debit", "credit").when(F.col("zone") == "credit", "debit").otherwise(F.col("zone"))
+    swapped = zones.join(swaps.where("swapped").select("doc_id", "swapped"), "doc_id", "left")
+    return swapped.select("doc_id", F.when(F.col("swapped"), other).otherwise(F.col("zone")).alias("zone"), "lo", "hi")
+
+
 def decided(blocks: DataFrame, seeds: DataFrame) -> DataFrame:
     """extract_blocks and page_seeds -> (doc_id, row_idx, accepted, reason, conservation, contaminated, balance_missing).
 
     No date, nothing at all, no side and both sides are rejected. An unconserved row is accepted as a conflict; of the others
-    those whose first row has a structural label are rejected. The previous balance is the last accepted row's; before
-    the first one it is the seed of the first page that has one. A label row counts as accepted for later ones if it conflicts with the row before it.
+    those whose first row has a structural label are rejected. The previous balance is the last accepted row's, and whether a row is
+    accepted may hang on it, so a statement's rows are folded in order, in the JVM. Where a page begins without a previous
+    balance, the page's seed stands for it.
     """
     none, both = F.col("debit_c").isNull() & F.col("credit_c").isNull(), F.col("debit_c").isNotNull() & F.col("credit_c").isNotNull()
     hard = F.when(F.col("date").isNull(), "no_date").when(none & F.col("balance_c").isNull(), "NO_TRANSACTION_SEED").when(none, "no_debit_or_credit").when(both, "both_debit_and_credit")
-    rows = blocks.join(seeds, ["doc_id", "page"], "left").withColumns({"hard": hard, "label": F.col("anchor").rlike(STRUCTURAL)})
-
-    def state(accepted: Column) -> Column:
-        last = F.last(F.when(accepted, F.struct("balance_c")), ignorenulls=True).over(before())["balance_c"]
-        seed = F.last("seed_c", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        prev = F.when(F.coalesce(F.max(accepted.cast("int")).over(before()), F.lit(0)) == 0, seed).otherwise(last)
-        return F.when(F.col("hard").isNull(), conservation(prev, amount("credit_c"), amount("debit_c"), F.col("balance_c"))).otherwise("UNSEEDED")
-
-    rows = rows.withColumn("first_state", state(F.col("hard").isNull() & ~F.col("label")))
-    rows = rows.withColumn("conservation", state(F.col("hard").isNull() & (~F.col("label") | (F.col("first_state") == "FAIL"))))
-    reason = F.coalesce("hard", F.when(F.col("conservation") == "FAIL", "conservation_conflict").when(F.col("label"), "structural_label").otherwise("ok"))
     dirty = F.coalesce(F.upper("narration").rlike("|".join(map(str.upper, CONTAMINANTS))), F.lit(False))
-    rows = rows.withColumn("reason", reason)
-    return rows.select("doc_id", "row_idx", F.col("reason").isin("ok", "conservation_conflict").alias("accepted"), "reason", "conservation", dirty.alias("contaminated"), F.col("balance_c").isNull().alias("balance_missing"))
+    label = F.coalesce(F.col("anchor").rlike(STRUCTURAL), F.lit(False))
+    rows = blocks.join(seeds, ["doc_id", "page"], "left")
+    item = F.struct("row_idx", "page", "seed_c", hard.alias("hard"), label.alias("label"), amount("credit_c").alias("credit_c"), amount("debit_c").alias("debit_c"), "balance_c", dirty.alias("contaminated"))
+    each = "struct<row_idx:int,reason:string,conservation:string,contaminated:boolean,balance_missing:boolean>"
+    state = f"struct<prev:bigint,page:int,out:array<{each}>>"
+    start = F.struct(F.lit(None).cast("bigint").alias("prev"), F.lit(None).cast("int").alias("page"), F.array().cast(f"array<{each}>").alias("out")).cast(state)
+
+    def step(acc: Column, r: Column) -> Column:
+        prev = F.when(acc["prev"].isNull() & ~acc["page"].eqNullSafe(r["page"]), r["seed_c"]).otherwise(acc["prev"])
+        kept = F.when(r["hard"].isNull(), conservation(prev, r["credit_c"], r["debit_c"], r["balance_c"])).otherwise("UNSEEDED")
+        reason = F.coalesce(r["hard"], F.when(kept == "FAIL", "conservation_conflict").when(r["label"], "structural_label").otherwise("ok"))
+        after = F.when(reason.isin(*ACCEPTED), r["balance_c"]).otherwise(prev)
+        own = F.struct(r["row_idx"].cast("int").alias("row_idx"), reason.alias("reason"), kept.alias("conservation"), r["contaminated"].alias("contaminated"), r["balance_c"].isNull().alias("balance_missing"))
+        return F.struct(after.alias("prev"), r["page"].cast("int").alias("page"), F.array_append(acc["out"], own).alias("out")).cast(state)
+
+    folded = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    out = folded.select("doc_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o"))
+    return out.select("doc_id", "o.row_idx", F.col("o.reason").isin(*ACCEPTED).alias("accepted"), "o.reason", "o.conservation", "o.contaminated", "o.balance_missing")
+
+
+def rescued(blocks: DataFrame, zones: DataFrame) -> DataFrame:
+    """Blocks of statements without a balance zone: if both sides are there, the right-most side took the balance and gives it back."""
+    bound = zones.groupBy("doc_id").agg(F.max(F.col("zone") == "balance").alias("has_balance"), *[F.coalesce(F.max(F.when(F.col("zone") == z, F.col("hi"))), F.lit(0.0)).alias(f"{z}_hi") for z in ("debit", "credit")])
+    rows = blocks.join(bound, "doc_id", "left")
+    owed = ~F.coalesce("has_balance", F.lit(False)) & F.col("debit_c").isNotNull() & F.col("credit_c").isNotNull()
+    right = F.coalesce(F.col("credit_hi") > F.col("debit_hi"), F.lit(False))
+    rows = rows.withColumns({"from_credit": owed & right, "from_debit": owed & ~right})
+    balance = F.when(F.col("from_credit"), F.col("credit_c")).when(F.col("from_debit"), F.col("debit_c")).otherwise(F.col("balance_c"))
+    out = rows.withColumns({"balance_c": balance, "credit_c": F.when(~F.col("from_credit"), F.col("credit_c")), "debit_c": F.when(~F.col("from_debit"), F.col("debit_c"))})
+    return out.drop("has_balance", "debit_hi", "credit_hi", "from_credit", "from_debit")
+
+
+def parse(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Page tokens -> (blocks with their cells, decisions): zones from the best header window, blocks anchored in the date
+    zone, swapped columns put right before any token is owned, cells, rescue without a balance zone, and the fold."""
+    from ledgerloom.operators import columns
+
+    rows = stored(layout.detect_rows(tokens), "rows")
+    zones = stored(columns.zones(rows), "zones")
+    dated = rows.join(zones.where("zone = 'date'").select("doc_id"), "doc_id", "left_semi")
+    held = stored(numbered(dated, layout.transaction_blocks(columns.anchored(dated, zones))), "block-tokens")
+    zones = stored(unswapped(zones, zones_swapped(held, zones)), "zones")
+    blocks = stored(rescued(cells(stored(in_zones(held, zones), "zoned-tokens")), zones), "blocks")
+    return blocks, decided(blocks, page_seeds(layout.row_boxes(rows)))

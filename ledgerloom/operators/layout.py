@@ -143,34 +143,38 @@ def discover_blocks(boxes: DataFrame) -> DataFrame:
     return scored.where("s.transaction >= 8 and s.transaction > s.header and s.transaction > s.account").select("doc_id", "block", "page", "rows", "text", F.col("s.transaction").alias("score"))
 
 
-def transaction_blocks(boxes: DataFrame) -> DataFrame:
-    """boxes(doc_id, page, row_no, y0, y1, text, left_text) -> (doc_id, page, row_no, block): rows of candidate transactions.
+def transaction_blocks(boxes: DataFrame, *, across: bool = False) -> DataFrame:
+    """boxes(doc_id, page, row_no, y0, y1, text, left_text or anchor) -> (doc_id, page, row_no, block): rows of candidate transactions.
 
-    A row with a date in the first 20 characters of its text, or of its part left of LEFT, opens a block; other rows continue it if the gap to the block's last row is
+    A row that is an `anchor` opens a block; without that column, one with a date in the first 20 characters of its text, or of
+    its part left of LEFT. Other rows continue it if the gap to the block's last row is
     from -50 to 45 and they are not furniture in the page's outer quarter or eighth. A third row, a second date or a second amount row opens a block of
-    its own. Footer rows go, and a terminal one ends its page. The state is the last row that was taken, so pages are folded in the JVM.
+    its own. Footer rows go, and a terminal one ends its page. With `across`, blocks go on over pages (where no gap counts), and a
+    terminal row ends the statement. The state is the last row that was taken, so pages or statements are folded in the JVM.
     """
     from ledgerloom.functions.signals import AMOUNT, DATE, any_word, footer_decision
 
-    page = Window.partitionBy(*PAGE)
-    at = F.col("y1") / F.greatest(F.max("y1").over(page), F.lit(1))
-    anchor = F.col("left_text").rlike(rf"^.{{0,19}}?{DATE}") | F.col("text").rlike(rf"^.{{0,19}}?{DATE}")
-    rows = boxes.withColumn("at", at).withColumn("anchor", anchor)
+    page, keys = Window.partitionBy(*PAGE), ["doc_id"] if across else list(PAGE)
+    rows = boxes.withColumn("at", F.col("y1") / F.greatest(F.max("y1").over(page), F.lit(1)))
+    if "anchor" not in boxes.columns:
+        rows = rows.withColumn("anchor", F.col("left_text").rlike(rf"^.{{0,19}}?{DATE}") | F.col("text").rlike(rf"^.{{0,19}}?{DATE}"))
     rows = rows.withColumn("action", footer_decision(F.col("text"), F.col("at"), F.col("anchor"))["action"])
-    stopped = F.max((F.col("action") == "STOP_PAGE").cast("int")).over(page.orderBy("row_no"))
+    stopped = F.max((F.col("action") == "STOP_PAGE").cast("int")).over(Window.partitionBy(*keys).orderBy("page", "row_no"))
     rows = rows.withColumn("stopped", stopped).where("stopped = 0 and action = 'CONTINUE'")
     edge = ((F.col("at") > 0.88) | (F.col("at") < 0.25)) & any_word(F.lower("text"), tuple(map(str.lower, BLOCK_FURNITURE)))
-    item = F.struct("row_no", "y0", "y1", "anchor", edge.alias("edge"), F.col("text").rlike(DATE).alias("dated"), F.col("text").rlike(AMOUNT).alias("priced"))
-    state = "struct<block:int,n:int,y1:double,dated:boolean,priced:boolean,out:array<struct<row_no:int,block:int>>>"
-    start = F.struct(F.lit(-1).alias("block"), F.lit(0).alias("n"), F.lit(0.0).alias("y1"), F.lit(False).alias("dated"), F.lit(False).alias("priced"), F.array().cast("array<struct<row_no:int,block:int>>").alias("out")).cast(state)
+    item = F.struct("page", "row_no", "y0", "y1", "anchor", edge.alias("edge"), F.col("text").rlike(DATE).alias("dated"), F.col("text").rlike(AMOUNT).alias("priced"))
+    each = "struct<page:int,row_no:int,block:int>"
+    state = f"struct<block:int,n:int,page:int,y1:double,dated:boolean,priced:boolean,out:array<{each}>>"
+    start = F.struct(F.lit(-1).alias("block"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("page"), F.lit(0.0).alias("y1"), F.lit(False).alias("dated"), F.lit(False).alias("priced"), F.array().cast(f"array<{each}>").alias("out")).cast(state)
 
     def step(acc, r):
-        gap = r["y0"] - acc["y1"]
-        skip = ~r["anchor"] & ((acc["block"] < 0) | (gap < -50) | (gap > 45) | r["edge"])
+        gap = F.when(acc["page"] == r["page"], r["y0"] - acc["y1"])
+        skip = ~r["anchor"] & ((acc["block"] < 0) | F.coalesce((gap < -50) | (gap > 45), F.lit(False)) | r["edge"])
         new = r["anchor"] | (acc["n"] >= 2) | (acc["dated"] & r["dated"]) | (acc["priced"] & r["priced"])
         block = F.when(new, acc["block"] + 1).otherwise(acc["block"])
-        taken = F.struct(block.alias("block"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), r["y1"].cast("double").alias("y1"), r["dated"].alias("dated"), r["priced"].alias("priced"), F.array_append(acc["out"], F.struct(r["row_no"].cast("int").alias("row_no"), block.alias("block"))).alias("out")).cast(state)
+        own = F.struct(r["page"].cast("int").alias("page"), r["row_no"].cast("int").alias("row_no"), block.alias("block"))
+        taken = F.struct(block.alias("block"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), r["page"].cast("int").alias("page"), r["y1"].cast("double").alias("y1"), r["dated"].alias("dated"), r["priced"].alias("priced"), F.array_append(acc["out"], own).alias("out")).cast(state)
         return F.when(skip, acc).otherwise(taken)
 
-    folded = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    return folded.select(*PAGE, F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select(*PAGE, "o.row_no", "o.block")
+    folded = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    return folded.select("doc_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("doc_id", "o.page", "o.row_no", "o.block")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.dates import SEED_DATE, parse_seed_date, statement_period
 from ledgerloom.functions.signals import DATE, DECIMAL
 
 # Patterns of lines that close a block, of balances to start from, and of payment lines.
@@ -52,14 +53,12 @@ def classified(lines: DataFrame) -> DataFrame:
 
 def seed_candidates(lines: DataFrame) -> DataFrame:
     """(doc_id, ord, source, score, value_c, day): balances that lines state before or beside the rows, for detect.best_seed."""
-    from ledgerloom.functions.dates import parse_date
-
-    found = classified(lines).where("kind = 'seed'").withColumn("amounts", F.regexp_extract_all("text", F.lit(DECIMAL), 0)).where(F.size("amounts") > 0)
+    found = classified(lines).where("kind = 'seed'").withColumn("amounts", F.filter(F.transform(F.regexp_extract_all("text", F.lit(DECIMAL), 0), cents), lambda v: v <= LARGEST)).where(F.size("amounts") > 0)
     source = F.when(F.col("text").rlike(r"(?i)\bopening\b"), "opening").when(F.col("text").rlike(r"(?i)\b(prev(ious)?|brought.?forward|b/?f)\b"), "brought_forward").otherwise("balance_as_on")
-    day = parse_date(F.regexp_replace(F.regexp_extract("text", r"(\d{1,2}[-/\.](\d{1,2}|[A-Za-z]{3})[-/\.]\d{2,4})", 1), r"[/.]", "-"))
+    day = parse_seed_date(F.regexp_extract("text", SEED_DATE, 1))
     score = F.create_map(*[F.lit(x) for kv in SEED_SCORES.items() for x in kv])[source]
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part"))
-    return found.select("doc_id", place.alias("ord"), source.alias("source"), score.alias("score"), cents(F.element_at("amounts", -1)).alias("value_c"), F.date_format(day, "yyyy-MM-dd").alias("day"))
+    return found.select("doc_id", place.alias("ord"), source.alias("source"), score.alias("score"), F.element_at("amounts", -1).alias("value_c"), F.date_format(day, "yyyy-MM-dd").alias("day"))
 
 
 def raw_rows(lines: DataFrame) -> DataFrame:
@@ -145,13 +144,29 @@ def solved(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     return txns.select("doc_id", "row_no", "page", "date", "narration", debit.alias("debit_c"), credit.alias("credit_c"), "balance_c", F.col("best.cents").alias("seen_c"), "conflict", F.col("chosen").alias("balance_column"), (100 - lost).alias("completeness"))
 
 
-def text_transactions(lines: DataFrame) -> DataFrame:
-    """lines(doc_id, line_no, text) -> transactions, through preprocess, raw_rows, the best seed and the solver."""
+def whole_texts(lines: DataFrame) -> DataFrame:
+    """(doc_id, text): the lines of each statement in order."""
+    each = F.sort_array(F.collect_list(F.struct("line_no", "part", "text")))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["text"]), "\n").alias("text"))
+
+
+def periods(texts: DataFrame) -> DataFrame:
+    """(doc_id, start, end): the period that a statement states, as ISO dates."""
+    found = texts.select("doc_id", statement_period(F.col("text")).alias("p")).where("p is not null")
+    return found.select("doc_id", *[F.date_format(f"p.{c}", "yyyy-MM-dd").alias(c) for c in ("start", "end")])
+
+
+def statement_seeds(clean: DataFrame) -> DataFrame:
+    """Preprocessed lines -> the best balance to start from, dated ones checked against the stated period."""
     from ledgerloom.operators.detect import best_seed
 
+    return best_seed(seed_candidates(clean).join(periods(whole_texts(clean)), "doc_id", "left"))
+
+
+def text_transactions(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, line_no, text) -> transactions, through preprocess, raw_rows, the best seed and the solver."""
     clean = preprocess(lines)
-    none = F.lit(None).cast("string")
-    return solved(raw_rows(clean), best_seed(seed_candidates(clean).select("*", none.alias("start"), none.alias("end"))))
+    return solved(raw_rows(clean), statement_seeds(clean))
 
 
 def statement_summary(text: Column) -> Column:

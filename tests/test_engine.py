@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ledgerloom.catalog import ORACLES, QUERIES
 from ledgerloom.functions import dates, money, signals
-from ledgerloom.operators import compare, confidence, geometry, layout, ledger, ordering, solver
+from ledgerloom.operators import columns, compare, confidence, geometry, layout, ledger, ordering, recovery, solver
 from ledgerloom.plans import views
 from ledgerloom.sources import readers
 from ledgerloom.streaming import audits
@@ -128,9 +128,55 @@ def test_period_bands(spark):
 
 def test_zone_swap(spark):
     zones = spark.createDataFrame([(d, z, lo, lo + 99.0) for d in (1, 2, 3) for z, lo in (("debit", 300.0), ("credit", 400.0))], "doc_id int, zone string, lo double, hi double")
-    blocks = [(1, i, "UPI/CR/1 received", 310.0) for i in range(4)] + [(2, i, "paid to x", 320.0) for i in range(4)] + [(3, 0, "received", 310.0), (3, 1, "cr and dr", 310.0)]
-    got = {r["doc_id"]: r["swapped"] for r in geometry.zones_swapped(spark.createDataFrame(blocks, "doc_id int, nth int, text string, amount_x double"), zones).collect()}
-    assert got == {1: True, 2: False, 3: False}
+    said = {1: ["UPI/CR/1 x"] * 4, 2: ["UPI/DR/1"] * 3 + ["salary paid"], 3: ["NEFT CR y", "IMPS/CR/1 and ATM/WDL/2", "interest credit"]}
+    tokens = [(d, 1, b, seq, text, x) for d, texts in said.items() for b, t in enumerate(texts) for seq, (text, x) in enumerate([(t, 100.0), ("n1.00", 320.0), ("5.00", 310.0), ("9.00", 500.0)])]
+    got = {r["doc_id"]: (r["agrees"], r["disagrees"], r["swapped"]) for r in geometry.zones_swapped(spark.createDataFrame(tokens, "doc_id int, page int, block int, seq int, text string, x0 double"), zones).collect()}
+    assert got == {1: (0, 4, True), 2: (3, 0, False), 3: (0, 1, False)}
+
+
+def test_labels_in_succession_are_folded(spark):
+    """A rejected label row leaves the balance before it, so the row after two labels still conserves."""
+    rows = [(1, 0, 1, None, 10000, 10000, "upi"), (1, 1, 1, None, 500, 50000, "upi"), (1, 2, 1, None, 1000, 51000, "closing"), (1, 3, 1, None, 500, 51500, "closing"), (1, 4, 1, None, 500, 52000, "upi")]
+    blocks = spark.createDataFrame([(d, i, p, "2024-01-01", "n", dr, cr, bal, a) for d, i, p, dr, cr, bal, a in rows], "doc_id int, row_idx int, page int, date string, narration string, debit_c bigint, credit_c bigint, balance_c bigint, anchor string")
+    seeds = spark.createDataFrame([(1, 1, 0)], "doc_id int, page int, seed_c bigint")
+    got = [(r["reason"], r["conservation"]) for r in geometry.decided(blocks, seeds).orderBy("row_idx").collect()]
+    assert got == [("ok", "PASS"), ("conservation_conflict", "FAIL"), ("structural_label", "PASS"), ("conservation_conflict", "FAIL"), ("ok", "PASS")]
+
+
+def test_balance_swallowed_by_the_right_most_side(spark):
+    zones = spark.createDataFrame([(1, "debit", 300.0, 400.0), (1, "credit", 400.0, 9999.0), (2, "credit", 300.0, 400.0), (2, "debit", 400.0, 9999.0), (3, "debit", 1.0, 2.0), (3, "balance", 2.0, 3.0)], "doc_id int, zone string, lo double, hi double")
+    blocks = spark.createDataFrame([(d, 500, 900, None) for d in (1, 2, 3)], "doc_id int, debit_c bigint, credit_c bigint, balance_c bigint")
+    got = {r["doc_id"]: (r["debit_c"], r["credit_c"], r["balance_c"]) for r in geometry.rescued(blocks, zones).collect()}
+    assert got == {1: (500, None, 900), 2: (None, 900, 500), 3: (500, 900, None)}
+
+
+def test_misread_dates(spark):
+    texts = ["J03-11-2021", "Jo3-11-2021", "05-11-2021l", "O5|11|2021", "l2:O1:2022", "|01)02/22", "Jan-2021", "JOURNAL", "05-11-2021", "5 Mar 2021", ""]
+    want = ["03-11-2021", "03-11-2021", "05-11-2021", "05-11-2021", "12-01-2022", "01-02/22", "Jan-2021", None, "05-11-2021", None, None]
+    assert values(spark, texts, columns.mended) == want
+
+
+def test_header_over_two_rows_and_merged_sides(spark):
+    words = [(0, "DATE", 20), (0, "DETAILS", 100), (1, "VAL.DATE", 60), (1, "DR/CR", 560), (1, "Deposits-Withdrawals", 300), (1, "BAL", 500), (2, "x", 0)]
+    rows = spark.createDataFrame([(1, 1, i, r, t, x, x + 100, 10 * r, 10 * r + 8) for i, (r, t, x) in enumerate(words)], "doc_id int, page int, tok_idx int, row_no int, text string, x0 int, x1 int, y0 int, y1 int")
+    got = {r["zone"]: (r["lo"], r["hi"]) for r in columns.zones(rows).collect()}
+    # VAL.DATE loses its dot before its kind is told, so it names none.
+    assert got == {"date": (0.0, 110.0), "narration": (110.0, 237.5), "credit": (237.5, 350.0), "debit": (350.0, 462.5), "balance": (462.5, 9999.0)}
+
+
+def test_lost_rows_find_their_gap(spark):
+    """The second of three rows is lost; another one fits nowhere, and a statement that lacks too many is left alone."""
+    number = lambda *units: [(1000 * u, 10 * i) for i, u in enumerate(units)]
+    rows = [(1, i, 1, "01/01/2024", f"n{i}", n, [f"n{i}"]) for i, n in enumerate([number(100, 1000), number(50, 1050), number(25, 1075), *[number(10, 1075 + 10 * j) for j in range(1, 9)], number(7, 77777)])]
+    rows += [(2, i, 1, "01/01/2024", f"n{i}", number(1, i), [f"n{i}"]) for i in range(4)]
+    candidates = spark.createDataFrame(rows, "doc_id int, row_no int, page int, date string, narration string, numbers array<struct<cents:bigint,x:int>>, lines array<string>")
+    kept = [(d, i, 1, "01/01/2024", f"n{i}", None, n[0][0], n[1][0], 1, False) for d, i, _, _, _, n, _ in rows if (d, i) not in ((1, 1), (1, 11), (2, 1))]
+    txns = spark.createDataFrame(kept, "doc_id int, row_no int, page int, date string, narration string, debit_c bigint, credit_c bigint, balance_c bigint, balance_column int, opened boolean")
+    seeds = spark.createDataFrame([(1, 900_000)], "doc_id int, value_c bigint")
+    states = recovery.recover(candidates, txns, seeds)
+    got = {(r["doc_id"], r["row_no"]): (r["state"], r["credit_c"], r["confidence"]) for r in states.where("state <> 'kept'").collect()}
+    assert got == {(1, 1): ("recovered", 50_000, 1.0), (1, 11): ("lost", None, None), (2, 1): ("unread", None, None)}
+    assert [r["balance_c"] for r in recovery.transactions(states).where("doc_id = 1").orderBy("row_no").collect()][:3] == [1_000_000, 1_050_000, 1_075_000]
 
 
 def test_merged_dates_and_owed_balances(spark):
@@ -245,11 +291,11 @@ def plain(rows):
 def test_oracle(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(ORACLES[name])
-    columns = sorted(got.columns)
+    own = sorted(got.columns)
     names = [d[0] for d in want.description]
-    assert sorted(names) == columns
-    at = [names.index(c) for c in columns]
-    assert plain(got.select(*[F.col(f"`{c}`") for c in columns]).collect()) == plain([tuple(r[i] for i in at) for r in want.fetchall()])
+    assert sorted(names) == own
+    at = [names.index(c) for c in own]
+    assert plain(got.select(*[F.col(f"`{c}`") for c in own]).collect()) == plain([tuple(r[i] for i in at) for r in want.fetchall()])
 
 
 def test_entry(spark):
