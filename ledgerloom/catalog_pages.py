@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog_text
 from ledgerloom.functions import dates
-from ledgerloom.operators import cards, columns, geometry, layout, recovery, textlines
+from ledgerloom.operators import cards, columns, entities, geometry, layout, pagetext, readings, recovery, textlines
 from ledgerloom.plans import scans, views
 from ledgerloom.sources.work import stored
 
@@ -59,6 +59,27 @@ def anchors(rows: DataFrame) -> DataFrame:
     return columns.anchored(rows, zones).select("doc_id", "page", "row_no", "zone_text", "dated", "mended", "anchor").join(more, ["doc_id", "page", "row_no"])
 
 
+def words(spark, d) -> DataFrame:
+    return scans.frame(spark, d, (scans.ROWS, scans.TOKENS, scans.WORDS), "SELECT * FROM words")
+
+
+def shaken(spark, d) -> DataFrame:
+    return scans.frame(spark, d, (scans.ROWS, scans.TOKENS, scans.SHAKEN), "SELECT * FROM shaken").drop("line")
+
+
+def cell_readings(spark, d) -> DataFrame:
+    cells = scans.frame(spark, d, (scans.CELLS,), "SELECT * FROM cells")
+    found = readings.candidates(readings.hypotheses(F.col("text")))
+    return cells.select("id", F.posexplode(found).alias("rank", "c")).select("id", "rank", "c.value", F.col("c.text").alias("normalized"), "c.confidence", "c.by")
+
+
+def chosen(spark, d) -> DataFrame:
+    """Cells that the filter keeps, with their best reading."""
+    cells = scans.frame(spark, d, (scans.CELLS,), "SELECT * FROM cells").withColumn("d", readings.decision(F.col("class"), F.col("col"), F.col("text")))
+    best = F.when(F.col("d.action") == "KEEP", readings.select_best(readings.candidates(readings.hypotheses(F.col("text")))))
+    return cells.withColumn("best", best).select("id", "d.action", "d.reason", "best.value", "best.confidence")
+
+
 def decisions(spark, d) -> DataFrame:
     frame = lambda t: scans.frame(spark, d, (scans.ROWS, scans.BLOCKS), f"SELECT * FROM {t}")
     return geometry.decided(frame("blocks"), frame("seeds"))
@@ -74,6 +95,14 @@ QUERIES = {
     "block_anchors": with_tokens(anchors),
     "zone_swaps": with_tokens(swaps),
     "decision_folds": decisions,
+    "amount_hypotheses": lambda spark, d: cell_readings(spark, d),
+    "chosen_amounts": lambda spark, d: chosen(spark, d),
+    "grid_lines": lambda spark, d: pagetext.grid_lines(words(spark, d)),
+    "page_lines": lambda spark, d: pagetext.page_lines(words(spark, d)),
+    "overlay_stats": lambda spark, d: pagetext.overlay_stats(pagetext.grid_lines(words(spark, d))),
+    "clean_lines": lambda spark, d: pagetext.cleaned(scans.frame(spark, d, (scans.ROWS, scans.LINES), "SELECT * FROM lines")),
+    "reading_order": lambda spark, d: entities.reading_order(shaken(spark, d)).select("doc_id", "page", "tok_idx", "band", "place"),
+    "logical_lines": lambda spark, d: entities.logical_lines(entities.visual_lines(shaken(spark, d))),
     "card_rows": lambda spark, d: cards.card_rows(scans.card_tokens(spark, d)),
     "page_transactions": lambda spark, d: parsed(scans.tokens(spark, d)),
 }
@@ -155,9 +184,55 @@ amt AS (SELECT doc_id, block, arg_min(val, ord) FILTER (ev = 'd') AS d, arg_min(
 fin AS (SELECT b.*, date, coalesce(d, CASE WHEN c IS NULL THEN far END) AS d, c, CASE WHEN rows = 0 THEN 'hit_stop_word' WHEN date IS NULL THEN 'no_date_in_anchor' WHEN coalesce(d, c, far) IS NULL THEN 'no_amount_found' END AS reason FROM blk b LEFT JOIN amt USING (doc_id, block)),
 nar AS (SELECT f.doc_id, f.block, string_agg(text, ' ' ORDER BY ord) AS narration FROM fin f JOIN tk USING (doc_id, block) WHERE reason IS NULL AND text <> date AND coalesce(val <> d, true) AND coalesce(val <> c, true) AND upper(text) NOT IN ('DR', 'CR') GROUP BY ALL)"""
 
+HYPOTHESES = r"""
+base AS (SELECT *, regexp_replace(text, '[^0-9.,]', '', 'g') AS cl FROM cells),
+tried AS (
+    SELECT id, 1 AS o, replace(cl, ',', '') AS s, CASE WHEN regexp_full_match(cl, '((\d{1,2}(,\d{2})*(,\d{3})?)?\.\d{2})') THEN 0.98 WHEN regexp_full_match(replace(cl, ',', ''), '\d+\.\d{2}') THEN 0.95 ELSE 0.6 END AS conf,
+        CASE WHEN regexp_full_match(cl, '((\d{1,2}(,\d{2})*(,\d{3})?)?\.\d{2})') THEN 'matched_indian_format' WHEN regexp_full_match(replace(cl, ',', ''), '\d+\.\d{2}') THEN 'stripped_commas; standard_decimal' ELSE 'stripped_commas' END AS src FROM base
+    UNION ALL SELECT id, 2, array_to_string(string_split(cl, '.')[:-2], '') || '.' || string_split(cl, '.')[-1], 0.7, 'converted_internal_dots_to_commas' FROM base WHERE len(string_split(cl, '.')) > 2
+    UNION ALL SELECT id, 2 + i, replace(regexp_replace(p, '[^0-9.,]', '', 'g'), ',', ''), 0.4, 'extracted_part_from_space: ' || p FROM (SELECT id, unnest(string_split(text, ' ')) AS p, generate_subscripts(string_split(text, ' '), 1) AS i FROM base WHERE contains(text, ' ')) WHERE p <> ''
+    UNION ALL SELECT id, 50, replace(cl, ',', ''), 0.5, 'removed_internal_space' FROM base WHERE contains(text, ' ')
+    UNION ALL SELECT id, 51, replace(pre, ',', ''), 0.85, 'truncated_trailing_alpha_noise' FROM (SELECT *, trim(regexp_extract(text, '^[0-9.,\s]+')) AS pre FROM base) WHERE pre <> '' AND pre <> cl
+    UNION ALL SELECT id, 52, replace(regexp_replace(replace(text, ':', '.'), '[^0-9.,]', '', 'g'), ',', ''), 0.8, 'replaced_colon_with_dot' FROM base WHERE contains(text, ':')),
+nums AS (SELECT id, o, s, conf, src, CAST(s AS DOUBLE) AS v FROM tried JOIN (SELECT id AS bid, cl FROM base) ON bid = id WHERE regexp_full_match(s, '\d+\.?\d*|\.\d+') AND regexp_matches(cl, '\d')),
+cand AS (SELECT id, v AS value, arg_min(s, o) AS normalized, max(conf) AS confidence, arg_min(src, -conf * 1000 + o) AS src, min(o) AS o FROM nums GROUP BY id, v),
+rnk AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY confidence DESC, o) - 1 AS INTEGER) AS rank, value, normalized, CAST(confidence AS DOUBLE) AS confidence, src FROM cand)"""
+GRID = """
+src AS (SELECT * FROM {source}),
+ln AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1 AS INTEGER) AS line_no, row_number() OVER (PARTITION BY doc_id, page, y0 ORDER BY x0, tok_idx) AS ord FROM src),
+marks AS (SELECT doc_id, page, line_no, p, arg_max(text[j], ord) AS c FROM (SELECT *, CAST(round(x0 / 6.0) AS BIGINT) + j - 1 AS p FROM (SELECT *, unnest(range(1, length(text) + 1)) AS j FROM ln)) GROUP BY ALL),
+spots AS (SELECT doc_id, page, line_no, unnest(range(0, m + 1)) AS p FROM (SELECT doc_id, page, line_no, max(p) AS m FROM marks GROUP BY ALL)),
+grid AS (SELECT doc_id, page, line_no, rtrim(string_agg(coalesce(c, ' '), '' ORDER BY p)) AS text FROM spots LEFT JOIN marks USING (doc_id, page, line_no, p) GROUP BY ALL)"""
+MAIN = """
+strips AS (SELECT doc_id, page, x0 // 100 AS b, count(*) AS n FROM words GROUP BY ALL),
+mains AS (SELECT doc_id, page, min(b) FILTER (n >= top * 0.15) * 100 AS lo, (max(b) FILTER (n >= top * 0.15) + 1) * 100 AS hi FROM (SELECT *, max(n) OVER (PARTITION BY doc_id, page) AS top FROM strips) GROUP BY ALL),
+kept AS (SELECT w.*, lo, hi, w.x0 >= lo - 150 AND w.x1 <= hi + 150 AS ins FROM words w JOIN mains USING (doc_id, page)),
+near AS (SELECT doc_id, page, tok_idx, text, x0, x1, y0, y1 FROM (SELECT *, count(*) FILTER (ins) OVER (PARTITION BY doc_id, page) <= 0.4 * count(*) OVER (PARTITION BY doc_id, page) AS few FROM kept) WHERE ins OR few OR hi - lo >= 900)"""
+OVERLAY = rf"""
+gn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS rn, contains(text, 'PAGE') OR contains(text, 'Opening Balance') OR contains(text, 'TOTAL') AS stop FROM grid),
+lay AS (SELECT doc_id, page, rn, line_no, text, 1 AS n, 0 AS deep FROM gn WHERE rn = 1
+    UNION ALL SELECT doc_id, page, rn, CASE WHEN safe AND n < 2 THEN head ELSE line_no END, CASE WHEN safe AND n < 2 THEN rtrim(array_to_string(list_transform(range(1, greatest(length(cur), length(text)) + 1), lambda i: CASE WHEN i <= length(cur) AND cur[i] <> ' ' THEN cur[i] WHEN i <= length(text) THEN text[i] ELSE ' ' END), '')) ELSE text END,
+        CASE WHEN safe AND n < 2 THEN n + 1 ELSE 1 END, CASE WHEN safe AND n >= 2 THEN 1 ELSE 0 END FROM (
+        SELECT g.doc_id, g.page, g.rn, g.line_no, l.line_no AS head, l.text AS cur, g.text, l.n, NOT g.stop AND NOT (regexp_matches(l.text, '{ANY_DATE}') AND regexp_matches(g.text, '{ANY_DATE}')) AND NOT (regexp_matches(l.text, '[\d,]+\.\d\d') AND regexp_matches(g.text, '[\d,]+\.\d\d'))
+            AND len(list_filter(range(1, least(length(l.text), length(g.text)) + 1), lambda i: l.text[i] <> ' ' AND g.text[i] <> ' ')) = 0 AS safe FROM lay l JOIN gn g ON g.doc_id = l.doc_id AND g.page = l.page AND g.rn = l.rn + 1)),
+over_ AS (SELECT doc_id, page, line_no, arg_max(text, rn) AS text, max(n) AS n FROM lay GROUP BY ALL)"""
+CLEAN = r"""
+cn AS (SELECT doc_id, page, line_no, regexp_replace(text, '\(cid:\d+\)', '', 'g') AS text, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS rn FROM lines),
+hy AS (SELECT doc_id, page, rn, line_no, text FROM cn WHERE rn = 1 UNION ALL SELECT c.doc_id, c.page, c.rn, CASE WHEN h.text LIKE '%-' THEN h.line_no ELSE c.line_no END, CASE WHEN h.text LIKE '%-' THEN h.text[:-2] || ltrim(c.text) ELSE c.text END FROM hy h JOIN cn c ON c.doc_id = h.doc_id AND c.page = h.page AND c.rn = h.rn + 1),
+hj AS (SELECT doc_id, page, line_no, rtrim(arg_max(text, rn)) AS text FROM hy GROUP BY ALL HAVING NOT contains(lower(arg_max(text, rn)), 'toll free')),
+cb AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS pt FROM hj)"""
+LOGICAL = r"""
+vl AS (SELECT doc_id, page, line, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line) AS BIGINT) AS rn, string_agg(text, ' ' ORDER BY x0, tok_idx) AS text, count(*) AS n, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, avg((y0 + y1) / 2.0) AS yc FROM shaken GROUP BY doc_id, page, line),
+vg AS (SELECT doc_id, page, min(x0) AS margin, CASE WHEN count(*) > 1 THEN median(dn) FILTER (dn > 0) ELSE 15 END AS dn FROM (SELECT *, yc - lag(yc) OVER (PARTITION BY doc_id, page ORDER BY rn) AS dn FROM vl) GROUP BY ALL),
+lg AS (SELECT doc_id, page, rn, rn AS head, text, 1 AS lines, x0, x1, y0, y1 FROM vl WHERE rn = 1
+    UNION ALL SELECT doc_id, page, rn, CASE WHEN go THEN head ELSE rn END, CASE WHEN go THEN ltext || ' ' || text ELSE text END, CASE WHEN go THEN lines + 1 ELSE 1 END, CASE WHEN go THEN least(lx0, x0) ELSE x0 END, CASE WHEN go THEN greatest(lx1, x1) ELSE x1 END, CASE WHEN go THEN ly0 ELSE y0 END, CASE WHEN go THEN greatest(ly1, y1) ELSE y1 END FROM (
+        SELECT v.*, l.head, l.text AS ltext, l.lines, l.x0 AS lx0, l.x1 AS lx1, l.y0 AS ly0, l.y1 AS ly1, v.x0 > margin + 20 AND NOT (v.x1 < l.x0 OR v.x0 > l.x1) AND coalesce(v.y0 - l.y1 < dn * 1.5, false) AND NOT regexp_matches(v.text, '(^|[^\d])\d{1,3}(,\d{2,3})*\.\d{2}($|[^\d])') AND (v.n < 5 OR v.x0 >= l.x0) AS go
+        FROM lg l JOIN vl v ON v.doc_id = l.doc_id AND v.page = l.page AND v.rn = l.rn + 1 JOIN vg ON vg.doc_id = v.doc_id AND vg.page = v.page))"""
+
 
 def oracles(ledger_sql: str) -> dict[str, str]:
     pages = f"WITH {scans.ROWS}, {scans.TOKENS}, {NUMBERED}, {WORDS}, {WINDOWS}"
+    drawn = f"WITH RECURSIVE {scans.ROWS}, {scans.TOKENS}, {scans.WORDS}"
     lost = catalog_text.PRINTED.replace("rows_ AS", "all_rows AS") + ", rows_ AS (SELECT * FROM all_rows WHERE (doc_id * 7 + row_no) % 19 <> 0)"
     taken = """
         tx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) - 1 AS nth, CASE WHEN side = 'd' THEN s ELSE dr END AS d0, CASE WHEN side = 'c' THEN s ELSE cr END AS c0 FROM sided),
@@ -192,6 +267,15 @@ def oracles(ledger_sql: str) -> dict[str, str]:
         "header_windows": pages + " SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(rows AS INTEGER) AS rows, types FROM wins",
         "header_columns": pages + " SELECT doc_id, zone, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM zones",
         "block_anchors": f"{pages}, {ANCHORS} SELECT doc_id, page, row_no, zone_text, zd OR zr OR td OR tr OR saved AS dated, mended, anchor, anchor OR saved OR zr OR tr AS mended_anchor FROM anch",
+        "amount_hypotheses": f"WITH {scans.CELLS}, {HYPOTHESES} SELECT id, rank, value, normalized, confidence, src AS \"by\" FROM rnk",
+        "chosen_amounts": f"""WITH {scans.CELLS}, {HYPOTHESES}, why AS (SELECT *, CASE WHEN class IN ('FOOTER', 'HEADER') THEN class WHEN class = 'DATE' AND col = 'balance' THEN 'DATE_IN_NUMERIC_COLUMN' WHEN class = 'TEXT' AND col = 'balance' AND text = 'Interest' THEN 'TEXT_IN_NUMERIC_COLUMN' ELSE 'VALID' END AS reason FROM cells)
+            SELECT id, CASE WHEN reason = 'VALID' THEN 'KEEP' ELSE 'DROP' END AS action, reason, CASE WHEN reason = 'VALID' THEN value END AS value, CASE WHEN reason = 'VALID' THEN confidence END AS confidence FROM why LEFT JOIN (SELECT * FROM rnk WHERE rank = 0) USING (id)""",
+        "grid_lines": f"{drawn}, {GRID.format(source='words')} SELECT * FROM grid",
+        "page_lines": f"{drawn}, {MAIN}, {GRID.format(source='near')}, {OVERLAY} SELECT doc_id, page, line_no, text FROM over_ WHERE text <> ''",
+        "overlay_stats": f"{drawn}, {GRID.format(source='words')}, {OVERLAY} SELECT doc_id, page, count(*) AS before, count(*) FILTER (n = 2) AS overlaid, count(*) FILTER (n = 1) AS appended, CAST(sum(deep) AS BIGINT) AS safe_rejected FROM lay GROUP BY doc_id, page",
+        "clean_lines": f"WITH RECURSIVE {scans.ROWS}, {scans.LINES}, {CLEAN} SELECT doc_id, page, line_no, text FROM cb WHERE text <> '' OR pt IS NULL OR pt <> ''",
+        "reading_order": f"WITH {scans.ROWS}, {scans.TOKENS}, {scans.SHAKEN} SELECT doc_id, page, tok_idx, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line) - 1 AS INTEGER) AS band, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line, x0, y0, tok_idx) - 1 AS INTEGER) AS place FROM shaken",
+        "logical_lines": f"WITH RECURSIVE {scans.ROWS}, {scans.TOKENS}, {scans.SHAKEN}, {LOGICAL} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY head) - 1 AS INTEGER) AS logical_no, text, lines, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1 FROM (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY doc_id, page, head ORDER BY rn DESC) = 1)",
         "card_rows": f"""WITH RECURSIVE {scans.ROWS}, {scans.CARDS}, {NUMBERED}, {WORDS}, {WINDOWS}, {CARD_ROWS} SELECT doc_id, block, page, CASE WHEN reason IS NULL THEN date END AS date, CASE WHEN reason IS NULL THEN coalesce(narration, '') END AS narration,
             CASE WHEN reason IS NULL THEN d END AS debit_c, CASE WHEN reason IS NULL THEN c END AS credit_c, reason, stop_word FROM fin LEFT JOIN nar USING (doc_id, block)""",
         "zone_swaps": f"{pages}, {ANCHORS}, {SWAPS} SELECT * FROM swaps",

@@ -67,6 +67,24 @@ blocks AS (SELECT doc_id, i AS row_idx, page, CASE WHEN k % 37 <> 0 THEN day END
            CASE WHEN k % 19 <> 0 THEN bal + CASE WHEN k % 5 = 0 THEN 70000 ELSE 0 END END AS balance_c, CASE WHEN k % 4 < 2 THEN 'closing x' ELSE 'upi' END AS anchor FROM acct),
 seeds AS (SELECT DISTINCT doc_id, page, CAST(900000000 AS bigint) AS seed_c FROM acct WHERE (doc_id + page) % 3 = 0)"""
 
+#: Words of pages 1000 wide: the page tokens, words at the side of some statements, and references below rows where nothing stands above.
+WORDS = """
+wd AS (SELECT * FROM tok UNION ALL SELECT doc_id, page, i * 10 + 107, 'Visit', 900, 930, 80 + 28 * (i % 4), 88 + 28 * (i % 4) FROM acct WHERE doc_id % 4 = 1 AND k % 3 = 0
+       UNION ALL SELECT doc_id, page, i * 10 + 108, 'ref9', 230, 254, 94 + 28 * (i % 4), 102 + 28 * (i % 4) FROM acct WHERE k % 6 < 2 UNION ALL SELECT doc_id, page, i * 10 + 109, 'TOTAL', 600, 630, 94 + 28 * (i % 4), 102 + 28 * (i % 4) FROM acct WHERE k % 12 = 0),
+words AS (SELECT *, 1000 AS width FROM wd)"""
+#: Words a little up or down of their line.
+SHAKEN = """
+shaken AS (SELECT doc_id, page, tok_idx, text, x0, x1, y0 + tok_idx % 3 AS y0, y0 + tok_idx % 3 + 8 AS y1, y0 AS line FROM tok)"""
+#: Lines that end with hyphens, are blank, have glyph marks or a footer's phrase.
+LINES = """
+lines AS (SELECT doc_id, page, i AS line_no, CASE k % 10 WHEN 0 THEN 'wraps-' WHEN 1 THEN '  double--' WHEN 2 THEN '' WHEN 3 THEN '   ' WHEN 4 THEN 'Call Toll Free ' || CAST(k AS string) WHEN 5 THEN '(cid:12)x (cid:3)y' WHEN 6 THEN ' -' WHEN 7 THEN '(cid:7)' WHEN 8 THEN '  next ' ELSE 'line ' || dmy END AS text FROM acct)"""
+#: Cells as scanners read them, with a class and a column.
+CELLS = f"""
+cells AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_orderkey % 13 WHEN 0 THEN m WHEN 1 THEN replace(m, ',', '.') WHEN 2 THEN replace(m, ',', ' ') WHEN 3 THEN m || 'L128' WHEN 4 THEN substr(m, 1, length(m) - 1) WHEN 5 THEN replace(m, '.', ':') WHEN 6 THEN m || ' CR' WHEN 7 THEN 'Rs ' || m
+          WHEN 8 THEN replace(m, '.', ' ') WHEN 9 THEN 'cr' WHEN 10 THEN 'Interest' WHEN 11 THEN '1,' || m ELSE ',' END AS text,
+          CASE l_linenumber % 5 WHEN 0 THEN 'TEXT' WHEN 1 THEN 'NUMERIC' WHEN 2 THEN 'DATE' WHEN 3 THEN 'HEADER' ELSE 'FOOTER' END AS class, CASE l_orderkey % 3 WHEN 0 THEN 'balance' WHEN 1 THEN 'narration' END AS col
+          FROM (SELECT l_orderkey, l_linenumber, {money("CAST(round(max(l_extendedprice) * 100) AS bigint)")} AS m FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
+
 
 def frame(spark: SparkSession, sf_dir: str, ctes: tuple[str, ...], select: str) -> DataFrame:
     """`select` over the common table expressions and the sample tables."""
