@@ -8,7 +8,7 @@ A text is cut at places that no token crosses, and the ids of each distinct piec
 
 A piece of letters alone, or of letters and final marks, is one pre-token or two: it goes straight to the tokenizer's
 model. Any other piece goes through the whole tokenizer. Ids are those of `encode(text, add_special_tokens=False)` on the
-whole text (tests compare them on random text); strings of special tokens in a text are ordinary text.
+whole text (tests compare them on random text); strings of added tokens in a text are those tokens, as the library reads them.
 """
 
 from __future__ import annotations
@@ -71,7 +71,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError(f"{path} has added tokens that take their surroundings in")
+        self.added = {t.content: packed([i]) for i, t in added.items()}
+        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.space = chr(self.letters[0x20])
         # Probes, not the file's name, decide: does white space carry ids, and is text lower-cased?
@@ -111,7 +115,11 @@ class Encoder:
         self.plain.age()
         self.spaced.age()
         one = self.words if self.drops_space else self.bytes
-        return [one(t) for t in texts]
+        return [self.parts(t, one) if any(a in t for a in self.added) else one(t) for t in texts]
+
+    def parts(self, text: str, one) -> bytes:
+        """Ids of a text with strings of added tokens: those are tokens, and what stands between them is encoded by itself."""
+        return b"".join(self.added[p] if i % 2 else one(p) for i, p in enumerate(self.split_added(text)))
 
     def words(self, text: str) -> bytes:
         return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))

@@ -257,7 +257,7 @@ def test_pieces_have_the_ids_of_whole_texts(name):
     whole.encode_special_tokens = True
     letters = list(" \n\t\r ab'sdé́.,1 　\x1cÀß🙂!*_²Σς")
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
-    texts += [r[1] or "" for r in corpus()] + ["a\x00b \x00", "<|endoftext|> x", "ΟΔΟΣ ΟΔΟΣ.", "don't I'll", "x" * 5000]
+    texts += [r[1] or "" for r in corpus()] + ["a\x00b \x00", "<|endoftext|> x", "<|endoftext|><|endoftext|>", "A<|STARTOFTEXT|>", "it's<|endoftext|>'s", "x" * 1_000_000, "ΟΔΟΣ ΟΔΟΣ.", "don't I'll", "x" * 5000]
     got = tokens.Encoder(path).encode(texts)
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
