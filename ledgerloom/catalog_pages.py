@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog_text
 from ledgerloom.functions import dates
-from ledgerloom.operators import cards, columns, entities, geometry, layout, pagetext, readings, recovery, textlines
+from ledgerloom.operators import cards, columns, declarative, entities, geometry, layout, pagetext, readings, recovery, textlines
 from ledgerloom.plans import scans, views
 from ledgerloom.sources.work import stored
 
@@ -67,6 +67,14 @@ def shaken(spark, d) -> DataFrame:
     return scans.frame(spark, d, (scans.ROWS, scans.TOKENS, scans.SHAKEN), "SELECT * FROM shaken").drop("line")
 
 
+def lined(spark, d) -> DataFrame:
+    return scans.frame(spark, d, (scans.ROWS, scans.TOKENS, scans.CLOSE), "SELECT * FROM lined")
+
+
+def named(entities: DataFrame) -> DataFrame:
+    return entities.withColumn("children", F.array_join(F.transform("children", lambda c: c.cast("string")), " "))
+
+
 def cell_readings(spark, d) -> DataFrame:
     cells = scans.frame(spark, d, (scans.CELLS,), "SELECT * FROM cells")
     found = readings.candidates(readings.hypotheses(F.col("text")))
@@ -103,6 +111,9 @@ QUERIES = {
     "clean_lines": lambda spark, d: pagetext.cleaned(scans.frame(spark, d, (scans.ROWS, scans.LINES), "SELECT * FROM lines")),
     "reading_order": lambda spark, d: entities.reading_order(shaken(spark, d)).select("doc_id", "page", "tok_idx", "band", "place"),
     "logical_lines": lambda spark, d: entities.logical_lines(entities.visual_lines(shaken(spark, d))),
+    "grouped_entities": lambda spark, d: named(declarative.group_entities(lined(spark, d), ("doc_id", "page", "line"))),
+    "rebuilt_entities": lambda spark, d: named(declarative.reconstruct_entities(lined(spark, d), ("doc_id", "page", "line"))),
+    "declarative_rows": lambda spark, d: declarative.declarative_rows(lined(spark, d)),
     "card_rows": lambda spark, d: cards.card_rows(scans.card_tokens(spark, d)),
     "page_transactions": lambda spark, d: parsed(scans.tokens(spark, d)),
 }
@@ -229,10 +240,43 @@ lg AS (SELECT doc_id, page, rn, rn AS head, text, 1 AS lines, x0, x1, y0, y1 FRO
         SELECT v.*, l.head, l.text AS ltext, l.lines, l.x0 AS lx0, l.x1 AS lx1, l.y0 AS ly0, l.y1 AS ly1, v.x0 > margin + 20 AND NOT (v.x1 < l.x0 OR v.x0 > l.x1) AND coalesce(v.y0 - l.y1 < dn * 1.5, false) AND NOT regexp_matches(v.text, '(^|[^\d])\d{1,3}(,\d{2,3})*\.\d{2}($|[^\d])') AND (v.n < 5 OR v.x0 >= l.x0) AS go
         FROM lg l JOIN vl v ON v.doc_id = l.doc_id AND v.page = l.page AND v.rn = l.rn + 1 JOIN vg ON vg.doc_id = v.doc_id AND vg.page = v.page))"""
 
+# Entities by recursion over the tokens of a group, numbered from left to right.
+ENTITIES = """
+tn AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY x0, tok_idx) AS rn FROM lined),
+eg AS (SELECT {keys}, rn, rn AS head, text, x0, y0, x1, y1, {first} AS confidence, [tok_idx] AS children, NULL::DOUBLE AS x_gap, NULL::DOUBLE AS baseline, NULL::DOUBLE AS height, NULL::DOUBLE AS overlap, NULL::VARCHAR AS strategy FROM tn WHERE rn = 1
+    UNION ALL SELECT {tkeys}, rn, CASE WHEN go THEN head ELSE rn END, CASE WHEN go THEN btext || joint || text ELSE text END, CASE WHEN go THEN least(bx0, x0) ELSE x0 END, CASE WHEN go THEN least(by0, y0) ELSE y0 END, CASE WHEN go THEN greatest(bx1, x1) ELSE x1 END, CASE WHEN go THEN greatest(by1, y1) ELSE y1 END,
+        CASE WHEN go THEN least(bconf, sure) ELSE {first} END, CASE WHEN go THEN list_append(bch, tok_idx) ELSE [tok_idx] END, CASE WHEN go THEN gap END, CASE WHEN go THEN bl END, CASE WHEN go THEN hs END, CASE WHEN go THEN ov END, CASE WHEN go THEN st END FROM (
+        SELECT *, {go} AS go, {joint} AS joint, {sure} AS sure FROM (
+            SELECT *, 1 - abs(by1 - y1) / low AS bl, low / greatest(by1 - by0, y1 - y0) AS hs, greatest(0, least(by1, y1) - greatest(by0, y0)) / low AS ov, CASE WHEN upper(text) IN ('CR', 'DR') THEN 'suffix_attach' WHEN upper(btext) IN ('RS', 'RS.', 'INR') THEN 'currency_prefix_merge' ELSE 'horizontal_merge' END AS st FROM (
+                SELECT t.*, e.head, e.text AS btext, e.x0 AS bx0, e.y0 AS by0, e.x1 AS bx1, e.y1 AS by1, e.confidence AS bconf, e.children AS bch, t.x0 - e.x1 AS gap, least(e.y1 - e.y0, t.y1 - t.y0) AS low FROM eg e JOIN tn t ON {on} AND t.rn = e.rn + 1)))),
+ents AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY head) - 1 AS INTEGER) AS entity FROM (SELECT * FROM eg QUALIFY row_number() OVER (PARTITION BY {keys}, head ORDER BY rn DESC) = 1))"""
+GROUP = {"first": "confidence", "go": "gap BETWEEN -20 AND 25 AND bl >= 0.5 AND ov >= 0.3", "joint": "' '", "sure": "confidence"}
+REBUILD = {"first": "1.0::DOUBLE", "go": "gap BETWEEN -10 AND 20 AND ov >= 0.5", "joint": "CASE WHEN gap > 3 THEN ' ' ELSE '' END", "sure": "CASE WHEN gap <= 5 THEN 0.99 WHEN gap <= 10 THEN 0.9 ELSE 0.75 END"}
+BY_LINE = {"keys": "doc_id, page, line", "tkeys": "doc_id, page, line", "on": "t.doc_id = e.doc_id AND t.page = e.page AND t.line = e.line"}
+DECLARED = r"""
+ec AS (SELECT *, CASE WHEN regexp_full_match(text, '\d{1,2}[/-]\d{1,2}[/-]\d{2,4}') THEN 'DATE' WHEN regexp_full_match(lower(text), '(₹?(rs\.?)?\s*)[0-9][0-9\s,.]*(\s*[a-z]{2})?') THEN 'NUMERIC' WHEN contains(upper(text), 'BRANCH') AND length(text) < 30 THEN 'FOOTER'
+       WHEN upper(text) IN ('DATE', 'NARRATION', 'PARTICULARS', 'CHQ NO', 'DEBIT', 'CREDIT', 'BALANCE', 'WITHDRAWAL', 'DEPOSIT') THEN 'HEADER' ELSE 'TEXT' END AS class FROM ents),
+hl AS (SELECT doc_id, page, y0 FROM (SELECT doc_id, page, y0, count(*) FILTER (class = 'HEADER') AS n FROM ec GROUP BY ALL) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, y0) = 1),
+hz AS (SELECT doc_id, page, lower(text) AS header, x0 AS lo, coalesce(lead(x0) OVER (PARTITION BY doc_id, page ORDER BY x0), 9999) AS hi FROM ec JOIN hl USING (doc_id, page, y0)),
+eh AS (SELECT ec.*, header, CASE WHEN header = 'value date' THEN 'VALUE_DATE' WHEN header = 'date' THEN 'DATE' WHEN header IN ('particulars', 'narration', 'details') OR header LIKE '%description%' THEN 'NARRATION' WHEN header = 'chq' THEN 'CHEQUE' WHEN header LIKE 'withdrawal%' OR header = 'debit' OR header = 'dr/cr' THEN 'DEBIT'
+       WHEN header LIKE 'deposit%' OR header = 'credit' THEN 'CREDIT' WHEN header LIKE 'bal%' THEN 'BALANCE' END AS field FROM ec LEFT JOIN hz ON hz.doc_id = ec.doc_id AND hz.page = ec.page AND (ec.x0 + ec.x1) / 2 >= lo AND (ec.x0 + ec.x1) / 2 < hi),
+texts AS (SELECT row_number() OVER () AS id, text FROM (SELECT DISTINCT text FROM ec))"""
+ROW_BY_ROW = """
+it AS (SELECT eh.*, class IN ('DATE', 'TEXT') AS worded, CASE WHEN class NOT IN ('FOOTER', 'HEADER') AND NOT (coalesce(header IN ('debit', 'credit', 'balance', 'withdrawal', 'deposit', 'cheque'), false) AND (class = 'DATE' OR class = 'TEXT' AND regexp_full_match(regexp_replace(eh.text, '[^A-Za-z0-9]', '', 'g'), '[A-Za-z]{4,}'))) THEN value END AS num
+       FROM eh JOIN texts c ON c.text = eh.text LEFT JOIN (SELECT id, value FROM rnk WHERE rank = 0) r ON r.id = c.id),
+its AS (SELECT *, y0 * 100000 + entity AS pl FROM it WHERE worded OR num IS NOT NULL),
+ys AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) AS rn FROM (SELECT DISTINCT doc_id, page, y0 FROM its)),
+yr AS (SELECT doc_id, page, y0, rn, y0 AS a, 0 AS row FROM ys WHERE rn = 1 UNION ALL SELECT s.doc_id, s.page, s.y0, s.rn, CASE WHEN s.y0 - a >= 15 THEN s.y0 ELSE a END, CASE WHEN s.y0 - a >= 15 THEN row + 1 ELSE row END FROM yr JOIN ys s ON s.doc_id = yr.doc_id AND s.page = yr.page AND s.rn = yr.rn + 1)
+SELECT doc_id, page, row, arg_max(text, pl) FILTER (worded AND field = 'DATE') AS date, arg_max(text, pl) FILTER (worded AND field = 'VALUE_DATE') AS value_date, string_agg(text, ' ' ORDER BY pl) FILTER (worded AND field = 'NARRATION') AS narration, arg_max(text, pl) FILTER (worded AND field = 'CHEQUE') AS cheque,
+    arg_max(num, pl) FILTER (num IS NOT NULL AND field = 'DEBIT') AS debit, arg_max(num, pl) FILTER (num IS NOT NULL AND field = 'CREDIT') AS credit, arg_max(num, pl) FILTER (num IS NOT NULL AND field = 'BALANCE') AS balance
+FROM its JOIN yr USING (doc_id, page, y0) GROUP BY doc_id, page, row"""
+BY_PAGE = {"keys": "doc_id, page", "tkeys": "doc_id, page", "on": "t.doc_id = e.doc_id AND t.page = e.page"}
+
 
 def oracles(ledger_sql: str) -> dict[str, str]:
     pages = f"WITH {scans.ROWS}, {scans.TOKENS}, {NUMBERED}, {WORDS}, {WINDOWS}"
     drawn = f"WITH RECURSIVE {scans.ROWS}, {scans.TOKENS}, {scans.WORDS}"
+    close = f"WITH RECURSIVE {scans.ROWS}, {scans.TOKENS}, {scans.CLOSE}"
     lost = catalog_text.PRINTED.replace("rows_ AS", "all_rows AS") + ", rows_ AS (SELECT * FROM all_rows WHERE (doc_id * 7 + row_no) % 19 <> 0)"
     taken = """
         tx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) - 1 AS nth, CASE WHEN side = 'd' THEN s ELSE dr END AS d0, CASE WHEN side = 'c' THEN s ELSE cr END AS c0 FROM sided),
@@ -276,6 +320,9 @@ def oracles(ledger_sql: str) -> dict[str, str]:
         "clean_lines": f"WITH RECURSIVE {scans.ROWS}, {scans.LINES}, {CLEAN} SELECT doc_id, page, line_no, text FROM cb WHERE text <> '' OR pt IS NULL OR pt <> ''",
         "reading_order": f"WITH {scans.ROWS}, {scans.TOKENS}, {scans.SHAKEN} SELECT doc_id, page, tok_idx, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line) - 1 AS INTEGER) AS band, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line, x0, y0, tok_idx) - 1 AS INTEGER) AS place FROM shaken",
         "logical_lines": f"WITH RECURSIVE {scans.ROWS}, {scans.TOKENS}, {scans.SHAKEN}, {LOGICAL} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY head) - 1 AS INTEGER) AS logical_no, text, lines, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1 FROM (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY doc_id, page, head ORDER BY rn DESC) = 1)",
+        "grouped_entities": f"{close}, {ENTITIES.format(**GROUP, **BY_LINE)} SELECT doc_id, page, line, entity, text, x0, y0, x1, y1, confidence, array_to_string(children, ' ') AS children, x_gap, baseline, height, overlap, strategy FROM ents",
+        "declarative_rows": f"{close}, {ENTITIES.format(**GROUP, **BY_PAGE)}, {DECLARED}, {HYPOTHESES.replace('FROM cells', 'FROM texts')}, {ROW_BY_ROW}",
+        "rebuilt_entities": f"{close}, {ENTITIES.format(**REBUILD, **BY_LINE)} SELECT doc_id, page, line, entity, text, x0, y0, x1, y1, confidence, array_to_string(children, ' ') AS children FROM ents",
         "card_rows": f"""WITH RECURSIVE {scans.ROWS}, {scans.CARDS}, {NUMBERED}, {WORDS}, {WINDOWS}, {CARD_ROWS} SELECT doc_id, block, page, CASE WHEN reason IS NULL THEN date END AS date, CASE WHEN reason IS NULL THEN coalesce(narration, '') END AS narration,
             CASE WHEN reason IS NULL THEN d END AS debit_c, CASE WHEN reason IS NULL THEN c END AS credit_c, reason, stop_word FROM fin LEFT JOIN nar USING (doc_id, block)""",
         "zone_swaps": f"{pages}, {ANCHORS}, {SWAPS} SELECT * FROM swaps",

@@ -75,6 +75,12 @@ words AS (SELECT *, 1000 AS width FROM wd)"""
 #: Words a little up or down of their line.
 SHAKEN = """
 shaken AS (SELECT doc_id, page, tok_idx, text, x0, x1, y0 + tok_idx % 3 AS y0, y0 + tok_idx % 3 + 8 AS y1, y0 AS line FROM tok)"""
+#: Tokens with a confidence, those of a line close together: amounts with marks and currencies beside them, words a little up or down.
+CLOSE = """
+close AS (SELECT doc_id, page, tok_idx, text, CAST(x0 AS double) AS x0, CAST(x1 AS double) AS x1, CAST(y0 AS double) AS y0, CAST(y1 AS double) AS y1, CAST((tok_idx % 7 + 3) / 10.0 AS double) AS confidence FROM tok
+          UNION ALL SELECT doc_id, page, i * 10 + 106, CASE WHEN credit THEN 'CR' ELSE 'Dr' END, 560.0 + k % 30, 575.0 + k % 30, 81.0 + 28 * (i % 4) + k % 5, 89.0 + 28 * (i % 4) + k % 5, 0.5 FROM acct WHERE k % 3 < 2
+          UNION ALL SELECT doc_id, page, i * 10 + 107, CASE WHEN k % 2 = 0 THEN 'Rs.' ELSE 'of' END, 480.0, 497.0 + k % 9, 80.0 + 28 * (i % 4), 88.0 + 28 * (i % 4), 0.4 FROM acct WHERE k % 4 = 0),
+lined AS (SELECT *, CAST(round((y0 - 2) / 7.0) AS int) AS line FROM close)"""
 #: Lines that end with hyphens, are blank, have glyph marks or a footer's phrase.
 LINES = """
 lines AS (SELECT doc_id, page, i AS line_no, CASE k % 10 WHEN 0 THEN 'wraps-' WHEN 1 THEN '  double--' WHEN 2 THEN '' WHEN 3 THEN '   ' WHEN 4 THEN 'Call Toll Free ' || CAST(k AS string) WHEN 5 THEN '(cid:12)x (cid:3)y' WHEN 6 THEN ' -' WHEN 7 THEN '(cid:7)' WHEN 8 THEN '  next ' ELSE 'line ' || dmy END AS text FROM acct)"""
