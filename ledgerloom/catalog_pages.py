@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import catalog_text
-from ledgerloom.functions import dates
-from ledgerloom.operators import cards, columns, declarative, entities, geometry, layout, pagetext, readings, recovery, textlines
+from ledgerloom.functions import dates, replies
+from ledgerloom.operators import cards, columns, declarative, drift, entities, geometry, layout, pagetext, readings, recovery, textlines
 from ledgerloom.plans import scans, views
 from ledgerloom.sources.work import stored
 
@@ -75,6 +75,16 @@ def named(entities: DataFrame) -> DataFrame:
     return entities.withColumn("children", F.array_join(F.transform("children", lambda c: c.cast("string")), " "))
 
 
+def said(spark, d) -> DataFrame:
+    return scans.frame(spark, d, (scans.REPLIES,), "SELECT * FROM replies")
+
+
+def drifted(tokens: DataFrame) -> DataFrame:
+    zones, held, blocks, decisions = geometry.parse_steps(tokens)
+    rows = blocks.select("doc_id", "row_idx", "page", "block", "credit_c", "balance_c").join(decisions.where("accepted").select("doc_id", "row_idx", "conservation"), ["doc_id", "row_idx"])
+    return drift.drift_rows(held, rows, zones)
+
+
 def cell_readings(spark, d) -> DataFrame:
     cells = scans.frame(spark, d, (scans.CELLS,), "SELECT * FROM cells")
     found = readings.candidates(readings.hypotheses(F.col("text")))
@@ -114,6 +124,10 @@ QUERIES = {
     "grouped_entities": lambda spark, d: named(declarative.group_entities(lined(spark, d), ("doc_id", "page", "line"))),
     "rebuilt_entities": lambda spark, d: named(declarative.reconstruct_entities(lined(spark, d), ("doc_id", "page", "line"))),
     "declarative_rows": lambda spark, d: declarative.declarative_rows(lined(spark, d)),
+    "reply_rows": lambda spark, d: said(spark, d).select("id", replies.rows(F.col("text")).alias("r")).select("id", F.size("r").cast("long").alias("n"), F.get("r", F.lit(0))["date"].alias("first_date"), F.get("r", F.lit(0))["debit"].alias("first_debit")),
+    "reply_objects": lambda spark, d: said(spark, d).select("id", replies.object_of(F.col("text")).alias("o")).select("id", "o.*"),
+    "drift_rows": lambda spark, d: drifted(scans.tokens(spark, d)),
+    "column_drift": lambda spark, d: drift.drift_causes(drifted(scans.tokens(spark, d))),
     "card_rows": lambda spark, d: cards.card_rows(scans.card_tokens(spark, d)),
     "page_transactions": lambda spark, d: parsed(scans.tokens(spark, d)),
 }
@@ -240,6 +254,19 @@ lg AS (SELECT doc_id, page, rn, rn AS head, text, 1 AS lines, x0, x1, y0, y1 FRO
         SELECT v.*, l.head, l.text AS ltext, l.lines, l.x0 AS lx0, l.x1 AS lx1, l.y0 AS ly0, l.y1 AS ly1, v.x0 > margin + 20 AND NOT (v.x1 < l.x0 OR v.x0 > l.x1) AND coalesce(v.y0 - l.y1 < dn * 1.5, false) AND NOT regexp_matches(v.text, '(^|[^\d])\d{1,3}(,\d{2,3})*\.\d{2}($|[^\d])') AND (v.n < 5 OR v.x0 >= l.x0) AS go
         FROM lg l JOIN vl v ON v.doc_id = l.doc_id AND v.page = l.page AND v.rn = l.rn + 1 JOIN vg ON vg.doc_id = v.doc_id AND vg.page = v.page))"""
 
+DRIFT = """
+low AS (SELECT doc_id, page, max(y1) AS low FROM tok GROUP BY ALL),
+acc AS (SELECT f.doc_id, nb.row_idx, f.state, nb.credit_c, nb.page, nb.bal, 80 + 28 * (nb.i % 4) AS top, CASE WHEN nb.k % 5 = 0 AND NOT (nb.k % 10 = 0 AND ((102 + 28 * (nb.i % 4)) / low > 0.88 OR (102 + 28 * (nb.i % 4)) / low < 0.25)) THEN 102 + 28 * (nb.i % 4) ELSE 88 + 28 * (nb.i % 4) END AS bot
+        FROM fold f JOIN (SELECT nb.*, acct.bal, acct.k, acct.i FROM nb JOIN acct ON acct.doc_id = nb.doc_id AND acct.page = nb.page AND acct.bal = nb.balance_c) nb ON nb.doc_id = f.doc_id AND nb.rn = f.rn JOIN low ON low.doc_id = f.doc_id AND low.page = nb.page WHERE f.reason IN ('ok', 'conservation_conflict')),
+zz AS (SELECT c.doc_id, c.lo AS clo, c.hi AS chi, b.lo AS blo, b.hi AS bhi FROM placed c JOIN placed b USING (doc_id) WHERE c.zone = 'credit' AND b.zone = 'balance'),
+placed AS (SELECT doc_id, CASE WHEN coalesce(swapped, false) AND zone = 'debit' THEN 'credit' WHEN coalesce(swapped, false) AND zone = 'credit' THEN 'debit' ELSE zone END AS zone, lo, hi FROM zones LEFT JOIN swaps USING (doc_id)),
+spots2 AS (SELECT acc.*, CASE WHEN credit_c IS NULL THEN 500.0 ELSE ax END AS x, coalesce(lead(top) OVER (PARTITION BY acc.doc_id ORDER BY row_idx) - bot, 999) AS nd FROM acc JOIN (SELECT doc_id, CAST(nth - 1 AS INTEGER) AS row_idx, ax FROM rowz) USING (doc_id, row_idx)),
+dr AS (SELECT s.doc_id, row_idx, CASE WHEN credit_c IS NULL THEN 'balance' ELSE 'credit' END AS assigned, x, least(abs(x - clo), abs(x - chi)) AS to_credit, least(abs(x - blo), abs(x - bhi)) AS to_balance, abs(x - (blo + bhi) / 2) AS from_centre, nd, nd < 5 AS merged, state <> 'PASS' AS failed,
+       CASE WHEN least(chi, bhi) > greatest(clo, blo) THEN (least(chi, bhi) - greatest(clo, blo)) / (chi - clo) * 100 ELSE 0 END AS overlap, (blo + bhi) / 2 AS bc, (clo + chi) / 2 AS cc FROM spots2 s JOIN zz USING (doc_id)),
+dc AS (SELECT *, CASE WHEN failed THEN CASE WHEN merged THEN 'ROW_GROUPING' WHEN overlap > 15 OR abs(to_credit - to_balance) < 15 THEN 'ZONE_CREATION' WHEN x > bc + 15 OR x < cc - 15 THEN 'OCR_DRIFT' ELSE 'UNKNOWN' END END AS cause FROM dr)"""
+_DRIFT = DRIFT.split(",\n")
+_PLACED = next(i for i, p in enumerate(_DRIFT) if p.startswith("placed"))
+DRIFT = ",\n".join(_DRIFT[: _PLACED - 1] + [_DRIFT[_PLACED], _DRIFT[_PLACED - 1]] + _DRIFT[_PLACED + 1 :])
 # Entities by recursion over the tokens of a group, numbered from left to right.
 ENTITIES = """
 tn AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY x0, tok_idx) AS rn FROM lined),
@@ -322,6 +349,14 @@ def oracles(ledger_sql: str) -> dict[str, str]:
         "logical_lines": f"WITH RECURSIVE {scans.ROWS}, {scans.TOKENS}, {scans.SHAKEN}, {LOGICAL} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY head) - 1 AS INTEGER) AS logical_no, text, lines, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1 FROM (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY doc_id, page, head ORDER BY rn DESC) = 1)",
         "grouped_entities": f"{close}, {ENTITIES.format(**GROUP, **BY_LINE)} SELECT doc_id, page, line, entity, text, x0, y0, x1, y1, confidence, array_to_string(children, ' ') AS children, x_gap, baseline, height, overlap, strategy FROM ents",
         "declarative_rows": f"{close}, {ENTITIES.format(**GROUP, **BY_PAGE)}, {DECLARED}, {HYPOTHESES.replace('FROM cells', 'FROM texts')}, {ROW_BY_ROW}",
+        "reply_rows": f"WITH {scans.REPLIES}, a AS (SELECT id, nullif(regexp_extract(text, '(?s)(\\[.*\\])', 1), '') AS t0, CASE WHEN NOT contains(t0, ',]') THEN t0 END AS t FROM replies) SELECT id, CASE WHEN json_valid(t) THEN json_array_length(t) ELSE 0 END AS n, CASE WHEN json_valid(t) THEN t ->> '$[0].date' END AS first_date, CASE WHEN json_valid(t) THEN t ->> '$[0].debit' END AS first_debit FROM a",
+        "reply_objects": f"""WITH {scans.REPLIES}, a AS (SELECT *, trim(replace(replace(text, '```json', ''), '```', '')) AS t FROM replies),
+            b AS (SELECT *, CASE WHEN contains(t, '{{') AND contains(t, '}}') THEN substr(t, strpos(t, '{{'), greatest(0, length(t) - strpos(reverse(t), '}}') + 2 - strpos(t, '{{'))) ELSE t END AS o FROM a),
+            c AS (SELECT *, replace(replace(replace(replace(o, ', }}', '}}'), ',]', ']'), ': True', ': true'), ': None', ': null') AS q FROM b),
+            d AS (SELECT *, q || repeat('}}', greatest(0, len(string_split(q, '{{')) - len(string_split(q, '}}')))) AS j FROM c)
+            SELECT id, CASE WHEN json_valid(j) THEN 'read' WHEN regexp_matches(text, '\\{{.*\\}}') THEN 'invalid' ELSE 'missing' END AS state, CASE WHEN json_valid(j) THEN j END AS json FROM d""",
+        "drift_rows": f"{pages.replace('WITH', 'WITH RECURSIVE', 1)}, {ANCHORS}, {SWAPS}, {PARSED}, {FOLD}, {DRIFT} SELECT doc_id, row_idx, assigned, CAST(x AS DOUBLE) AS x, CAST(to_credit AS DOUBLE) AS to_credit, CAST(to_balance AS DOUBLE) AS to_balance, CAST(from_centre AS DOUBLE) AS from_centre, CAST(nd AS DOUBLE) AS next_distance, merged, failed, cause, CAST(overlap AS DOUBLE) AS overlap FROM dc",
+        "column_drift": f"{pages.replace('WITH', 'WITH RECURSIVE', 1)}, {ANCHORS}, {SWAPS}, {PARSED}, {FOLD}, {DRIFT} SELECT doc_id, count(*) AS rows, count(*) FILTER (failed) AS failures, CAST(max(overlap) AS DOUBLE) AS overlap, CASE WHEN max(overlap) > 15 THEN 'ZONE_CREATION' WHEN bool_or(failed AND merged) THEN 'ROW_GROUPING' WHEN bool_or(failed AND from_centre > 50) THEN 'OCR_DRIFT' ELSE 'UNKNOWN' END AS cause FROM dc GROUP BY doc_id",
         "rebuilt_entities": f"{close}, {ENTITIES.format(**REBUILD, **BY_LINE)} SELECT doc_id, page, line, entity, text, x0, y0, x1, y1, confidence, array_to_string(children, ' ') AS children FROM ents",
         "card_rows": f"""WITH RECURSIVE {scans.ROWS}, {scans.CARDS}, {NUMBERED}, {WORDS}, {WINDOWS}, {CARD_ROWS} SELECT doc_id, block, page, CASE WHEN reason IS NULL THEN date END AS date, CASE WHEN reason IS NULL THEN coalesce(narration, '') END AS narration,
             CASE WHEN reason IS NULL THEN d END AS debit_c, CASE WHEN reason IS NULL THEN c END AS credit_c, reason, stop_word FROM fin LEFT JOIN nar USING (doc_id, block)""",

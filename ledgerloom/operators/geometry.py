@@ -201,7 +201,12 @@ def rescued(blocks: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def parse(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Page tokens -> (blocks with their cells, decisions): zones from the best header window, blocks anchored in the date
+    """Page tokens -> (blocks with their cells, decisions)."""
+    return parse_steps(tokens)[2:]
+
+
+def parse_steps(tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Page tokens -> (zones, tokens of blocks, blocks with their cells, decisions): zones from the best header window, blocks anchored in the date
     zone, swapped columns put right before any token is owned, cells, rescue without a balance zone, and the fold."""
     from ledgerloom.operators import columns
 
@@ -211,4 +216,4 @@ def parse(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = stored(numbered(dated, layout.transaction_blocks(columns.anchored(dated, zones))), "block-tokens")
     zones = stored(unswapped(zones, zones_swapped(held, zones)), "zones")
     blocks = stored(rescued(cells(stored(in_zones(held, zones), "zoned-tokens")), zones), "blocks")
-    return blocks, decided(blocks, page_seeds(layout.row_boxes(rows)))
+    return zones, held, blocks, decided(blocks, page_seeds(layout.row_boxes(rows)))

@@ -84,6 +84,11 @@ lined AS (SELECT *, CAST(round((y0 - 2) / 7.0) AS int) AS line FROM close)"""
 #: Lines that end with hyphens, are blank, have glyph marks or a footer's phrase.
 LINES = """
 lines AS (SELECT doc_id, page, i AS line_no, CASE k % 10 WHEN 0 THEN 'wraps-' WHEN 1 THEN '  double--' WHEN 2 THEN '' WHEN 3 THEN '   ' WHEN 4 THEN 'Call Toll Free ' || CAST(k AS string) WHEN 5 THEN '(cid:12)x (cid:3)y' WHEN 6 THEN ' -' WHEN 7 THEN '(cid:7)' WHEN 8 THEN '  next ' ELSE 'line ' || dmy END AS text FROM acct)"""
+#: Replies of models: arrays and objects, plain, fenced, cut off, with slips, with text around them.
+REPLIES = """
+replies AS (SELECT o_orderkey AS id, CASE o_orderkey % 12 WHEN 0 THEN '[{"date": "' || d || '", "debit": 5}, {"date": null}]' WHEN 1 THEN '```json [{"date": "' || d || '"}] ```' WHEN 2 THEN 'Rows: [{"date": "' || d || '"}, {"date": "x' WHEN 3 THEN '[{"date": "' || d || '"}, {"rows": [1]'
+            WHEN 4 THEN 'none' WHEN 5 THEN 'see [] ' WHEN 6 THEN '```{"a": True, "b": [1, 2,], "c": None, }```' WHEN 7 THEN 'It is {"a": {"b": "' || d || '"} so' WHEN 8 THEN '{"a": {"b": 1' WHEN 9 THEN '} {' WHEN 10 THEN '{"a": nope}' ELSE '[{"date": "' || d || '"} {"date": "y"}]' END AS text
+            FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS string), 1, 10) AS d FROM orders))"""
 #: Cells as scanners read them, with a class and a column.
 CELLS = f"""
 cells AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_orderkey % 13 WHEN 0 THEN m WHEN 1 THEN replace(m, ',', '.') WHEN 2 THEN replace(m, ',', ' ') WHEN 3 THEN m || 'L128' WHEN 4 THEN substr(m, 1, length(m) - 1) WHEN 5 THEN replace(m, '.', ':') WHEN 6 THEN m || ' CR' WHEN 7 THEN 'Rs ' || m
@@ -95,7 +100,7 @@ cells AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_orderkey % 13 WHEN
 def frame(spark: SparkSession, sf_dir: str, ctes: tuple[str, ...], select: str) -> DataFrame:
     """`select` over the common table expressions and the sample tables."""
     held = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if any(t in c for c in (*ctes, select))}
-    text = f"WITH {', '.join(ctes)} {select}"
+    text = f"WITH {', '.join(ctes)} {select}".replace("{", "{{").replace("}", "}}")
     for t in held:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(text, **held)
