@@ -1,6 +1,8 @@
 """Cases, properties and the SQL oracles of the statement engine."""
 
 import math
+import random
+import re
 
 import duckdb
 import pytest
@@ -8,8 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.catalog import ORACLES, QUERIES
-from ledgerloom.functions import dates, money, signals
-from ledgerloom.operators import columns, compare, confidence, geometry, layout, ledger, ordering, recovery, solver
+from ledgerloom.functions import dates, money, replies, signals
+from ledgerloom.operators import cards, columns, compare, confidence, declarative, entities, geometry, layout, ledger, ordering, pagetext, readings, recovery, solver
 from ledgerloom.plans import views
 from ledgerloom.sources import readers
 from ledgerloom.streaming import audits
@@ -231,6 +233,98 @@ def test_confidence_repairs_page_order_and_counts_expected_rows(spark):
     assert confidence.statement_confidence(t, expected).first()["confidence"] == 95
 
 
+WORDS = "doc_id int, page int, tok_idx int, text string, x0 double, x1 double, y0 double, y1 double, width double"
+
+
+def words_of(spark, cells, width=600.0):
+    return spark.createDataFrame([(1, 1, i, t, float(x), x + 6.0 * len(t), float(y), y + 8.0, width) for i, (t, x, y) in enumerate(cells)], WORDS)
+
+
+def test_a_second_date_begins_a_line(spark):
+    words = words_of(spark, [("01/02/2024", 20, 10), ("rent", 100, 11), ("03/02/2024", 20, 14), ("pay", 100, 15), ("later", 30, 40)])
+    lines = [r["text"] for r in pagetext.grid_lines(words).orderBy("line_no").collect()]
+    assert lines == ["   01/02/2024    rent", "   03/02/2024    pay", "     later"]
+    assert [r["text"] for r in pagetext.grid_lines(words, split_dates=False).orderBy("line_no").collect()][0].endswith("payt")
+
+
+def test_side_bars_go_and_narrow_pages_stay(spark):
+    main = [("word", 20 + 60 * (i % 5), 10 * i) for i in range(20)]
+    assert pagetext.without_sidebars(words_of(spark, [*main, ("Visit", 560, 50)], 700.0)).count() == 20
+    assert pagetext.without_sidebars(words_of(spark, [("a", 0, 0), ("b", 695, 0)], 700.0)).count() == 2
+
+
+def merged_by_hand(lines):
+    """The rule one line after the other: (line, rows)."""
+    date, amount = re.compile(signals.DATE), re.compile(signals.DECIMAL)
+    out = []
+    for line in lines:
+        if out and not any(w in line for w in pagetext.STOP_WORDS):
+            last, rows = out[-1]
+            safe = not (date.search(last) and date.search(line)) and not (amount.search(last) and amount.search(line)) and all(" " in (a, b) for a, b in zip(last, line))
+            if safe and rows < 2:
+                wide = max(len(last), len(line))
+                out[-1] = ("".join(a if a != " " else b for a, b in zip(last.ljust(wide), line.ljust(wide))).rstrip(), 2)
+                continue
+        out.append((line, 1))
+    return [x for x in out if x[0].strip()]
+
+
+def test_lines_are_laid_over_as_one_by_one(spark):
+    rnd = random.Random(5)
+    pieces = ["", "    ", "a", "   b", "      c", "1.00", "     2.00", "01/02/2024", "            03/02/2024", "PAGE 2", "         TOTAL", " é", "                x-"]
+    pages = {p: [rnd.choice(pieces) for _ in range(rnd.randint(1, 14))] for p in range(120)}
+    lines = spark.createDataFrame([(1, p, i, t) for p, texts in pages.items() for i, t in enumerate(texts)], "doc_id int, page int, line_no int, text string")
+    got = {}
+    for r in pagetext.overlaid_lines(lines).orderBy("page", "line_no").collect():
+        got.setdefault(r["page"], []).append((r["text"], r["rows"]))
+    assert got == {p: m for p, texts in pages.items() if (m := merged_by_hand(texts))}
+
+
+def test_line_clean_up(spark):
+    texts = ["one-", "  two--", "-", "", " ", "Beware of cyber fraud", "(cid:3)x ", "y-"]
+    lines = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "doc_id int, page int, line_no int, text string")
+    assert [r["text"] for r in pagetext.cleaned(lines).orderBy("line_no").collect()] == ["onetwo", "x", "y-"]
+    assert values(spark, [" x", "x", "  ", " 01/02/2024", "  a b"], pagetext.is_continuation) == [True, False, False, False, True]
+    assert values(spark, ["x 01/02/2024", " " * 25 + "01/02/2024"], pagetext.has_date_at_left) == [True, False]
+
+
+def test_readings_of_numbers(spark):
+    best = lambda c: F.transform(readings.candidates(readings.hypotheses(c)), lambda r: F.struct(r["value"], r["confidence"], r["text"]))
+    cases = {
+        "161835.18": [(161835.18, 0.95, "161835.18")], "1,61,835.18": [(161835.18, 0.98, "161835.18")], "61,835.18": [(61835.18, 0.98, "61835.18")], "87.034.17": [(87034.17, 0.7, "87034.17")],
+        "67882.00L128": [(67882.0, 0.85, "67882.00"), (67882.00128, 0.6, "67882.00128")], "161835:18": [(161835.0, 0.85, "161835"), (161835.18, 0.8, "161835.18"), (16183518.0, 0.6, "16183518")], "87.03 4.17": [(87034.17, 0.7, "87034.17"), (87.03, 0.4, "87.03"), (4.17, 0.4, "4.17")], "CR": [], "": [], None: [], ".": [],
+    }
+    got = dict(zip(cases, values(spark, list(cases), best)))
+    assert {k: v and [tuple(r) for r in v] for k, v in got.items()} == cases
+
+
+def test_replies(spark):
+    texts = ['x ```json [{"a": 1}] ```', '[{"a": 1}, {"b": [1]', "[1] and [2]", "", None, '[{"a": NaN']
+    assert [r and [dict(m) for m in r] for r in values(spark, texts, replies.rows)] == [[{"a": "1"}], [], [], [], [], []]
+    objects = ['{"a": True,}', '{"a": {"b": 2', '{"a": 1} {"b": 2}', "no", '{"a": 1}} x {"b": 1}']
+    assert [(r["state"], r["json"]) for r in values(spark, objects, replies.object_of)] == [("read", '{"a": true}'), ("read", '{"a": {"b": 2}}'), ("invalid", None), ("missing", None), ("invalid", None)]
+
+
+def test_entities_keep_evidence(spark):
+    cells = [(0, "Rs", 0, 12, 0, 8), (1, "5.00", 14, 38, 1, 9), (2, "CR", 40, 52, 0, 8), (3, "far", 90, 108, 0, 8), (4, "low", 112, 130, 7, 15)]
+    tokens = spark.createDataFrame([(1, 1, i, t, *map(float, xy), 0.5 + i / 10) for i, t, *xy in cells], "doc_id int, page int, tok_idx int, text string, x0 double, x1 double, y0 double, y1 double, confidence double")
+    got = [(r["text"], r["strategy"], r["confidence"], r["children"]) for r in declarative.group_entities(tokens).orderBy("entity").collect()]
+    assert got == [("Rs 5.00 CR", "suffix_attach", 0.5, [0, 1, 2]), ("far", None, 0.8, [3]), ("low", None, 0.9, [4])]
+    assert [r["text"] for r in declarative.reconstruct_entities(tokens).orderBy("entity").collect()] == ["Rs5.00CR", "far", "low"]
+
+
+def test_empty_pages(spark):
+    none = words_of(spark, [("x", 0, 0)]).where("false").withColumn("confidence", F.lit(1.0))
+    assert pagetext.page_lines(none).count() == cards.card_rows(none).count() == declarative.declarative_rows(none).count() == geometry.parse(none)[1].count() == entities.reading_order(none).count() == 0
+
+
+def test_card_sides_and_stops(spark):
+    cells = [("05/03/2024", 20, 0), ("SHOP", 100, 0), ("12.00", 320, 0), ("CR", 380, 0), ("06-Mar-2024", 20, 20), ("7.00CR", 320, 20), ("8.00", 330, 34), ("07/03/2024", 20, 60), ("Reward Summary", 90, 60), ("08/03/2024", 20, 80), ("fee", 90, 80), ("3.50", 310, 80)]
+    rows = [(r["date"], r["narration"], r["debit_c"], r["credit_c"], r["reason"]) for r in cards.card_rows(words_of(spark, cells)).orderBy("block").collect()]
+    assert rows[0] == ("05/03/2024", "SHOP", None, 1200, None) and rows[1] == ("06-Mar-2024", "8.00", None, 700, None)
+    assert (None, None, None, None, "hit_stop_word") in rows and rows[-1] == ("08/03/2024", "fee", 350, None, None)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "one.csv").write_text('date,narration,debit,credit,balance\n05/03/2024,rent,"1,200.00",,"8,800.00"\n06-Mar-2024,pay,,500.00,"9,300.00 CR"\n')
     got = [tuple(r) for r in readers.read_statements(spark, str(tmp_path / "one.csv")).orderBy("row_idx").collect()]
