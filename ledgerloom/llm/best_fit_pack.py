@@ -34,6 +34,8 @@ from ledgerloom.llm.common import prepare, stored, text_of
 from ledgerloom.llm.tokens import Encoder, slices
 
 CAPACITY, END_ID, CHARS = 1024, 2, 2_000_000
+#: Pieces of text whose ids a worker remembers.
+REMEMBERED = 400_000
 
 
 class Plan:
@@ -131,7 +133,7 @@ class Plan:
 
 def pieces_of(tokenizer: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer), np.zeros(capacity + 1, np.int64)
+        part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer, REMEMBERED), np.zeros(capacity + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at, texts in slices(batch.column(1).to_pylist(), CHARS):

@@ -36,7 +36,8 @@ from ledgerloom.llm.tokens import Encoder, slices
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CHARS = 2_000_000
+#: Characters encoded at once, and pieces of text whose ids a worker remembers.
+CHARS, REMEMBERED = 2_000_000, 400_000
 #: Lengths of the four ids of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -73,7 +74,7 @@ def tokenised(tokenizer: str):
     bytes from id 0 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts, names = Encoder.of(tokenizer), np.zeros(0, np.int64), ["doc_id", "tie", "ids"]
+        encoder, counts, names = Encoder.of(tokenizer, REMEMBERED), np.zeros(0, np.int64), ["doc_id", "tie", "ids"]
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at, texts in slices(batch.column(2).to_pylist(), CHARS):

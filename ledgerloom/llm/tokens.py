@@ -45,9 +45,9 @@ def packed(ids: list[int]) -> bytes:
 class Memory(dict):
     """Piece -> ids; misses are computed, and pieces unused for a generation are forgotten."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, remembered: int = REMEMBERED):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.remembered, self.old = compute, remembered, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -58,7 +58,7 @@ class Memory(dict):
         return ids
 
     def age(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > self.remembered:
             self.old = dict(self)
             self.clear()
 
@@ -66,7 +66,7 @@ class Memory(dict):
 class Encoder:
     """Documents to ids, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,15 +81,15 @@ class Encoder:
         # Probes, not the file's name, decide: does white space carry ids, and is text lower-cased?
         self.drops_space = len(self.whole("a  \n\t b")) == 2 * 4
         self.lowers = self.whole("AB") == self.whole("ab")
-        self.plain = Memory(lambda p: self.piece(p, ""))
-        self.spaced = Memory(self.after_space)
+        self.plain = Memory(lambda p: self.piece(p, ""), remembered)
+        self.spaced = Memory(self.after_space, remembered)
 
     @staticmethod
-    def of(path: str) -> Encoder:
+    def of(path: str, remembered: int = REMEMBERED) -> Encoder:
         cache = worker_cache()
-        if ("encoder", path) not in cache:
-            cache["encoder", path] = Encoder(path)
-        return cache["encoder", path]
+        if ("encoder", path, remembered) not in cache:
+            cache["encoder", path, remembered] = Encoder(path, remembered)
+        return cache["encoder", path, remembered]
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
