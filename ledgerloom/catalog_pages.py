@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import catalog_text
-from ledgerloom.functions import dates, replies
-from ledgerloom.operators import cards, columns, declarative, drift, entities, geometry, layout, pagetext, readings, recovery, textlines
+from ledgerloom.functions import dates, replies, signals
+from ledgerloom.operators import cards, columns, declarative, drift, entities, geometry, layout, pagetext, readings, recovery, statement, textlines
 from ledgerloom.plans import scans, views
 from ledgerloom.sources.work import stored
 
@@ -85,6 +85,32 @@ def drifted(tokens: DataFrame) -> DataFrame:
     return drift.drift_rows(held, rows, zones)
 
 
+def institutions(spark, d) -> DataFrame:
+    """Names of banks as statements print them."""
+    names = ["State Bank of India", " sbi ", "The Federal Bank Ltd.", "HDFC Bank Limited", "TJSB (Thane Janata Sahakari Bank)", "Bank of Baroda (BOB)", "Acme Pvt. Ltd.,", "", "Unlimited Co", "(SBI) Mumbai", "the axis", "Private", "ICICI LTD"]
+    return views.table(spark, d, "customer").select("c_custkey", F.get(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % len(names)).cast("int")).alias("name"))
+
+
+def signed_rows(spark, d) -> DataFrame:
+    """Cells as balances, debits or credits of rows near and far from where the sides meet."""
+    cells = scans.frame(spark, d, (scans.CELLS,), "SELECT * FROM cells")
+    k, text = F.col("id"), F.col("text")
+    date = F.when(k % 4 == 0, "07/02/22UPI-X").when(k % 4 == 1, "07/02/22UPI").when(k % 4 == 2, "07/02/2022")
+    sides = [F.when(k % 3 == i, text) for i in range(3)]
+    found = signals.ocr_signatures(*sides, date, F.when(k % 3 == 0, 370.0 + k % 40), F.when(k % 3 == 1, 370.0 + k % 40), F.lit(400.0))
+    return cells.select("id", F.posexplode(found).alias("nth", "s")).select("id", "nth", "s.*")
+
+
+def parsed_statements(spark, d) -> DataFrame:
+    """Statements of which a sixth have no line that the parser reads; a model's answer stands in for half of those."""
+    t = views.ledger(spark, d)
+    lines = views.printed_statement(t.where("doc_id % 6 <> 0")).unionByName(t.where("doc_id % 6 = 0 AND row_idx = 0").select("doc_id", F.lit(0).alias("line_no"), F.lit("no rows here").alias("text")))
+    rows = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "date", "narration", "debit_c", "credit_c", "balance_c"))), lambda r: F.struct(r["date"].alias("date"), r["narration"].alias("details"), (r["debit_c"] / 100).alias("debit"), (r["credit_c"] / 100).alias("credit"), (r["balance_c"] / 100).alias("balance"))))
+    answers = t.where("doc_id % 12 = 0").groupBy("doc_id").agg(F.concat(F.lit("```json"), rows, F.lit("```")).alias("text"))
+    report = statement.parse_statements(lines, answers)[1]
+    return report.select("doc_id", "source", "transactions", "hard_failure", "is_descending", "running_balance_issues", "opening_balance_reconciled", "audit_passed")
+
+
 def cell_readings(spark, d) -> DataFrame:
     cells = scans.frame(spark, d, (scans.CELLS,), "SELECT * FROM cells")
     found = readings.candidates(readings.hypotheses(F.col("text")))
@@ -128,6 +154,9 @@ QUERIES = {
     "reply_objects": lambda spark, d: said(spark, d).select("id", replies.object_of(F.col("text")).alias("o")).select("id", "o.*"),
     "drift_rows": lambda spark, d: drifted(scans.tokens(spark, d)),
     "column_drift": lambda spark, d: drift.drift_causes(drifted(scans.tokens(spark, d))),
+    "institution_names": lambda spark, d: institutions(spark, d).select("c_custkey", signals.institution_name(F.col("name")).alias("institution")),
+    "row_signatures": lambda spark, d: signed_rows(spark, d),
+    "statement_parses": lambda spark, d: parsed_statements(spark, d),
     "card_rows": lambda spark, d: cards.card_rows(scans.card_tokens(spark, d)),
     "page_transactions": lambda spark, d: parsed(scans.tokens(spark, d)),
 }
@@ -357,6 +386,20 @@ def oracles(ledger_sql: str) -> dict[str, str]:
             SELECT id, CASE WHEN json_valid(j) THEN 'read' WHEN regexp_matches(text, '\\{{.*\\}}') THEN 'invalid' ELSE 'missing' END AS state, CASE WHEN json_valid(j) THEN j END AS json FROM d""",
         "drift_rows": f"{pages.replace('WITH', 'WITH RECURSIVE', 1)}, {ANCHORS}, {SWAPS}, {PARSED}, {FOLD}, {DRIFT} SELECT doc_id, row_idx, assigned, CAST(x AS DOUBLE) AS x, CAST(to_credit AS DOUBLE) AS to_credit, CAST(to_balance AS DOUBLE) AS to_balance, CAST(from_centre AS DOUBLE) AS from_centre, CAST(nd AS DOUBLE) AS next_distance, merged, failed, cause, CAST(overlap AS DOUBLE) AS overlap FROM dc",
         "column_drift": f"{pages.replace('WITH', 'WITH RECURSIVE', 1)}, {ANCHORS}, {SWAPS}, {PARSED}, {FOLD}, {DRIFT} SELECT doc_id, count(*) AS rows, count(*) FILTER (failed) AS failures, CAST(max(overlap) AS DOUBLE) AS overlap, CASE WHEN max(overlap) > 15 THEN 'ZONE_CREATION' WHEN bool_or(failed AND merged) THEN 'ROW_GROUPING' WHEN bool_or(failed AND from_centre > 50) THEN 'OCR_DRIFT' ELSE 'UNKNOWN' END AS cause FROM dc GROUP BY doc_id",
+        "statement_parses": f"""WITH {ledger_sql}, {catalog_text.PRINTED}, {catalog_text.SOLVED}, {taken},
+            hd AS (SELECT b.doc_id, CASE WHEN b.doc_id % 6 = 0 OR n.doc_id IS NULL THEN 'NO_ROWS_EXTRACTED' WHEN g.doc_id IS NULL THEN 'ZERO_EXTRACTED_TRANSACTIONS' WHEN coalesce(ds, 0) = 0 AND coalesce(cs, 0) = 0 THEN 'ZERO_DEBIT_AND_CREDIT' END AS hard
+                   FROM (SELECT DISTINCT doc_id FROM l) b LEFT JOIN (SELECT DISTINCT doc_id FROM rows_) n USING (doc_id) LEFT JOIN got g USING (doc_id)),
+            al AS (SELECT doc_id, nth AS row_idx, d, c, v AS b, 'text' AS source FROM ox JOIN hd USING (doc_id) WHERE hard IS NULL UNION ALL SELECT doc_id, row_idx, debit_c, credit_c, balance_c, 'reply' FROM l WHERE doc_id % 12 = 0),
+            am AS (SELECT doc_id, row_idx, source, coalesce(d, 0) AS d, coalesce(c, 0) AS c, coalesce(b, 0) AS b, lag(coalesce(b, 0)) OVER w AS pb, lag(coalesce(c, 0)) OVER w AS pc, lag(coalesce(d, 0)) OVER w AS pd FROM al WINDOW w AS (PARTITION BY doc_id ORDER BY row_idx)),
+            ag AS (SELECT doc_id, any_value(source) AS source, count(*) AS n, count(*) FILTER (pb + c - d = b) AS f, count(*) FILTER (b + pc - pd = pb) AS g, sum(c) AS cs, sum(d) AS ds, arg_min(b, row_idx) AS b1, arg_min(b - c + d, row_idx) AS o1, arg_max(b, row_idx) AS b2, arg_max(b - c + d, row_idx) AS o2 FROM am GROUP BY doc_id),
+            ar AS (SELECT *, CASE WHEN g > f THEN o2 ELSE o1 END + cs - ds = CASE WHEN g > f THEN b1 ELSE b2 END AS rec FROM ag)
+            SELECT doc_id, source, n AS transactions, hard AS hard_failure, g > f AS is_descending, n - 1 - greatest(f, g) AS running_balance_issues, rec AS opening_balance_reconciled, n - 1 = greatest(f, g) AND rec AND (cs <> 0 OR ds <> 0) AS audit_passed FROM hd LEFT JOIN ar USING (doc_id)""",
+        "institution_names": "SELECT c_custkey, ['STATE BANK OF INDIA', 'STATE BANK OF INDIA', 'FEDERAL BANK', 'HDFC BANK', 'TJSB SAHAKARI BANK', 'BANK OF BARODA', 'ACME', 'UNKNOWN', 'UNLIMITED CO', 'STATE BANK OF INDIA', 'AXIS BANK', '', 'ICICI BANK'][c_custkey % 13 + 1] AS institution FROM customer",
+        "row_signatures": f"""WITH {scans.CELLS}, sg AS (SELECT id, CASE WHEN regexp_full_match(text, '[0-9.,]+') AND len(string_split(text, '.')) > 2 THEN 'MULTIPLE_DOTS' WHEN regexp_full_match(replace(text, ',', ''), '[0-9]+[.]([0-9]{{3}}|[0-9]{{5}})') THEN 'PUNCTUATION_CORRUPTION'
+                WHEN length(text) >= 2 AND 2 * length(regexp_replace(text, '[^0-9]', '', 'g')) >= length(text) AND (regexp_matches(text, '[OoIlSsBbGg][0-9]') OR regexp_matches(text, '[0-9][OoIlSsBbGg]')) THEN 'NUMERIC_SHAPE_ANOMALY' END AS r FROM cells),
+            s AS (SELECT id, 0 AS o, ['debit', 'credit', 'balance'][id % 3 + 1] AS field, r AS reason FROM sg WHERE r IS NOT NULL UNION ALL SELECT id, 1, ['debit', 'credit'][id % 3 + 1], 'COLUMN_BOUNDARY_SUSPECT' FROM cells WHERE id % 3 < 2 AND id % 40 BETWEEN 15 AND 45
+                UNION ALL SELECT id, 2, 'date', 'DATE_NARRATION_MERGE' FROM cells WHERE id % 4 = 0)
+            SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS INTEGER) AS nth, field, reason, CASE WHEN reason IN ('MULTIPLE_DOTS', 'DATE_NARRATION_MERGE') THEN 'HIGH' WHEN reason = 'PUNCTUATION_CORRUPTION' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s""",
         "rebuilt_entities": f"{close}, {ENTITIES.format(**REBUILD, **BY_LINE)} SELECT doc_id, page, line, entity, text, x0, y0, x1, y1, confidence, array_to_string(children, ' ') AS children FROM ents",
         "card_rows": f"""WITH RECURSIVE {scans.ROWS}, {scans.CARDS}, {NUMBERED}, {WORDS}, {WINDOWS}, {CARD_ROWS} SELECT doc_id, block, page, CASE WHEN reason IS NULL THEN date END AS date, CASE WHEN reason IS NULL THEN coalesce(narration, '') END AS narration,
             CASE WHEN reason IS NULL THEN d END AS debit_c, CASE WHEN reason IS NULL THEN c END AS credit_c, reason, stop_word FROM fin LEFT JOIN nar USING (doc_id, block)""",

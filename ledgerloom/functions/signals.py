@@ -27,6 +27,11 @@ ROW_ACCOUNT = r"\b(branch|ifsc|micr|open date|account no|customer id|address|ema
 DATE_AT_START = r"^\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"
 AMOUNT = r"\b\d{1,3}(?:,\d{3})*\.\d{2}\b"
 
+# Abbreviations of institutions, how grave a sign of misreading is, and how near a column's edge is doubtful.
+ABBREVIATIONS = {"BOI": "BANK OF INDIA", "SBI": "STATE BANK OF INDIA", "HDFC": "HDFC BANK", "ICICI": "ICICI BANK", "AXIS": "AXIS BANK", "TJSB": "TJSB SAHAKARI BANK"}
+SEVERITIES = {"MULTIPLE_DOTS": "HIGH", "PUNCTUATION_CORRUPTION": "MEDIUM", "NUMERIC_SHAPE_ANOMALY": "LOW", "COLUMN_BOUNDARY_SUSPECT": "LOW", "DATE_NARRATION_MERGE": "HIGH"}
+BOUNDARY = 15.0
+
 
 def any_word(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
@@ -117,8 +122,29 @@ def text_score(text: Column) -> Column:
 
 
 def institution_name(c: Column) -> Column:
-    """Upper case, brackets dropped, THE and legal suffixes dropped (also repeated ones), blanks collapsed."""
-    name = F.regexp_replace(F.upper(F.trim(c)), r"\s*\([^)]*\)", "")
-    name = F.regexp_replace(name, r"[.,]", " ")
-    name = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), r"^THE ", "")
-    return F.regexp_replace(name, r"( (LIMITED|LTD|PRIVATE|PVT|CORPORATION|CORP|CO|INC|PLC))+$", "")
+    """Upper case; of a name with brackets the part before them (TJSB wherever it stands); abbreviations are written out; THE and legal
+    suffixes go, also repeated ones. UNKNOWN for a blank name."""
+    name = F.upper(F.trim(c))
+    parts = F.filter(F.transform(F.split(name, r"[()]"), F.trim), lambda p: p != "")
+    inside = F.contains(name, F.lit("(")) & F.contains(name, F.lit(")")) & (F.size(parts) > 0)
+    name = F.when(inside, F.when(F.exists(parts, lambda p: F.contains(p, F.lit("TJSB"))), "TJSB").otherwise(F.get(parts, F.lit(0)))).otherwise(name)
+    full = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    bare = F.trim(F.regexp_replace(name, r"^THE ", ""))
+    bare = F.regexp_replace(bare, r"(?:[\s,]*\b(?:LIMITED|LTD\.?|PVT\.?|PRIVATE))*[\s,]*$", "")
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "UNKNOWN").otherwise(F.coalesce(F.try_element_at(full, name), F.try_element_at(full, bare), bare))
+
+
+def date_merge(c: Column) -> Column:
+    """Whether a token of the date zone is a date that runs on by more than three characters."""
+    text = F.trim(c)
+    return F.coalesce(F.length(text) > F.length(F.regexp_extract(text, r"^(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}\D)", 1)) + 3, F.lit(False)) & text.rlike(r"^\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}\D")
+
+
+def ocr_signatures(debit: Column, credit: Column, balance: Column, date: Column, debit_x: Column, credit_x: Column, boundary: Column) -> Column:
+    """array<struct(field, reason, severity)> of a row: signs of misreading in its amounts, sides within BOUNDARY of where debit and credit meet, and a
+    date that runs on. Empty for a clean row."""
+    severity = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
+    found = lambda field, reason: F.when(reason.isNotNull(), F.struct(F.lit(field).alias("field"), reason.alias("reason"), severity[reason].alias("severity")))
+    near = lambda x: F.when(F.abs(x - boundary) <= BOUNDARY, "COLUMN_BOUNDARY_SUSPECT")
+    cells = [found(f, F.when(c != "", ocr_signature(c))) for f, c in (("balance", balance), ("debit", debit), ("credit", credit))]
+    return F.array_compact(F.array(*cells, found("debit", near(debit_x)), found("credit", near(credit_x)), found("date", F.when(date_merge(date), "DATE_NARRATION_MERGE"))))
