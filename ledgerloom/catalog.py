@@ -187,7 +187,11 @@ LINKS = """links AS (SELECT x.doc_id, x.page AS page_a, y.page AS page_b, CASE W
     WHEN x.end_c + y.first_credit_c - y.first_debit_c - y.start_c IS NOT NULL THEN -200 ELSE 0 END + CASE WHEN abs(x.page - y.page) = 1 THEN 5 ELSE 0 END AS score FROM pg x JOIN pg y ON x.doc_id = y.doc_id AND x.page <> y.page)"""
 register("page_summaries", on_ledger(ordering.page_summaries), "SELECT * FROM pg", L, PAGES)
 register("page_links", on_ledger(lambda t: ordering.page_links(ordering.page_summaries(t))), "SELECT * FROM links", L, PAGES, LINKS)
-register("page_chain", on_ledger(lambda t: ordering.page_chain(p := ordering.page_summaries(t), ordering.page_links(p))))
+CHAIN = """
+first AS (SELECT doc_id, page FROM (SELECT doc_id, page, min(date) AS d FROM l GROUP BY doc_id, page) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, page) = 1),
+chain AS (SELECT doc_id, 1 AS place, page, [page] AS used FROM first
+    UNION ALL SELECT doc_id, place + 1, nx, list_append(used, nx) FROM (SELECT c.doc_id, c.place, any_value(c.used) AS used, arg_max(k.page_b, k.score * 100000 - k.page_b) AS nx FROM chain c JOIN links k ON k.doc_id = c.doc_id AND k.page_a = c.page AND NOT list_contains(c.used, k.page_b) GROUP BY c.doc_id, c.place))"""
+register("page_chain", on_ledger(lambda t: ordering.page_chain(p := ordering.page_summaries(t), ordering.page_links(p))), "SELECT doc_id, place, page FROM chain", f"RECURSIVE {L}", PAGES, LINKS, CHAIN)
 register("page_reversals", lambda spark, d: ordering.page_reversals(views.ledger(spark, d).withColumn("row_idx", F.when(F.col("k") % 7 == 0, -F.col("row_idx")).otherwise(F.col("row_idx")))), """SELECT doc_id, count(*) FILTER (date < pd AND page <> pp) AS reversals, count(*) FILTER (date < pd AND page <> pp) > 0 AS anomaly
     FROM (SELECT doc_id, date, page, lag(date) OVER w AS pd, lag(page) OVER w AS pp FROM (SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN -row_idx ELSE row_idx END AS row_idx) FROM l) WINDOW w AS (PARTITION BY doc_id ORDER BY row_idx)) GROUP BY doc_id""", L)
 
@@ -296,7 +300,10 @@ register("zone_candidates", lambda spark, d: detect.zone_candidates(views.amount
 register("balance_readings", lambda spark, d: detect.balance_candidates(views.amount_texts(spark, d).select(F.col("id").alias("doc_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("pos"), F.when(F.col("id") % 3 == 0, F.regexp_replace("text", r"\D", "")).otherwise(F.col("text")).alias("text"))))
 register("visual_lines", on_tokens(lambda t: entities.visual_lines(t).groupBy("doc_id", "page", "line_no").agg(F.count(F.lit(1)).alias("n"))), """SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_idx) - 1 AS INTEGER) AS line_no, n
     FROM (SELECT doc_id, page, line_idx, count(*) AS n FROM tok GROUP BY doc_id, page, line_idx)""", L, LINES, TOKENS)
-register("merged_entities", on_tokens(lambda t: entities.merge_entities(entities.visual_lines(t))))
+register("merged_entities", on_tokens(lambda t: entities.merge_entities(entities.visual_lines(t))), """SELECT doc_id, page, line_no, entity, string_agg(text, ' ' ORDER BY x0, tok_idx) AS text, min(x0) AS x0, max(x1) AS x1, count(*) AS tokens FROM (
+    SELECT *, CAST(count(*) FILTER (fresh) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, tok_idx) - 1 AS BIGINT) AS entity FROM (
+        SELECT *, coalesce(x0 - max(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) NOT BETWEEN -20 AND 25, true) AS fresh
+        FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_idx) - 1 AS INTEGER) AS line_no FROM tok))) GROUP BY doc_id, page, line_no, entity""", L, LINES, TOKENS)
 register("matched_rows", two_readings(lambda a, b: entities.match_rows(a.select("doc_id", "row_idx", F.col("narration").alias("text")), b.select("doc_id", "row_idx", F.col("narration").alias("text")))))
 
 # Text lines
