@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import ordering
+from ledgerloom.sources.work import stored
 
 
 def sane_balances(candidates: DataFrame) -> DataFrame:
@@ -27,8 +28,8 @@ def sane_balances(candidates: DataFrame) -> DataFrame:
 
 def in_page_order(txns: DataFrame) -> DataFrame:
     """Ascending statements; of more than three pages, under 90 % continuity and dates that go back at a page's beginning,
-    along the repaired order of pages."""
-    ordered = L.ascending(txns)
+    along the repaired order of pages. The ascending rows are stored, as three questions are asked of them."""
+    ordered = stored(L.ascending(txns), "ascending")
     pages = ordered.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).where("pages > 3")
     broken = L.running_balance_audit(ordered).where("continuity < 90").select("doc_id")
     turned = ordering.page_reversals(ordered).where("anomaly").select("doc_id")
@@ -40,8 +41,8 @@ def in_page_order(txns: DataFrame) -> DataFrame:
 def statement_confidence(txns: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Per statement: continuity .40, reconciliation .35 and direction .15 of the healed rows, completeness .10, after the repair
     of page order; over 95 AUTO_APPROVE, from 80 REVIEW, else MANUAL_CHECK. Rounds half to even. expected(doc_id, expected) has
-    the rows that statements should have; without it they are complete."""
-    healed = L.heal_directions(in_page_order(txns))
+    the rows that statements should have; without it they are complete. The healed rows are stored for the three audits."""
+    healed = stored(L.heal_directions(in_page_order(txns)), "healed")
     keep = ["doc_id", "continuity", "rows"]
     scores = L.running_balance_audit(healed).select(*keep).join(L.reconcile(healed).select("doc_id", "reconciliation"), "doc_id").join(L.direction_score(healed).select("doc_id", "direction_score"), "doc_id")
     complete = F.lit(100.0)
