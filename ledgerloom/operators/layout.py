@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page")
@@ -27,22 +27,24 @@ def y_tolerances(tokens: DataFrame) -> DataFrame:
 
 def detect_rows(tokens: DataFrame) -> DataFrame:
     """Adds row_no to tokens: by y centre and x, a new row begins beyond the tolerance from the row's FIRST token, which a
-    difference to the previous token can't express; so each page (bounded by what a page prints) is folded in the JVM."""
+    difference to the previous token can't express; so each page (bounded by what a page prints) is folded in the JVM.
+    Tokens travel with their page, so one exchange does for tolerance, fold and result."""
     centre = (F.col("y0") + F.col("y1")) / 2.0
-    pages = tokens.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(centre.alias("yc"), "x0", "tok_idx"))).alias("t")).join(y_tolerances(tokens), list(PAGE))
-    state = "struct<anchor:double,row:int,out:array<struct<tok_idx:int,row_no:int>>>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<tok_idx:int,row_no:int>>").alias("out")).cast(state)
-
-    def step(tol):
-        def of(acc, t):
-            new = acc["anchor"].isNull() | (F.abs(t["yc"] - acc["anchor"]) > tol)
-            row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-            return F.struct(F.when(new, t["yc"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.array_append(acc["out"], F.struct(t["tok_idx"].cast("int").alias("tok_idx"), row.alias("row_no"))).alias("out")).cast(state)
-
-        return of
-
-    rows = pages.select(*PAGE, F.explode(F.aggregate("t", start, step(F.col("tolerance")))["out"]).alias("r")).select(*PAGE, "r.tok_idx", "r.row_no")
-    return tokens.join(rows, [*PAGE, "tok_idx"])
+    item = F.struct(centre.cast("double").alias("yc"), "x0", "tok_idx", F.struct(*[F.col(c) for c in tokens.columns]).alias("token"))
+    heights = F.sort_array(F.collect_list(F.col("y1") - F.col("y0")))
+    pages = tokens.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("t"), heights.alias("h"))
+    tolerance = F.greatest(F.lit(3.0), F.get("h", F.floor(F.size("h") / 2).cast("int")) * 0.5)
+    state = "struct<anchor:double,row:int,out:array<int>>"
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("out")).cast(state)
+
+    def step(acc: Column, yc: Column) -> Column:
+        new = acc["anchor"].isNull() | (F.abs(yc - acc["anchor"]) > F.col("tolerance"))
+        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
+        return F.struct(F.when(new, yc).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.array_append(acc["out"], row).alias("out")).cast(state)
+
+    numbered = pages.withColumn("tolerance", tolerance).withColumn("rows", F.aggregate(F.transform("t", lambda t: t["yc"]), start, step)["out"])
+    each = F.zip_with("t", "rows", lambda t, r: F.struct(t["token"].alias("token"), r.alias("row_no")))
+    return numbered.select(F.explode(each).alias("o")).select("o.token.*", "o.row_no")
 
 
 def row_boxes(rows: DataFrame) -> DataFrame:
