@@ -5,12 +5,11 @@ Centroids start as the k vectors with the smallest sha256 of `<seed>:<vec_id>` i
 the nearest centroid (squared Euclidean distance, ties to the smaller number) and moves each centroid that has vectors to their
 componentwise floor(sum / count).
 
-Screening: a vector and a centroid are cut into segments. For each segment of a vector its sum and the norm of what is left
-after the mean is taken off are precomputed and stored: the vector in compressed form. For a segment of n components the inner
-product is sum * sum / n plus the product of the remainders, which by Cauchy-Schwarz is no more than the product of their
-norms, so |v|^2 + |c|^2 - 2 * (all of it) is a lower bound of the distance, made safe against rounding. The centroid with the
-smallest bound gets an exact distance first; then only centroids whose bound doesn't exceed the best exact distance get theirs,
-in integers.
+Screening: a vector is stored in compressed form too, a byte for each component in steps of its own, with the norm of what the
+bytes leave out in each of its segments. The inner product with a centroid is that of the bytes plus that of the remainders, which
+by Cauchy-Schwarz is no more than the sum over segments of the products of norms. So |v|^2 + |c|^2 - 2 * (both) is a lower bound of
+the distance, made safe against rounding. The centroid with the smallest bound gets an exact distance first; then only centroids
+whose bound doesn't exceed the best exact distance get theirs, in integers.
 
 Work: kept vectors are written once, in compressed form too. A round reads them, and each task returns a count and sums for
 each of the k centroids (k is a parameter, so what meets on the driver is k rows and centroids travel with the task: both are
@@ -53,13 +52,17 @@ def quantised(vectors: DataFrame, dims: int, scale: int) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("q"))
 
 
-def segments(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of integers: the compressed form (for each segment the sum over the root of its length, then the norm of the remainder)
-    and the square of the whole norm."""
-    parts = q.reshape(len(q), -1, SEGMENT).astype(np.float64)
-    sums = parts.sum(2)
-    rest = parts - sums[:, :, None] / SEGMENT
-    return sums / SEGMENT**0.5, np.sqrt((rest * rest).sum(2)), (parts * parts).sum((1, 2))
+def norms(x: np.ndarray) -> np.ndarray:
+    """The norm of each segment of each row."""
+    return np.sqrt((x * x).reshape(len(x), -1, SEGMENT).sum(2))
+
+
+def coded(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of integers: bytes, and (step, square of the norm, norms of the segments' remainders)."""
+    x = q.astype(np.float64)
+    step = np.maximum(np.abs(x).max(1, initial=1.0), 1.0) / 127
+    codes = np.rint(x / step[:, None])
+    return codes.astype(np.int8), np.column_stack([step, (x * x).sum(1), norms(x - codes * step[:, None])])
 
 
 def padded(q: np.ndarray) -> np.ndarray:
@@ -72,9 +75,9 @@ def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if n:
             q = padded(batch.column(1).flatten().to_numpy().reshape(n, -1))
-            sums, rests, squares = segments(q)
-            form = np.hstack([sums, rests, squares[:, None]]).astype("<f8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in q.astype("<i4")], pa.binary()), pa.array([r.tobytes() for r in form], pa.binary())], ["vec_id", "q", "form"])
+            codes, form = coded(q)
+            columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (q.astype("<i4"), codes, form.astype("<f8"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["vec_id", "q", "codes", "form"])
 
 
 def rows_of(column: pa.Array, kind: str) -> np.ndarray:
@@ -86,20 +89,25 @@ class Screen:
 
     def __init__(self, centroids: np.ndarray):
         self.centroids = padded(centroids)
-        self.sums, self.rests, self.squares = segments(self.centroids)
+        self.plain = self.centroids.astype(np.float64)
+        self.norms, self.squares = norms(self.plain), (self.plain * self.plain).sum(1)
         self.pairs = self.exact = 0
 
     def distances(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
         d = q - self.centroids[c]
         return (d * d).sum(1)
 
-    def nearest(self, q: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, codes: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """No more than the distances of vectors to centroids."""
+        inner = (codes @ self.plain.T) * form[:, :1] + form[:, 2:] @ self.norms.T
+        return (form[:, 1:2] + self.squares) * (1 - SLACK) - 2 * inner
+
+    def nearest(self, q: np.ndarray, codes: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the nearest centroids and the exact distances. q: int64."""
-        s = self.sums.shape[1]
-        norms = form[:, -1:] + self.squares
-        bound = norms * (1 - SLACK) - 2 * (form[:, :s] @ self.sums.T + form[:, s : 2 * s] @ self.rests.T)
+        bound = self.bounds(codes, form)
         best = bound.argmin(1)
         least = self.distances(q, best)
+        bound[np.arange(len(q)), best] = np.inf
         row, other = np.nonzero(bound <= least[:, None])
         self.pairs, self.exact = self.pairs + bound.size, self.exact + len(row) + len(q)
         far = np.full(bound.shape, np.iinfo(np.int64).max)
@@ -120,7 +128,7 @@ def moved(centroids: np.ndarray):
         for batch in batches:
             if batch.num_rows:
                 q = rows_of(batch.column(0), "<i4").astype(np.int64)
-                cluster, _ = screen.nearest(q, rows_of(batch.column(1), "<f8"))
+                cluster, _ = screen.nearest(q, rows_of(batch.column(1), "<i1").astype(np.float64), rows_of(batch.column(2), "<f8"))
                 count += np.bincount(cluster, minlength=k)
                 order = np.argsort(cluster, kind="stable")
                 held, first = np.unique(cluster[order], return_index=True)
@@ -138,17 +146,17 @@ def assigned(centroids: np.ndarray):
         screen = Screen(centroids)
         for batch in batches:
             if batch.num_rows:
-                cluster, distance = screen.nearest(rows_of(batch.column(1), "<i4").astype(np.int64), rows_of(batch.column(2), "<f8"))
+                cluster, distance = screen.nearest(rows_of(batch.column(1), "<i4").astype(np.int64), rows_of(batch.column(2), "<i1").astype(np.float64), rows_of(batch.column(3), "<f8"))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster, pa.int32()), pa.array(distance, pa.int64())], ["vec_id", "cluster", "distance"])
 
     return run
 
 
 def fit(vectors: DataFrame, first: np.ndarray, rounds: int) -> np.ndarray:
-    """Centroids after `rounds` rounds over stored vectors (vec_id, q, form)."""
+    """Centroids after `rounds` rounds over stored vectors (vec_id, q, codes, form)."""
     centroids, dims = first, first.shape[1]
     for _ in range(rounds):
-        parts = vectors.select("q", "form").mapInArrow(moved(centroids), "cluster int, n long, sums array<bigint>")
+        parts = vectors.select("q", "codes", "form").mapInArrow(moved(centroids), "cluster int, n long, sums array<bigint>")
         sums = [F.sum(F.element_at("sums", i + 1).cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)]
         centroids = centroids.copy()
         for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *sums).collect():  # k rows at most
@@ -159,7 +167,7 @@ def fit(vectors: DataFrame, first: np.ndarray, rounds: int) -> np.ndarray:
 def cluster(spark: SparkSession, vectors: DataFrame, *, k: int = 40, rounds: int = 5, dims: int = DIMS, scale: int = SCALE, seed: str = "2") -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every kept vector of vectors(vec_id, embedding)."""
     prepare(spark)
-    kept = stored(spark, quantised(vectors, dims, scale).mapInArrow(compressed, "vec_id long, q binary, form binary"), "vectors")
+    kept = stored(spark, quantised(vectors, dims, scale).mapInArrow(compressed, "vec_id long, q binary, codes binary, form binary"), "vectors")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     # k rows. Bytes of q order equal ids: any fixed order of components will do.
     first = kept.select("q", digest.alias("digest")).orderBy("digest", F.hex("q")).limit(k).collect()

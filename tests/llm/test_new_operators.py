@@ -147,13 +147,17 @@ def test_bounds_are_bounds_and_spare_distances():
     centers = rnd.integers(-1000, 1000, (40, 64))
     q = centers[rnd.integers(0, 40, 3000)] + rnd.integers(-60, 60, (3000, 64))
     screen = norm_kmeans.Screen(centers)
-    sums, rests, squares = norm_kmeans.segments(q)
-    exact = ((q[:, None, :] - centers) ** 2).sum(2)
-    bound = squares[:, None] + screen.squares - 2 * (sums @ screen.sums.T + rests @ screen.rests.T)
-    assert (bound <= exact + 1e-6).all()
-    cluster, distance = screen.nearest(q, np.hstack([sums, rests, squares[:, None]]))
-    assert (cluster == exact.argmin(1)).all() and (distance == exact.min(1)).all()
-    assert screen.exact < screen.pairs / 4
+    for q in (q, rnd.integers(-(1 << 27), 1 << 27, (3000, 64)), rnd.integers(-1, 2, (3000, 64)), np.zeros((2, 64), np.int64)):
+        screen = norm_kmeans.Screen(centers)
+        codes, form = norm_kmeans.coded(q)
+        exact = ((q[:, None, :] - centers) ** 2).sum(2)
+        assert (screen.bounds(codes.astype(float), form) <= exact).all()
+        cluster, distance = screen.nearest(q, codes.astype(float), form)
+        assert (cluster == exact.argmin(1)).all() and (distance == exact.min(1)).all()
+    screen = norm_kmeans.Screen(centers)
+    q = rnd.integers(-60, 60, (3000, 64))
+    screen.nearest(q, *(x.astype(float) for x in norm_kmeans.coded(q)))
+    assert screen.exact < screen.pairs / 10
 
 
 # 13
