@@ -77,7 +77,7 @@ def zigzag() -> np.ndarray:
 
 
 def tables() -> dict:
-    cache = worker_cache()
+    cache = worker_cache("avi_clips")
     if "jpeg" not in cache:
         k, x = np.arange(8)[:, None], np.arange(8)[None, :]
         basis = np.where(k == 0, np.sqrt(0.125), 0.5 * np.cos((2 * x + 1) * k * np.pi / 16))

@@ -131,9 +131,9 @@ class Plan:
                 room = size
 
 
-def pieces_of(tokenizer: str, capacity: int, with_ids: bool):
+def pieces_of(tokenizer: str, capacity: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer, REMEMBERED), np.zeros(capacity + 1, np.int64)
+        part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer, remembered), np.zeros(capacity + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at, texts in slices(batch.column(1).to_pylist(), CHARS):
@@ -177,12 +177,12 @@ def placed(runs: dict[int, list[tuple[int, int, int, int]]]):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): a row for each piece; with_ids adds the ids as bytes."""
     prepare(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     more = ", ids binary" * with_ids
-    cut = slim.mapInArrow(pieces_of(tokenizer, capacity, with_ids), f"part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long{more}")
+    cut = slim.mapInArrow(pieces_of(tokenizer, capacity, with_ids, remembered), f"part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long{more}")
     pieces = stored(spark, cut, "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     plan = Plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -94,10 +94,14 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker."""
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker, until another operator's work comes to that worker: workers live through many stages,
+    and the memories of all of them together would not fit."""
     module = sys.modules.setdefault("_ledgerloom_worker_cache", types.ModuleType("_ledgerloom_worker_cache"))
-    return module.__dict__.setdefault("held", {})
+    held = module.__dict__.setdefault("held", {})
+    if owner not in held:
+        held.clear()
+    return held.setdefault(owner, {})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

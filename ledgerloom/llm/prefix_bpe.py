@@ -42,8 +42,8 @@ from ledgerloom.llm.tokens import Memory, byte_letters, packed, slices
 
 #: Fixed: the pre-token pattern of byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters handled at once, and pairs of tokens remembered.
-CHARS, PAIRS = 1 << 20, 1 << 20
+#: Characters handled at once, and pairs of tokens and pre-tokens remembered.
+CHARS, PAIRS, REMEMBERED = 1 << 20, 1 << 20, 400_000
 NEVER = 1 << 40
 
 
@@ -88,12 +88,12 @@ class PrefixBPE:
                 self.matches.add_word(token, (i, len(token)))
         self.matches.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memory = Memory(lambda piece: packed(self.ids_of(self.lettered(piece))))
+        self.memory = Memory(lambda piece: packed(self.ids_of(self.lettered(piece))), REMEMBERED)
         self.same: dict[str, bool] = {}
 
     @staticmethod
     def of(path: str) -> PrefixBPE:
-        cache = worker_cache()
+        cache = worker_cache("prefix_bpe")
         if ("prefix_bpe", path) not in cache:
             cache["prefix_bpe", path] = PrefixBPE(path)
         return cache["prefix_bpe", path]
@@ -147,9 +147,10 @@ class PrefixBPE:
     def plain(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
         if not text.isascii():
-            for c in set(text).difference(self.same):
+            chars = set(text)
+            for c in chars.difference(self.same):
                 self.same[c] = self.agrees(c)
-            if not all(map(self.same.__getitem__, set(text))):
+            if not all(map(self.same.__getitem__, chars)):
                 return b"".join(packed(self.ids_of(p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
         return b"".join(map(self.memory.__getitem__, self.pre_tokens(text)))
 

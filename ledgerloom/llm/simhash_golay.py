@@ -98,7 +98,7 @@ def syndrome(x: np.ndarray) -> np.ndarray:
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """patterns[s, :count[s]]: error patterns from a word of syndrome s to its keys' codewords."""
-    cache = worker_cache()
+    cache = worker_cache("simhash_golay")
     if "golay" not in cache:
         patterns, count = np.zeros((1 << (N - K), 6), np.uint32), np.zeros(1 << (N - K), np.int64)
         for weight in range(5):

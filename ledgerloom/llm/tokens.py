@@ -86,7 +86,7 @@ class Encoder:
 
     @staticmethod
     def of(path: str, remembered: int = REMEMBERED) -> Encoder:
-        cache = worker_cache()
+        cache = worker_cache("tokens")
         if ("encoder", path, remembered) not in cache:
             cache["encoder", path, remembered] = Encoder(path, remembered)
         return cache["encoder", path, remembered]
