@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(spark, docs, TOKENIZER, capacity=1024)
+    return pack(spark, docs, TOKENIZER, capacity=1024, remembered=200_000)
 
 
 STAGES = [("toxicity", clean), ("exact dedup", exact), ("near dedup", near), ("mix", mixed), ("pack", packed)]
