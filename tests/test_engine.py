@@ -396,3 +396,39 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 150
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def expressions(df, name):
+    """How often a function stands in the plan of df."""
+    return df._jdf.queryExecution().analyzed().toString().count(f"{name}(")
+
+
+def test_readings_are_computed_once(spark):
+    cells = spark.createDataFrame([("67882.00L128",)], "text string")
+    best = cells.select(readings.select_best(readings.candidates(readings.hypotheses(F.col("text")))).alias("r"))
+    assert expressions(best, "regexp_replace") <= 10
+    assert best.first()["r"]["value"] == 67882.0
+
+
+def test_page_chain_is_folded_in_the_jvm(spark):
+    days = [None, "2024-01-05", "2024-01-01", "2024-01-09"]
+    pages = spark.createDataFrame([(1, p, d) for p, d in enumerate(days, 1)] + [(2, 7, None)], "doc_id long, page int, start_date string")
+    score = {(3, 1): 5, (3, 2): 5, (3, 4): 1, (1, 2): -300, (1, 4): -200}
+    links = spark.createDataFrame([(1, a, b, score.get((a, b), 0)) for a in range(1, 5) for b in range(1, 5) if a != b], "doc_id long, page_a int, page_b int, score int")
+    chain = ordering.page_chain(pages, links)
+    assert "Pandas" not in chain._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, chain.collect())) == [(1, 1, 3), (1, 2, 1), (1, 3, 4), (1, 4, 2), (2, 1, 7)]
+
+
+def test_equal_rows_are_matched_by_a_join(spark):
+    from time import perf_counter
+
+    n = 2500
+    one = [(1, i, f"UPI row number {i // 2}") for i in range(n)] + [(2, 0, "Salary for May"), (2, 1, "rent"), (3, 0, "x")]
+    two = [(1, i, f"upi ROW number {i // 2}") for i in range(n)] + [(2, 0, "rent paid"), (2, 5, "salary for Mai"), (2, 6, None)]
+    began = perf_counter()
+    rows = entities.match_rows(*[spark.createDataFrame(r, "doc_id long, row_idx int, text string") for r in (one, two)]).collect()
+    assert perf_counter() - began < 30
+    assert sorted((r["left_idx"], r["right_idx"]) for r in rows if r["doc_id"] == 1) == [(i, i) for i in range(n)]
+    assert sorted((r["left_idx"], r["right_idx"], round(r["ratio"], 2)) for r in rows if r["doc_id"] == 2) == [(0, 5, 0.93), (1, 0, 0.8)]
+    assert not [r for r in rows if r["doc_id"] == 3]
