@@ -322,7 +322,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, words: int = 5)
         common, n = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
         return stored(spark, both.where(sum(SIMILARITY) * common >= SIMILARITY[0] * n).select("a", "b"), "shingle-links")
 
-    group = alike(spark, prints.select(F.explode("keys").alias("key"), "h"), fetched, verified)
+    group = alike(spark, prints.select(F.explode("keys").alias("key"), "h"), fetched, verified, every=True)
     linked = nodes.join(group, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "least")
     linked = stored(spark, linked, "shingle-nodes")
     least = stored(spark, linked.groupBy("root").agg(F.min("least").alias("component_id")), "shingle-least")

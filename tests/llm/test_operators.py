@@ -718,6 +718,21 @@ def test_buckets_of_many_unlike_nodes(spark):
     assert sum(seen) < 6000
 
 
+def test_every_pair_of_a_crowded_bucket_meets(spark):
+    from ledgerloom.llm import buckets
+
+    # One key is all that 300 nodes share; partners have nothing else in common, and one link is of members of two groups.
+    links = spark.createDataFrame([(3, 250), (17, 40), (17, 41), (40, 299), (120, 121), (41, 120)], "a long, b long")
+
+    def verified(pairs, held):
+        return buckets.stored(spark, pairs.join(links, ["a", "b"]), "links")
+
+    rows = spark.createDataFrame([(7, h) for h in range(300)] + [(8, 17), (8, 40)], "key long, h long")
+    got = {r["node"]: r["root"] for r in buckets.alike(spark, rows, lambda nodes: buckets.stored(spark, nodes, "nodes"), verified, every=True).collect()}
+    assert set(got) == {3, 250, 17, 40, 41, 299, 120, 121}
+    assert got[3] == got[250] and len({got[h] for h in (17, 40, 41, 299, 120, 121)}) == 1 and len(set(got.values())) == 2
+
+
 def test_copies_around_an_original_are_one_group(spark):
     from ledgerloom.llm import buckets
 
