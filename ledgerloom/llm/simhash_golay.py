@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.buckets import alike
@@ -48,6 +48,8 @@ CHUNK = 1 << 16
 #: A similarity of 4 / 5, as integers; sections of a set.
 SIMILARITY = (4, 5)
 RINGS, POINTS, SECTION = 4, 10, 6
+#: Bits of a set's sketch, of which two sets of a pair differ in no more than in shingles.
+SKETCH = 1024
 PLACES = (np.arange(POINTS, dtype=object) * (1 << 64) // POINTS).astype(np.uint64)
 
 
@@ -286,18 +288,39 @@ def printed(words: int):
 
 
 def sets_of(words: int):
-    """(text) -> (h, shingles)."""
+    """(text) -> (h, shingles, sketch): a bit of the sketch is whether an odd number of shingles fall on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 s = np.unique(shingle_hashes(t, words))
                 h = xxhash.xxh64_intdigest(s.tobytes(), 42)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([h], np.uint64).view(np.int64)), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["h", "shingles"])
+                odd = np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([h], np.uint64).view(np.int64)), pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([odd], pa.list_(pa.int64()))], names=["h", "shingles", "sketch"])
 
     return run
 
 
+def rare_shingles(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """crowd(h, root), sets(h, shingles) -> (key, h, root, n, at): of each set the shingles that only SIMILARITY of it leaves over, rarest first; n is the set's
+    size and `at` the shingle's place. Sets of that similarity share one of these at least, as the others are too few.
+
+    Shingles of one group alone can't be common to two, so they count as the rarest and have no row. What many sets hold, as a passage, is last."""
+    each = crowd.join(sets, "h").select("h", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "c")
+    common = each.join(often, "key").groupBy("h", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("common"))
+    left = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]).cast("int") + 1
+    alone = F.col("n") - F.size("common")
+    some = common.where(left > alone).select("h", "root", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), left - alone)).alias("i", "s"))
+    return some.select(F.col("s.key").alias("key"), "h", "root", "n", (F.col("alone") + F.col("i")).alias("at"))
+
+
+def may_be_similar() -> Column:
+    """Whether two sets whose first common one of rare_shingles is a shingle can share enough: no more than the shorter rest."""
+    rest = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    return sum(SIMILARITY) * rest >= SIMILARITY[0] * (F.col("n") + F.col("n_b"))
+
+
 def similar_components(spark: SparkSession, docs: DataFrame, *, words: int = 5) -> DataFrame:
     """(doc_id, component_id): groups of documents whose shingle sets have a Jaccard similarity of SIMILARITY or more, or a
     chain of such links; one row per row of docs."""
@@ -309,20 +332,24 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, words: int = 5)
     def fetched(ends: DataFrame) -> DataFrame:
         places = nodes.join(ends, "h").select(F.xxhash64("least").alias("g"))
         tried = rows.withColumn("g", F.xxhash64("doc_id")).join(hash_filter(places, "g"), in_filter("g")).select("text")
-        found = tried.mapInArrow(sets_of(words), "h long, shingles array<long>").join(hash_filter(ends, "h"), in_filter("h"))
-        return stored(spark, found.groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        found = tried.mapInArrow(sets_of(words), "h long, shingles array<long>, sketch array<long>").join(hash_filter(ends, "h"), in_filter("h"))
+        return stored(spark, found.groupBy("h").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")).withColumn("n", F.size("shingles")), "shingle-sets")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sized = pairs
+        """Sizes and sketches first: a pair of the similarity differs in a ninth of its shingles at most, and whole sets are sent for few others."""
+        tried = pairs
         for end in ("a", "b"):
-            sized = sized.join(nodes.select(F.col("h").alias(end), F.col("n").alias(f"n_{end}")), end)
-        sized = sized.where(SIMILARITY[1] * F.least("n_a", "n_b") >= SIMILARITY[0] * F.greatest("n_a", "n_b")).select("a", "b")
+            tried = tried.join(sets.select(F.col("h").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+        differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, x: n + x)
+        sized = SIMILARITY[1] * F.least("n_a", "n_b") >= SIMILARITY[0] * F.greatest("n_a", "n_b")
+        tried = tried.where(sized & (sum(SIMILARITY) * differ <= (SIMILARITY[1] - SIMILARITY[0]) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+        sized = stored(spark, tried, "shingle-pairs")
         both = sized.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("set_b")), "b")
         both = both.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("set_a")), "a")
         common, n = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
         return stored(spark, both.where(sum(SIMILARITY) * common >= SIMILARITY[0] * n).select("a", "b"), "shingle-links")
 
-    group = alike(spark, prints.select(F.explode("keys").alias("key"), "h"), fetched, verified, every=True)
+    group = alike(spark, prints.select(F.explode("keys").alias("key"), "h"), fetched, verified, every=True, rarely=(rare_shingles, may_be_similar()))
     linked = nodes.join(group, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "least")
     linked = stored(spark, linked, "shingle-nodes")
     least = stored(spark, linked.groupBy("root").agg(F.min("least").alias("component_id")), "shingle-least")

@@ -733,6 +733,44 @@ def test_every_pair_of_a_crowded_bucket_meets(spark):
     assert got[3] == got[250] and len({got[h] for h in (17, 40, 41, 299, 120, 121)}) == 1 and len(set(got.values())) == 2
 
 
+def test_a_common_passage_makes_no_pairs_of_all_documents(spark, monkeypatch):
+    """300 documents share sections of a passage; the only near copies among them are found, whole sets are joined for few pairs."""
+    rnd, rows = random.Random(5), []
+    word = lambda: "".join(rnd.choice(string.ascii_lowercase) for _ in range(6))
+    passage = [word() for _ in range(60)]
+    for i in range(300):
+        rows.append((i, " ".join(passage + [word() for _ in range(rnd.randint(20, 40))])))
+    rows += [(500 + i, f"{rows[i][1]} {word()}") for i in (3, 150, 299)]
+    met, alike = [], simhash_golay.alike
+
+    def counted(spark, keys, fetched, verified, **more):
+        def counting(pairs, held):
+            met.append(pairs.count())
+            return verified(pairs, held)
+
+        return alike(spark, keys, fetched, counting, **more)
+
+    monkeypatch.setattr(simhash_golay, "alike", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_golay.similar_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 500 if i >= 500 else i for i, _ in rows}
+    # The last pass, in which all that share a bucket would be 44,850 pairs.
+    assert met[-1] < 12_000
+
+
+def test_rare_shingles_hold_one_of_each_similar_pair(spark):
+    from ledgerloom.llm import buckets
+
+    rnd, sets = random.Random(8), {}
+    for h in range(0, 120, 2):
+        base = set(range(30)) | {rnd.randrange(100, 10_000) for _ in range(rnd.randint(1, 60))}
+        sets[h], sets[h + 1] = base, set(rnd.sample(sorted(base), len(base) - rnd.randint(0, len(base) // 5))) | {rnd.randrange(100, 10_000) for _ in range(rnd.randint(0, 4))}
+    crowd = spark.createDataFrame([(h, h) for h in sets], "h long, root long")
+    keyed = buckets.stored(spark, simhash_golay.rare_shingles(crowd, spark.createDataFrame([(h, sorted(s)) for h, s in sets.items()], "h long, shingles array<long>")), "rare")
+    got = {(r["a"], r["b"]) for r in buckets.dealt(keyed, buckets.unlike(keyed), simhash_golay.may_be_similar()).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert 20 < len(want) and want <= got and len(got) < 2 * len(want)
+
+
 def test_copies_around_an_original_are_one_group(spark):
     from ledgerloom.llm import buckets
 
