@@ -432,3 +432,13 @@ def test_equal_rows_are_matched_by_a_join(spark):
     assert sorted((r["left_idx"], r["right_idx"]) for r in rows if r["doc_id"] == 1) == [(i, i) for i in range(n)]
     assert sorted((r["left_idx"], r["right_idx"], round(r["ratio"], 2)) for r in rows if r["doc_id"] == 2) == [(0, 5, 0.93), (1, 0, 0.8)]
     assert not [r for r in rows if r["doc_id"] == 3]
+
+
+def test_tokens_of_pages_are_dealt_once(spark):
+    from ledgerloom.operators import columns, pagetext
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([(1, 1, i, "a", 10 * i, 10 * i + 8, 5, 13, 1000) for i in range(3)], "doc_id long, page int, tok_idx int, text string, x0 int, x1 int, y0 int, y1 int, width int")
+    assert plan(pagetext.grid_lines(pagetext.without_sidebars(words))).count("Exchange hashpartitioning") == 1
+    rows, zones = words.withColumn("row_no", words.tok_idx), spark.createDataFrame([(1, "date", 0.0, 5.0)], "doc_id long, zone string, lo double, hi double")
+    assert plan(columns.anchored_twice(rows, zones)).count("Aggregate(key") <= 2
