@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ledgerloom.catalog import ORACLES, QUERIES
 from ledgerloom.functions import dates, money, replies, signals
-from ledgerloom.operators import cards, columns, compare, confidence, declarative, entities, geometry, layout, ledger, ordering, pagetext, readings, recovery, solver
+from ledgerloom.operators import cards, columns, compare, confidence, declarative, detect, entities, geometry, layout, ledger, ordering, pagetext, readings, recovery, solver
 from ledgerloom.plans import views
 from ledgerloom.sources import readers
 from ledgerloom.streaming import audits
@@ -442,3 +442,12 @@ def test_tokens_of_pages_are_dealt_once(spark):
     assert plan(pagetext.grid_lines(pagetext.without_sidebars(words))).count("Exchange hashpartitioning") == 1
     rows, zones = words.withColumn("row_no", words.tok_idx), spark.createDataFrame([(1, "date", 0.0, 5.0)], "doc_id long, zone string, lo double, hi double")
     assert plan(columns.anchored_twice(rows, zones)).count("Aggregate(key") <= 2
+
+
+def test_suppressed_texts_keep_no_entry_for_texts_of_one_page(spark):
+    """Texts of one page go by a filter over sorted windows, before any aggregate by text."""
+    rows = [(1, p, i, t, 10 * i, 10 * i + 8) for p in (1, 2, 3) for i, t in enumerate(["Bank of X", f"row {p}", "Page 1 of 3".replace("1", str(p)), " "])]
+    found = layout.suppressed_texts(spark.createDataFrame(rows, "doc_id int, page int, tok_idx int, text string, y0 int, y1 int").repartition(2))
+    assert sorted((r["norm"], r["score"]) for r in found.collect()) == [("Bank of X", 7), ("PAGE_N", 5)]
+    plan = optimized(found)
+    assert "Join" not in plan and plan.index("Aggregate [") < plan.index("Window [") and plan.count("Aggregate [") == 1
