@@ -451,3 +451,14 @@ def test_suppressed_texts_keep_no_entry_for_texts_of_one_page(spark):
     assert sorted((r["norm"], r["score"]) for r in found.collect()) == [("Bank of X", 7), ("PAGE_N", 5)]
     plan = optimized(found)
     assert "Join" not in plan and plan.index("Aggregate [") < plan.index("Window [") and plan.count("Aggregate [") == 1
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_balance_candidates_parse_a_text_once(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "1.234.56"), (1, 0, 1, "123456"), (1, 0, 2, "n/a")], "doc_id int, row_idx int, pos int, text string").repartition(2)
+    found = detect.balance_candidates(cells)
+    assert sorted((r["pos"], r["value"]) for r in found.collect()) == [(0, 1234.56), (2, 123456.0), (3, 1234.56)]
+    assert optimized(found).count("(?=[^.]{0,3}") == 2
