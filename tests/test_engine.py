@@ -462,3 +462,10 @@ def test_balance_candidates_parse_a_text_once(spark):
     found = detect.balance_candidates(cells)
     assert sorted((r["pos"], r["value"]) for r in found.collect()) == [(0, 1234.56), (2, 123456.0), (3, 1234.56)]
     assert optimized(found).count("(?=[^.]{0,3}") == 2
+
+
+def test_header_zones_number_rows_once(spark):
+    words = words_of(spark, [("Date", 20, 10), ("Debit", 300, 10), ("Balance", 500, 11), ("Date", 20, 40), ("Balance", 90, 40)]).repartition(2)
+    found = layout.header_zones(layout.detect_rows(words))
+    assert sorted((r["zone"], r["lo"], r["hi"]) for r in found.collect()) == [("balance", 418.0, 9999.0), ("date", 0.0, 173.5), ("debit", 173.5, 418.0)]
+    assert optimized(found).count("collect_list(struct(yc") == 1
