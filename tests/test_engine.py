@@ -469,3 +469,9 @@ def test_header_zones_number_rows_once(spark):
     found = layout.header_zones(layout.detect_rows(words))
     assert sorted((r["zone"], r["lo"], r["hi"]) for r in found.collect()) == [("balance", 418.0, 9999.0), ("date", 0.0, 173.5), ("debit", 173.5, 418.0)]
     assert optimized(found).count("collect_list(struct(yc") == 1
+
+
+def test_page_seeds_shuffle_tokens_no_more(spark):
+    """A page's tokens stay where its statement's rows are: the ledger's exchange is the only one."""
+    plan = QUERIES["page_seeds"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
