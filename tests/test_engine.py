@@ -475,3 +475,10 @@ def test_page_seeds_shuffle_tokens_no_more(spark):
     """A page's tokens stay where its statement's rows are: the ledger's exchange is the only one."""
     plan = QUERIES["page_seeds"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_discovery_looks_for_a_sign_once(spark):
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 8, "01/02/2024 UPI rent 1,200.00 4,000.00"), (1, 1, 1, 40, 48, "Account branch")], "doc_id int, page int, row_no int, y0 int, y1 int, text string").repartition(2)
+    found = layout.discover_blocks(boxes)
+    assert [(r["rows"], r["score"]) for r in found.collect()] == [(1, 16)]
+    assert optimized(found).count("IFSC|MICR|CUSTOMER") == 1
