@@ -482,3 +482,16 @@ def test_discovery_looks_for_a_sign_once(spark):
     found = layout.discover_blocks(boxes)
     assert [(r["rows"], r["score"]) for r in found.collect()] == [(1, 16)]
     assert optimized(found).count("IFSC|MICR|CUSTOMER") == 1
+
+
+def test_card_tokens_carry_their_readings(spark):
+    rows = layout.detect_rows(words_of(spark, [("01/02/2024", 20, 10), ("SHOP", 100, 10), ("1,234.50CR", 305, 10)]))
+    cells, _ = cards.block_tokens(rows, columns.zones(rows))
+    assert [(r["text"], r["value"], r["marked"], r["bare"]) for r in cells.orderBy("pos").collect()][1:] == [("SHOP", None, None, None), ("1,234.50CR", 123450, 123450, 123450)]
+
+
+def test_plain_amounts_are_read_like_others(spark):
+    cases = ["1,234.56", "-12.00", "1,,2.34", "1,.50", "0.05", "12.345", " 7.00", "7.00 ", "7.00\n", "SHOP", "", "-", "1.2.34", "12,34", None]
+    slow = lambda c: money._repaired(F.regexp_replace(money._number_run(c), r"[^\d.,\-]", ""), r"(?=[^.]{0,3}\.)-?\d*")
+    frame = spark.createDataFrame([(c,) for c in cases], "c string").repartition(2)
+    assert frame.where(~money.parse_amount(F.col("c")).eqNullSafe(slow(F.col("c")))).count() == 0
