@@ -626,6 +626,45 @@ def test_fuzzy_lines_find_the_pairs_of_edit_similarity_080(spark):
     assert all(got[i] == i for i in range(0, 1200, 2)) and all(got[i + 1] in (i, i + 1) for i in range(0, 1200, 2))
 
 
+def test_fuzzy_lines_lose_no_link_wherever_its_edits_are(spark):
+    """Against all pairs: a letter changed in every word, words around a line, changes that no block outlives, short lines, a crowded beginning."""
+    rnd, pairs = random.Random(12), []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    twelve = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(12))
+    pairs.append((twelve, " ".join(w[:2] + "z" + w[3:] for w in twelve.split())))
+    pairs += [(a, f"one {a} end") for a in [line(40)]] + [("abcde", "abcdf"), ("abcdefgh ij", "bcdefgh iij")]
+    for n in (1, 2, 3, 5, 8, 15, 30, 60):
+        for kind in range(4):
+            a = line(n)
+            b, edits = list(a), math.floor(0.2 * len(a) * rnd.choice([0.5, 0.9, 1])) // 2 * 2
+            places = [round(i * len(a) / max(edits, 1)) for i in range(edits)] if kind < 2 else rnd.sample(range(len(a)), edits)
+            for k, at in reversed(list(enumerate(sorted(places)))):
+                b[at:at + 1] = ["q"] if kind % 2 else ["q", b[at]] if k % 2 else []
+            pairs.append((a, "".join(b)))
+    crowd = [line(5) for _ in range(1)] * 100
+    rows = [x for p in pairs for x in p] + [f"{c} {line(35)}" for c in crowd]
+    rows += [" ".join(rows[-1].split()[:10] + [word() for _ in range(3)] + rows[-1].split()[13:])]
+    norm = [" ".join(x.split()) for x in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            m = max(len(norm[i]), len(norm[j]))
+            close = abs(len(norm[i]) - len(norm[j])) <= 0.2 * m and (i < 2 * len(pairs) or i - j == 1)
+            if close and edit_distance(norm[i], norm[j]) <= math.floor(0.2 * m + 1e-9):
+                linked += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["doc_id"]: r["class_doc_id"] for r in fuzzy_lines.line_classes(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert linked >= len(pairs) - 4 and got == {i: find(i) for i in range(len(rows))}
+
+
 def test_fuzzy_lines_very_long_and_wordless(spark):
     rnd = random.Random(6)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(1_000_000))
