@@ -665,6 +665,28 @@ def test_fuzzy_lines_lose_no_link_wherever_its_edits_are(spark):
     assert linked >= len(pairs) - 4 and got == {i: find(i) for i in range(len(rows))}
 
 
+def test_fuzzy_lines_compare_all_pairs_without_shuffling_them(spark):
+    """Lines of few syllables, which no filter parts well: what the comparison shuffles grows with the lines, not with their pairs."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    syllables = ["th", "in", "er", "an", "re", "on", "e ", "es ", "ing ", "to "]
+    lines = ["".join(rnd.choice(syllables) for _ in range(300)) for _ in range(120)]
+    lines.append("".join("z" if i % 6 == 0 else x for i, x in enumerate(lines[7])))
+    texts = spark.createDataFrame([(i, x, i) for i, x in enumerate(lines)], "h long, norm string, root long").withColumn("norm", F.trim("norm"))
+    sc = spark.sparkContext
+    none, store = sc._gateway.new_array(sc._jvm.double, 0), sc._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    assert [(r["a"], r["b"]) for r in fuzzy_lines.rest_links(spark, texts).collect()] in ([(7, 120)], [(120, 7)])
+    assert shuffled() - before < 5 * sum(map(len, lines))
+
+
 def test_fuzzy_lines_very_long_and_wordless(spark):
     rnd = random.Random(6)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(1_000_000))
