@@ -136,6 +136,39 @@ def test_zone_swap(spark):
     assert got == {1: (0, 4, True), 2: (3, 0, False), 3: (0, 1, False)}
 
 
+def test_tokens_are_folded_into_rows_once_for_all_cells(spark):
+    """The cells' plan reads stored tokens: the page's fold and its sources are not in it."""
+    tokens = spark.createDataFrame([("d", 1, i, t, float(x), float(x + 40), y, y + 8.0) for y in (0.0, 28.0) for i, (t, x) in enumerate((("DATE", 20), ("DEBIT", 300), ("BALANCE", 500)) if y == 0 else (("01/02/2020", 20), ("10.00", 300), ("90.00", 500)))], "doc_id string, page int, tok_idx int, text string, x0 double, x1 double, y0 double, y1 double")
+    cells = geometry.extract_blocks(tokens)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "tolerance" not in plan
+    assert [(r["date"], r["debit_c"], r["balance_c"]) for r in cells.collect()] == [("01/02/2020", 1000, 9000)]
+
+
+def test_work_tables_leave_no_shuffle_files(spark):
+    """A stored step's shuffle files go when it is written, and a discarded table's files too."""
+    import time
+
+    from ledgerloom.sources import work
+
+    sc = spark.sparkContext
+
+    def shuffles() -> set[str]:
+        files = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    table = work.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7
+    work.discard(table)
+    path = sc._jvm.org.apache.hadoop.fs.Path(table._work_path)
+    assert not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_labels_in_succession_are_folded(spark):
     """A rejected label row leaves the balance before it, so the row after two labels still conserves."""
     rows = [(1, 0, 1, None, 10000, 10000, "upi"), (1, 1, 1, None, 500, 50000, "upi"), (1, 2, 1, None, 1000, 51000, "closing"), (1, 3, 1, None, 500, 51500, "closing"), (1, 4, 1, None, 500, 52000, "upi")]
