@@ -145,6 +145,15 @@ def test_tokens_are_folded_into_rows_once_for_all_cells(spark):
     assert [(r["date"], r["debit_c"], r["balance_c"]) for r in cells.collect()] == [("01/02/2020", 1000, 9000)]
 
 
+def test_declarative_rows_bring_pages_together_once(spark):
+    words = (("Date", 20), ("Narration", 100), ("Debit", 300), ("Balance", 500)), (("01/02/2020", 20), ("rent", 100), ("10.00", 300), ("90.00", 500))
+    tokens = spark.createDataFrame([("d", 1, i * 10 + n, t, float(x), x + 6.0 * len(t), 28.0 * i, 28.0 * i + 8, 0.9) for i, row in enumerate(words) for n, (t, x) in enumerate(row)], "doc_id string, page int, tok_idx int, text string, x0 double, x1 double, y0 double, y1 double, confidence double")
+    found = declarative.declarative_rows(tokens)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert ("01/02/2020", "rent") in [(r["date"], r["narration"]) for r in found.collect()]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
 def test_work_tables_leave_no_shuffle_files(spark):
     """A stored step's shuffle files go when it is written, and a discarded table's files too."""
     import time
